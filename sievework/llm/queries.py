@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sievework.llm import sharding, topk
+from sievework.llm import bpe, langid, sharding, topk, toxicity
 
 QUERIES = {
+    "op2_word_first_backoff": langid.op2_word_first_backoff,
+    "op5_prefix_bpe": bpe.op5_prefix_bpe,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
+    "op7_noisy_or": toxicity.op7_noisy_or,
     "op8_histogram_topk": topk.op8_histogram_topk,
 }
 

@@ -6,7 +6,7 @@ is cut again with a fresh sample of its own rows: between different texts where
 equal texts only if the group alone is too large for half a shard. The ranges are dealt to the shards largest first,
 so the shards' bytes come out near equal. All counts are exact; only the boundaries depend on the sample.
 
-What passes through the driver is bounded by parameters: ``sample`` keys and about ``ranges`` range totals a round.
+What passes through the driver is bounded by parameters: about ``sample`` keys and about ``ranges`` range totals a round.
 
 Defined results: null text has size 1 and the checksum of the empty text; null ids hash as one value and are kept;
 repeated rows get slots of their own; an empty table gives no rows; further columns of the input are ignored.
@@ -36,11 +36,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def weighted_sample(keys: DataFrame, n: int, salt: int) -> list[tuple[int, int]]:
-    """At most ``n`` keys, drawn without replacement with chances that follow the size (largest u^(1/size) stay)."""
-    u = (F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = keys.select("key", (F.log(u) / F.col("size")).alias("w")).orderBy(F.desc("w"), "key").limit(n)
-    return sorted((r.key.t, r.key.d) for r in drawn.collect())
+def weighted_sample(keys: DataFrame, total: int, n: int, salt: int) -> list[tuple[int, int]]:
+    """About ``n`` keys; a row is drawn with a chance in proportion to its size (``total`` bytes in all)."""
+    u = F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return sorted((r.key.t, r.key.d) for r in keys.filter(u < F.col("size") * (n / max(1, total))).select("key").collect())
 
 
 def range_of(key: Column, splitters: list[tuple[int, int]]) -> Column:
@@ -69,18 +68,18 @@ def totals(keys: DataFrame, splitters: list[tuple[int, int]]) -> dict[int, tuple
 def find_cells(keys: DataFrame, shards: int, ranges: int, sample: int, rounds: int = 4) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int, bool]]]:
     """Splitters of fine ranges and the exact totals of each, overfull ranges cut again."""
     low = -(1 << 63)
-    drawn = weighted_sample(keys, sample, 0)
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
+    drawn = weighted_sample(keys, total, sample, 0)
     step = max(1, len(drawn) // ranges)
     splitters = sorted({(t, low) for t, _ in drawn[step::step]})
     cells = totals(keys, splitters)
     for salt in range(1, rounds):
-        total = sum(b for b, _, _ in cells.values())
         wide = [c for c, (b, n, one) in cells.items() if n > 1 and not one and b > 4 * total / ranges]
         hot = [c for c, (b, n, one) in cells.items() if n > 1 and one and b > total / shards / 2]
         if not wide and not hot:
             break
         part = keys.filter(range_of(F.col("key"), splitters).isin(wide + hot))
-        again = weighted_sample(part, sample, salt)
+        again = weighted_sample(part, sum(cells[c][0] for c in wide + hot), sample, salt)
         step = max(1, len(again) // ranges)
         bounds = [(low, low), *splitters, (1 << 63, 0)]
         single = [(bounds[c], bounds[c + 1]) for c in hot]
