@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from sievework.llm import bpe, langid, sharding, topk, toxicity
+from sievework.llm import bpe, decontaminate, langid, lines, pii, sharding, topk, toxicity
 
 QUERIES = {
+    "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
     "op2_word_first_backoff": langid.op2_word_first_backoff,
+    "op4_deletion_neighbourhood": lines.op4_deletion_neighbourhood,
     "op5_prefix_bpe": bpe.op5_prefix_bpe,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_noisy_or": toxicity.op7_noisy_or,
     "op8_histogram_topk": topk.op8_histogram_topk,
+    "op10_surrogates": pii.op10_surrogates,
 }
 
 ORACLE_SQL = {
+    "op1_spaced_seeds": decontaminate.SEEDS_SQL,
     "op8_histogram_topk": topk.TOPK_SQL,
 }

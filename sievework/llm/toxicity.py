@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is logistic in its words; the document's is the noisy-or of its
-sentences, so only document labels are needed. After training, the sentences that score at least one half are the
+sentences, so only document labels are needed. A word's features are the word itself and its beginnings of ``SHORTEST`` to
+``LONGEST`` letters, so that inflected forms that training never saw count by their stem. After training, the sentences that score at least one half are the
 offending ones.
 
 Training uses a bounded sample: at most ``positives`` and ``negatives`` labelled documents, the first by a hash of the id,
-whole texts, weighted back to the labels' shares. It runs in one task over that sample. The fitted word list has at most
-``features`` words and is broadcast. Scoring is a narrow map over all rows.
+whole texts, weighted back to the labels' shares. It runs in one task over that sample. The fitted list has at most
+``features`` features and is broadcast. Scoring is a narrow map over all rows.
 
 Defined results: null or empty text has no sentence and score 0; texts are scored whole; a doc_id with several labels is
 toxic if one of them says so; null labels are ignored; repeated rows are scored alike; without labels of both kinds
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,27 @@ from sievework.llm.common import remainder, table
 
 SENTENCE = r"[^.!?\n。！？]+"
 WORD = r"[^\W\d_]+"
+SHORTEST, LONGEST = 3, 10
+CACHE = 500_000
+
+
+def features_of(word: str) -> list[str]:
+    """The word and, marked by a star, its proper beginnings."""
+    return [word, *(word[:n] + "*" for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1))]
+
+
+class WordWeights(dict):
+    """Word to the sum of its features' weights; starts anew when it has reached its bound."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = total = sum(self.weights.get(f, 0.0) for f in features_of(word))
+        return total
 
 
 def bags(texts: pd.Series) -> list[list[set[str]]]:
@@ -37,20 +60,17 @@ def bags(texts: pd.Series) -> list[list[set[str]]]:
 
 
 def choose_features(found: list[list[set[str]]], y: np.ndarray, weight: np.ndarray, features: int) -> list[str]:
-    """Words whose presence in a document says most about its label (weighted z of the log odds)."""
-    count: dict[str, np.ndarray] = {}
-    for sentences, label, w in zip(found, y, weight, strict=True):
-        for word in set().union(*sentences) if sentences else ():
-            count.setdefault(word, np.zeros(3))[[int(label), 2]] += (w, 1)
-    n = np.array([weight[y == 0].sum(), weight[y == 1].sum()])
-    scored = []
-    for word, c in count.items():
-        if c[2] >= 3:
-            rates = (c[:2] + 0.5) / (n + 1)
-            z = abs(np.log(rates[1] / (1 - rates[1])) - np.log(rates[0] / (1 - rates[0]))) / np.sqrt((1 / (c[:2] + 0.5)).sum())
-            if z > 3:
-                scored.append((-z, word))
-    return [w for _, w in sorted(scored)[:features]]
+    """Features whose presence in a document says most about its label (weighted z of the log odds)."""
+    seen = Counter(), Counter()
+    for sentences, label in zip(found, y, strict=True):
+        seen[int(label)].update({f for bag in sentences for w in bag for f in features_of(w)})
+    each = np.array([weight[y == label].mean() for label in (0, 1)])
+    n = np.array([weight[y == label].sum() for label in (0, 1)])
+    names = [f for f, total in (seen[0] + seen[1]).items() if total >= 3]
+    c = np.array([[seen[0][f], seen[1][f]] for f in names], dtype=float).reshape(-1, 2) * each
+    odds = np.log((c + 0.5) / (n + 0.5 - c))
+    z = np.abs(odds[:, 1] - odds[:, 0]) / np.sqrt((1 / (c + 0.5)).sum(axis=1))
+    return [f for _, f in sorted((-z[i], names[i]) for i in np.flatnonzero(z > 3))[:features]]
 
 
 def train(texts: pd.Series, y: np.ndarray, weight: np.ndarray, features: int, steps: int = 400) -> dict:
@@ -62,7 +82,7 @@ def train(texts: pd.Series, y: np.ndarray, weight: np.ndarray, features: int, st
     s = 0
     for d, sentences in enumerate(found):
         for bag in sentences:
-            if known := [index[w] for w in bag if w in index]:
+            if known := [index[f] for w in bag for f in features_of(w) if f in index]:
                 doc.append(d)
                 sentence.extend([s] * len(known))
                 feature.extend(known)
@@ -117,7 +137,7 @@ def score_documents(docs: DataFrame, model: dict, keep: list[str] = ["doc_id"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias, empty = shared.value["weights"], shared.value["bias"], "empty" in shared.value
-        names, sentence, word = weights.keys(), re.compile(SENTENCE), re.compile(WORD)
+        of, sentence, word = WordWeights(weights), re.compile(SENTENCE), re.compile(WORD)
         plain = float(np.logaddexp(0, bias))
         for batch in batches:
             scores, spans = [], []
@@ -127,11 +147,11 @@ def score_documents(docs: DataFrame, model: dict, keep: list[str] = ["doc_id"])
                     bag = set(word.findall(m[0]))
                     if not bag:
                         continue
-                    known = names & bag
-                    if not known:
+                    total = sum(of[w] for w in bag)
+                    if total == 0.0:
                         none -= plain
                         continue
-                    z = bias + sum(weights[w] for w in known)
+                    z = bias + total
                     none -= float(np.logaddexp(0, z))
                     if z >= 0:
                         found.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + float(np.exp(-min(z, 50))))})
