@@ -7,7 +7,7 @@ meets an older merge across the border. Walking the table backwards gives the en
 entries, and an edit re-encodes only from the piece before it until the old piece borders are met again.
 
 The work is a narrow map over partitions without a shuffle; the rank table has a fixed size and is broadcast. Caches of
-piece encodings are emptied when they reach a set size.
+piece encodings have two generations of a set size.
 
 Defined results: null text counts as empty (no tokens, digests of no bytes); texts of any length are encoded whole;
 repeated rows and null ids pass through row by row; other columns of the input are kept by ``encode_documents``
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -72,15 +73,14 @@ class Encoder:
 
     def __init__(self, tokens: Tokens, pattern: str):
         self.tokens, self.split = tokens, regex.compile(pattern)
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
-        if (known := self.allowed.get((left, right))) is not None:
-            return known
         if len(self.allowed) > CACHE:
             self.allowed.clear()
-        self.allowed[left, right] = known = self._border_holds(left, right)
+        self.allowed[left << 20 | right] = known = self._border_holds(left, right)
         return known
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -101,15 +101,25 @@ class Encoder:
 
     def last_tokens(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """The last token of each prefix; ``last`` of a prefix of ``piece`` is continued."""
-        ranks, longest = self.tokens.ranks, self.tokens.longest
+        rank, longest, known, may_follow = self.tokens.ranks.get, self.tokens.longest, self.allowed.get, self.may_follow
         last = [-1] if last is None else last
         for end in range(len(last), len(piece) + 1):
             found = -1
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and (start == 0 or last[start] >= 0 and self.may_follow(last[start], token)):
-                    found = token
-                    break
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    fits = known(before << 20 | token)
+                    if fits is None:
+                        fits = may_follow(before, token)
+                    if not fits:
+                        continue
+                found = token
+                break
             last.append(found)
         return last
 
@@ -124,11 +134,15 @@ class Encoder:
         """The piece's ids as little-endian 32-bit integers."""
         if (known := self.packed.get(piece)) is not None:
             return known
-        raw = piece.encode("utf-8")
-        ids = [known] if (known := self.tokens.ranks.get(raw)) is not None else self.piece(raw)
-        if len(self.packed) > CACHE:
+        if (packed := self.older.get(piece)) is None:
+            raw = piece.encode("utf-8")
+            ids = [known] if (known := self.tokens.ranks.get(raw)) is not None else self.piece(raw)
+            packed = pack(f"<{len(ids)}I", *ids)
+        if len(self.packed) >= CACHE:
+            # Pieces in use move to the new generation; the others go with the old one.
+            self.older = dict(self.packed)
             self.packed.clear()
-        self.packed[piece] = packed = np.array(ids, dtype="<u4").tobytes()
+        self.packed[piece] = packed
         return packed
 
     def encode(self, text: str) -> np.ndarray:
@@ -167,7 +181,14 @@ class Encoder:
 def share(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary's tables on every executor; their size is that of the vocabulary file, whatever the corpus."""
     ranks = read_ranks(path)
-    return spark.sparkContext.broadcast((ranks, last_merges(ranks)))
+    return spark.sparkContext.broadcast({"ranks": ranks, "merges": last_merges(ranks)})
+
+
+def encoder_of(held: dict, pattern: str) -> Encoder:
+    """The worker process's encoder: kept beside the broadcast tables, so that later tasks find its caches warm."""
+    if pattern not in held:
+        held[pattern] = Encoder(Tokens(held["ranks"], held["merges"]), pattern)
+    return held[pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -175,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     tokens, name = share(docs.sparkSession, path), free_name(docs, out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Tokens(*tokens.value), pattern)
+        encoder = encoder_of(tokens.value, pattern)
         for batch in batches:
             yield batch.assign(**{name: [encoder.encode(t or "").astype(np.int32) for t in batch[text]]})
 
@@ -188,7 +209,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", out:
     tokens, name = share(encoded.sparkSession, path), free_name(encoded, out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Encoder(Tokens(*tokens.value), ".")
+        decoder = encoder_of(tokens.value, ".")
         for batch in batches:
             yield batch.assign(**{name: [decoder.decode(np.asarray(x if x is not None else [], dtype=np.int64)) for x in batch[ids]]})
 
@@ -201,7 +222,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     tokens = share(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(Tokens(*tokens.value), pattern)
+        encoder = encoder_of(tokens.value, pattern)
         for batch in batches:
             rows = []
             for text in batch["text"]:
