@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from sievework.llm import bpe, decontaminate, langid, lines, pii, sharding, topk, toxicity
+from sievework.llm import bagminhash, bpe, chat, decontaminate, langid, lines, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
     "op2_word_first_backoff": langid.op2_word_first_backoff,
+    "op3_bagminhash": bagminhash.op3_bagminhash,
     "op4_deletion_neighbourhood": lines.op4_deletion_neighbourhood,
     "op5_prefix_bpe": bpe.op5_prefix_bpe,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_noisy_or": toxicity.op7_noisy_or,
     "op8_histogram_topk": topk.op8_histogram_topk,
+    "op9_call_linking": chat.op9_call_linking,
     "op10_surrogates": pii.op10_surrogates,
 }
 
 ORACLE_SQL = {
     "op1_spaced_seeds": decontaminate.SEEDS_SQL,
     "op8_histogram_topk": topk.TOPK_SQL,
+    "op9_call_linking": chat.CHAT_SQL,
 }
