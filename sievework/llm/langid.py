@@ -32,24 +32,25 @@ ALPHA = 0.05
 
 
 class Model:
-    """Log frequencies per language of words and n-grams."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], floor: np.ndarray):
-        self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
-
-    def word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
-        marked, total, at, n = f"^{word}$", np.zeros(len(self.langs)), 0, 0
-        while at < len(marked):
-            for size in range(min(LONGEST, len(marked) - at), 0, -1):
-                if (known := self.grams.get(marked[at : at + size])) is not None:
-                    total = total + known
+    """Log frequencies per language of words and n-grams: names to rows of a matrix each."""
+
+    def __init__(self, langs: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[str, int], gram_logs: np.ndarray, floor: np.ndarray):
+        self.langs, self.words, self.word_logs, self.grams, self.gram_logs, self.floor = langs, words, word_logs, grams, gram_logs, floor
+
+    def parts(self) -> tuple:
+        return self.langs, self.words, self.word_logs, self.grams, self.gram_logs, self.floor
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean over the places of the word of the longest known n-gram that starts there."""
+        marked, total, get = f"^{word}$", np.zeros(len(self.langs)), self.grams.get
+        for at in range(len(marked)):
+            for end in range(min(at + LONGEST, len(marked)), at, -1):
+                if (known := get(marked[at:end])) is not None:
+                    total += self.gram_logs[known]
                     break
             else:
-                total = total + self.floor
-            at, n = at + 1, n + 1
-        return total / n
+                total += self.floor
+        return total / len(marked)
 
 
 class Scorer(dict):
@@ -57,19 +58,25 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows = model, np.empty((1024, len(model.langs)))
+        self.model = model
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.update(self.model.words)
+        self.rows = np.concatenate([self.model.word_logs, np.empty((4096, len(self.model.langs)))])
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[at] = self.model.word(word)
+        self.rows[at] = self.model.unseen(word)
         self[word] = at
         return at
 
     def total(self, words: list[str]) -> np.ndarray:
         if len(self) > CACHE:
-            self.clear()
+            self.start()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         return self.rows[at].sum(axis=0)
 
@@ -79,7 +86,7 @@ def letters(text):
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), " ")
 
 
-def fit(labelled: DataFrame, sample_chars: int = 6_000_000, max_words: int = 150_000, max_grams: int = 150_000) -> Model:
+def fit(labelled: DataFrame, sample_chars: int = 6_000_000, max_words: int = 120_000, max_grams: int = 120_000) -> Model:
     """A model from rows with ``doc_id``, ``text`` and ``lang`` (both not null)."""
     sizes = {r.lang: r.chars for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).filter("chars > 0").collect()}
     langs = sorted(sizes)
@@ -109,16 +116,17 @@ def fit(labelled: DataFrame, sample_chars: int = 6_000_000, max_words: int = 150
         counts.unpersist()
     base = np.array([totals[lang] for lang in langs], dtype=float)
 
-    def logs(rows, key, vocabulary):
-        return {r[key]: np.log((np.array([r.n.get(lang, 0) for lang in langs], dtype=float) + ALPHA) / (base + ALPHA * vocabulary)) for r in rows}
+    def logs(rows, vocabulary):
+        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], dtype=float).reshape(-1, len(langs))
+        return np.log((n + ALPHA) / (base + ALPHA * vocabulary))
 
     floor = np.log(ALPHA / (base + ALPHA * max(1, len(chosen))))
-    return Model(langs, logs(known, "word", len(known)), logs(chosen, "gram", len(chosen)), floor)
+    return Model(langs, {r.word: i for i, r in enumerate(known)}, logs(known, len(known)), {r.gram: i for i, r in enumerate(chosen)}, logs(chosen, len(chosen)), floor)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """The columns ``keep`` of ``docs``, with ``lang_pred`` and ``score`` of its ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.floor))
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, word = Model(*shared.value), re.compile(r"[^\W\d_]+")
