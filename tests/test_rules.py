@@ -1,0 +1,204 @@
+"""Single rules on a few rows each."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievework.functions import ids, similarity, text
+from sievework.operators import documents, identity, ledger, linkage, prisma, review, screening
+from sievework.sources import lists, pages, payloads, sinks
+
+
+def values(spark, expression, rows, schema="x string"):
+    return [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).select(expression).collect()]
+
+
+def test_canonical_id(spark):
+    given = ["https://doi.org/10.1000/ABC.", "doi: 10.1000/x#sec2", "10.1002/9780.ch3", "10.1000%2Fy", "10.1000/a+b", "nothing", None, ""]
+    assert values(spark, ids.canonical_id(F.col("x")), [(g,) for g in given]) == ["10.1000/abc", "10.1000/x", "10.1002/9780", "10.1000/y", "10.1000/a+b", None, None, None]
+    assert values(spark, ids.canonical_id(F.col("x"), strip_chapter=False), [("10.1002/9780.ch3",)]) == ["10.1002/9780.ch3"]
+
+
+def test_year_and_host(spark):
+    assert values(spark, ids.first_year(F.col("x")), [("in 2019 and 1999",), ("no",)]) == [2019, None]
+    assert values(spark, ids.host(F.col("x")), [("https://A.example.org:80/x",)]) == ["a.example.org"]
+    got = spark.createDataFrame([("2010", "2011"), ("2010", "2012"), (None, "2012"), ("x", "y")], "a string, b string").coalesce(1)
+    assert [tuple(r) for r in got.select(ids.years_close(F.col("a"), F.col("b")), ids.year_score(F.col("a"), F.col("b"))).collect()] == [(True, 0.5), (False, 0.0), (False, 0.0), (False, 0.0)]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "score"),
+    [
+        ("Upside-down protein crystallization", "Upside Down Protein Crystallization", 1.0),
+        ("", "x", 0.0),
+    ],
+)
+def test_dice(spark, a, b, score):
+    assert round(values(spark, similarity.dice_title_score(F.col("a"), F.col("b")), [(a, b)], "a string, b string")[0], 3) == score
+
+
+def test_title_score(spark):
+    rows = [("A study of cats", "a study of CATS!"), ("A study of cats", "Unrelated matter"), (None, "x")]
+    got = values(spark, similarity.title_score(F.col("a"), F.col("b")), rows, "a string, b string")
+    assert got[0] == 1.0 and got[1] < 0.35 and got[2] == 0.0
+
+
+def test_clean_abstract(spark):
+    given = ["<p>Abstract: A long enough abstract text &amp; more.</p>", "short", "Not available", None]
+    assert values(spark, text.clean_abstract(F.col("x")), [(g,) for g in given]) == ["A long enough abstract text & more.", "", "", ""]
+
+
+def test_csv_guard(spark):
+    assert values(spark, text.csv_safe(F.col("x")), [("=1",), ("a=1",), ("@x",), ("",)]) == ["'=1", "a=1", "'@x", ""]
+
+
+def test_triage_rules(spark):
+    rows = [(1, ["Sim", "Não"], ""), (2, ["Sim", "Não"], "why"), (3, ["Sim"], "x"), (4, ["Sim", "Talvez"], "x"), (5, ["Sim", "Indeterminado"], ""), (6, None, "x")]
+    df = spark.createDataFrame(rows, "id int, answers array<string>, reason string")
+    got = {r.id: (r.decision, r.reject) for r in screening.decide(df, [], 2).collect()}
+    assert got[1] == (None, "give a reason for the exclusion") and got[2] == ("excluir", None) and got[5] == ("incluir", None)
+    assert all(got[i][1] == "answer every question" for i in (3, 4, 6))
+
+
+def test_screening_flow_partitions(spark):
+    items = spark.createDataFrame([("10.1/a", "done", True), ("10.1/b", "partial", True), ("10.1/c", "done", True), ("10.1/d", "waiting", True), ("10.1/e", "done", False)], "doi string, status string, found boolean")
+    marks = spark.createDataFrame([("10.1/a", "incluir", 2), ("10.1/b", "excluir", 1)], "doi string, decision string, version int")
+    corpus = spark.createDataFrame([(1, "10.1/A", 2, "excluir", "doi"), (2, "10.1/z", 2, "incluir", "doi"), (3, None, 2, "incluir", "local")], "id int, doi string, triage_version int, triage_decision string, source_kind string")
+    row = prisma.screening_flow(items, marks, corpus, 2).collect()[0]
+    assert row.identificados == row.triados + row.pendentes_triagem == 4
+    assert row.triados == row.incluidos_triagem + row.excluidos_triagem == 2
+    assert row.incluidos_triagem == row.obtidos + row.nao_obtidos and row.locais == 1
+
+
+def test_worklist_pages(spark):
+    rows = spark.range(120).select(F.format_string("%03d", "id").alias("doi"))
+    assert screening.worklist_page(rows, "doi", 3).count() == 20
+    assert [r.doi for r in screening.worklist_page(rows, "doi", 99).orderBy("doi").collect()][0] == "100"
+
+
+def test_two_doubts_are_a_conflict(spark):
+    rows = [(1, s, i, f"p{i}", "duvida", "r", 2) for i, s in enumerate(("r1", "r2"))] + [(2, s, i, "same", "incluir", "r", 2) for i, s in enumerate(("r1", "r2"))]
+    df = spark.createDataFrame(rows, "article int, slot string, seq int, reviewer string, decision string, reason string, version int")
+    assert {r.article: r.status for r in review.resolution(review.by_slot(df), 2).collect()} == {1: "conflito", 2: "revisores repetidos"}
+
+
+def test_document_types(spark):
+    rows = [("Study protocol for a review of x", "systematic review"), ("A systematic review", ""), ("X", "abstract and methods"), ("X", "")]
+    df = spark.createDataFrame(rows, "title string, text string").coalesce(1)
+    assert [(r.type, r.confidence) for r in documents.classify(df).collect()] == [("study_protocol", "high"), ("systematic_review", "high"), ("original_article", "moderate"), ("other", "low")]
+
+
+def test_record_kind(spark):
+    rows = [(None, None, "S267", "x"), (None, None, "S10-S20", "x"), (None, None, "S104–S176", "x"), ("dataset", None, None, "x"), (None, "editorial", None, "x"), (None, None, None, "Editorial: a"), (None, None, None, "Editorial board decisions")]
+    df = spark.createDataFrame(rows, "cr string, oa string, page string, title string").coalesce(1)
+    none = F.lit(None).cast("string")
+    assert [r[0] for r in df.select(documents.record_kind(F.col("cr"), F.col("oa"), none, F.col("page"), F.col("title"))).collect()] == ["abstract", None, "abstract", "dataset", "editorial", "editorial", None]
+
+
+def test_article_gate(spark):
+    long = "words " * 100
+    given = ["Supplementary Table 1\n" + long, long + "\n" * 30 + "supplementary table 2", "short", long + "table of contents"]
+    assert values(spark, documents.article_gate(F.col("x")), [(g,) for g in given]) == ["supplement", None, "unreadable", None]
+
+
+def test_labelled_abstract(spark):
+    body = "This study looks at something in detail and reports what was found in it. " * 3
+    row = documents.abstracts(spark.createDataFrame([("Title\nAbstract\n" + body + "\nKeywords: a\nIntroduction\nmore",), (None,), ("",)], "text string").coalesce(1)).collect()
+    assert row[0].abstract_rule == "labelled" and row[0].abstract.startswith("This study") and row[1].abstract == "" and row[2].abstract_rule == "none"
+
+
+FILE = "doi string, title string, author string, journal string, year string, detected_doi string, detected_title string, detected_author string, detected_journal string, detected_year string, text_sample string, record_matched boolean"
+
+
+def test_file_identity(spark):
+    base = ("10.1000/a", "A long enough title of a work", "Ana Silva", "Journal of X", "2010")
+    rows = [
+        (*base, "10.1000/A", None, None, None, None, "", False),
+        (*base, "10.1000/other", base[1], "Ana Silva", None, "2010", "", True),
+        (*base, None, None, None, None, None, "Supplementary material of it", True),
+        (*base, None, None, None, None, None, "", True),
+        (*base, None, "Something else altogether here", "B Other", None, "1990", "text of another work " * 20, True),
+        (*base, None, base[1], "A Silva", None, None, "", False),
+        (*base, None, base[1], None, None, None, "", False),
+    ]
+    got = identity.file_verdicts(spark.createDataFrame(rows, FILE).coalesce(1)).collect()
+    assert [(r.validated, r.method, r.reason) for r in got] == [
+        (True, "doi_in_pdf", None), (False, "doi_in_pdf", "doi_mismatch"), (False, "supplementary_material", "supplementary_material"), (True, "doi_in_record", None),
+        (False, "doi_in_record", "pdf_title_contradicts_record"), (True, "title_author_year", None), (False, "article_identity_not_confirmed", "article_identity_not_confirmed"),
+    ]
+
+
+def test_blocking_loses_no_pair(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    titles = [" ".join(words[i : i + 4]) for i in range(5)] + ["alpha", "Beta & gamma", "", None]
+    asked = spark.createDataFrame(list(enumerate(titles)), "request int, title string")
+    hits = spark.createDataFrame(list(enumerate(titles)), "hit int, hit_title string")
+    every = asked.crossJoin(hits).withColumn("s", similarity.title_score(F.col("title"), F.col("hit_title"))).filter("s >= 0.72")
+    assert {(r.request, r.hit) for r in every.collect()} == {(r.request, r.hit) for r in linkage.match_titles(asked, hits, 0.72, 100).collect()}
+
+
+def test_progressive_variants(spark):
+    df = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.95), (1, 1, 0.2), (1, 2, 0.99)], "request int, pos int, score double")
+    assert sorted((r.pos, r.score) for r in linkage.progressive(df).collect()) == [(0, 0.5), (1, 0.2), (1, 0.95)]
+
+
+def test_upsert_keeps_the_other_half(spark):
+    columns = "doi string, decision string, reason string, actor string, version int, source string, ai_provider string, ai_decision string, ai_version int"
+    old = spark.createDataFrame([("a", None, None, None, None, None, "p", "incluir", 1)], columns)
+    new = spark.createDataFrame([("a", "excluir", "r", "x", 2, "")], "doi string, decision string, reason string, actor string, version int, source string")
+    once = ledger.upsert_decisions(old, new)
+    assert once.collect() == ledger.upsert_decisions(once, new).collect()
+    assert (once.collect()[0].decision, once.collect()[0].ai_decision) == ("excluir", "incluir")
+
+
+def test_names_do_not_collide(spark):
+    df = spark.createDataFrame([(f"10.1/{i}", "Silva, A", "2010", "Journal of Things", "Same title") for i in range(5)] + [("10.1/x", None, None, None, None)], "doi string, authors string, year string, journal string, title string")
+    first = ledger.output_names(df)
+    assert first.select("name").distinct().count() == 6
+    assert sorted(ledger.output_names(df, first).collect()) == sorted(first.collect())
+
+
+def test_id_list(spark):
+    given = ["﻿# header", "10.1000/A", "arXiv:2101.00001v2", "PMID: 12345", "A plain title", "-----", ""]
+    cross = spark.createDataFrame([("12345", "10.5000/q")], "id string, doi string")
+    got = lists.id_lines(spark.createDataFrame([(g,) for g in given], "value string"), cross).collect()
+    assert sorted((r.kind, r.key) for r in got) == [("doi", "10.1000/a"), ("doi", "10.48550/arxiv.2101.00001"), ("doi", "10.5000/q"), ("title", "A plain title")]
+
+
+def test_batch_report(spark):
+    df = spark.createDataFrame([(1, "10.1000/a\nbad\n\ndoi:10.1000/A\nhttps://doi.org/10.1000/b"), (2, "")], "batch_id int, text string")
+    got = {r.batch_id: r for r in lists.batch_report(df).collect()}
+    assert got[1].dois == ["10.1000/a", "10.1000/b"] and got[1].invalid == [2] and got[1].duplicates == 1 and got[1].line_count == 4 and got[2].dois == []
+
+
+def test_malformed_payloads(spark):
+    for provider in payloads.PROVIDERS:
+        df = spark.createDataFrame([("not json",), ("{}",), (None,)], "payload string")
+        assert {c for c, _ in payloads.source_records(df, provider).dtypes} == {"source", *payloads.RECORD}
+        payloads.source_records(df, provider).collect()
+
+
+def test_inverted_abstract(spark):
+    df = spark.createDataFrame([({"b": [1, 3], "a": [0], "c": [2]},)], "m map<string,array<int>>")
+    assert df.select(payloads.inverted_abstract(F.col("m"))).collect()[0][0] == "a b c b"
+
+
+def test_links(spark):
+    html = '<meta name="citation_pdf_url" content="/files/xyz9.pdf"><a href="/catalog.pdf">c</a><a href="xyz9_MOESM1_ESM.pdf">s</a><a href="/get/xyz9.pdf?x=1">p</a>'
+    df = spark.createDataFrame([(1, "https://a.org/art/1", "10.1/xyz9", html), (2, "https://a.org/b", "10.1/q", None)], "page_id int, url string, doi string, html string")
+    assert [(r.url, r.rank) for r in pages.file_links(df).orderBy("n").collect()] == [("https://a.org/files/xyz9.pdf", 0), ("https://a.org/get/xyz9.pdf?x=1", 4)]
+
+
+def test_bundle_round_trip(spark, tmp_path):
+    tables = {"a": spark.range(5).withColumn("x", F.lit("y")), "b": spark.range(0)}
+    sinks.export_bundle(tables, str(tmp_path / "b"))
+    back, broken = sinks.restore_bundle(spark, str(tmp_path / "b"), ["a", "b"])
+    assert broken.count() == 0 and back["a"].count() == 5
+
+
+def test_csv_and_bibliography(spark, tmp_path):
+    df = spark.createDataFrame([("10.1/a", "T{x}", "A", "J", "2010", True), ("10.1/a", "T{x}", "A", "J", "2010", True), ("10.1/b", "U", "B", "K", "2011", False)], "doi string, title string, authors string, journal string, year string, identity_validated boolean")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "csv")).count() == 3
+    sinks.write_bibtex(df, str(tmp_path / "bib"))
+    sinks.write_bibtex(df, str(tmp_path / "bib"), df.select("doi").distinct())
+    assert sum(r.value.startswith("@article") for r in spark.read.text(str(tmp_path / "bib")).collect()) == 1
