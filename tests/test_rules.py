@@ -202,3 +202,52 @@ def test_csv_and_bibliography(spark, tmp_path):
     sinks.write_bibtex(df, str(tmp_path / "bib"))
     sinks.write_bibtex(df, str(tmp_path / "bib"), df.select("doi").distinct())
     assert sum(r.value.startswith("@article") for r in spark.read.text(str(tmp_path / "bib")).collect()) == 1
+
+
+def test_article_xml(spark, tmp_path):
+    from sievework.sources import corpus
+
+    (tmp_path / "x").mkdir()
+    body = "".join(f"<p>{'word ' * 120}</p>" for _ in range(4))
+    (tmp_path / "x" / "a.xml").write_text(f"<article><front><article-title>T &amp; U</article-title><surname>Silva</surname><abstract><p>Sum</p></abstract></front><body>{body}</body></article>")
+    (tmp_path / "x" / "short.xml").write_text("<article><body><p>few</p></body></article>")
+    (tmp_path / "x" / "bad.xml").write_text("<article>")
+    rows = corpus.read_fulltext_xml(spark, str(tmp_path / "x")).collect()
+    assert [(r.title, r.authors, r.abstract, len(r.paragraphs)) for r in rows] == [("T & U", ["Silva"], "Sum", 4)]
+
+
+def test_pubmed_xml(spark, tmp_path):
+    one = lambda pmid, year, doi: f'<PubmedArticle><MedlineCitation><PMID Version="1">{pmid}</PMID><Article><Journal><JournalIssue><PubDate>{year}</PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>A title</ArticleTitle></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="pubmed">{pmid}</ArticleId><ArticleId IdType="doi">{doi}</ArticleId></ArticleIdList></PubmedData></PubmedArticle>'
+    (tmp_path / "p.xml").write_text("<PubmedArticleSet>" + one(1, "<Year>2010</Year>", "10.1000/A") + one(2, "<MedlineDate>2011 Jan-Feb</MedlineDate>", "x") + "</PubmedArticleSet>")
+    rows = sorted(payloads.read_pubmed_xml(spark, str(tmp_path / "p.xml")).collect())
+    assert [(r.pmid, r.year, r.doi, r.journal) for r in rows] == [("1", "2010", "10.1000/a", "J"), ("2", "2011", None, "J")]
+
+
+def test_corpus_folders_and_logs(spark, tmp_path):
+    from sievework.sources import corpus
+
+    for name, text in (("a", "long text"), ("b", None)):
+        folder = tmp_path / "c" / name
+        folder.mkdir(parents=True)
+        (folder / "metadata.json").write_text('{\n"article_id": "%s", "text_quality": "HIGH"\n}' % name)
+        if text:
+            (folder / "content.md").write_text(text)
+    assert sorted((r.article_id, r.text) for r in corpus.read_corpus_text(spark, str(tmp_path / "c")).collect()) == [("a", "long text"), ("b", None)]
+    files = tmp_path / "f"
+    files.mkdir()
+    for name, record in (("x.pdf", '{"identity_validated": true, "expected": {"doi": "10.1/x"}}'), ("y.pdf", "{not json"), ("z.pdf", None)):
+        (files / name).write_bytes(b"%PDF")
+        if record:
+            (files / (name + ".identity.json")).write_text(record)
+    assert {r.file: r.record for r in corpus.read_identity_records(spark, str(files)).collect()} == {"x.pdf": "read", "y.pdf": "unreadable", "z.pdf": "missing"}
+    (tmp_path / "log.tsv").write_text("2024-01-01T00:00:00\t10.1/x\tok\tcore\tx.pdf\n2024-01-01T00:00:01\t10.1/y\tfailed\t-\t-\n")
+    assert [r.source for r in corpus.read_attempt_log(spark, str(tmp_path / "log.tsv")).orderBy("at").collect()] == ["core", None]
+
+
+def test_expired_leases(spark, tmp_path):
+    from sievework.streaming import jobs
+
+    for n, rows in enumerate((['{"doi":"a","status":"running","at":"2024-01-01T00:00:00Z"}', '{"doi":"b","status":"running","at":"2024-01-01T00:00:00Z"}', '{"doi":"b","status":"done","at":"2024-01-01T00:01:00Z"}'], ['{"doi":"c","status":"done","at":"2024-01-01T02:00:00Z"}'], ['{"doi":"c","status":"done","at":"2024-01-01T03:00:00Z"}'])):
+        (tmp_path / f"{n}.json").write_text("\n".join(rows))
+    stream = spark.readStream.schema("doi string, status string, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
+    assert [r.doi for r in jobs.run_available(jobs.expired_leases(stream)).collect()] == ["a"]
