@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, sample_chars: int = 6_000_000, max_words: int = 120
     base = np.array([totals[lang] for lang in langs], dtype=float)
 
     def logs(rows, vocabulary):
-        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], dtype=float).reshape(-1, len(langs))
+        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], dtype=float).reshape(len(rows), len(langs))
         return np.log((n + ALPHA) / (base + ALPHA * vocabulary))
 
     floor = np.log(ALPHA / (base + ALPHA * max(1, len(chosen))))

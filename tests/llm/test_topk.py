@@ -22,7 +22,7 @@ def test_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-1.0, 0.5, 0.25, rng.uniform(-1, 1)]) for _ in range(6)], "x", "y") for i in range(120)]
     rows += [(200 + i, [0.5] * 6, "x", "y") for i in range(40)]  # ties
-    rows += [(300, None, "x", "y"), (301, [1.0, None, 1, 1, 1, 1], "x", "y"), (302, [float("nan")] * 6, "x", "y"), (303, [float("inf")] * 6, "x", "y"), (305, [1.0, 2.0], "x", "y"), (306, [2.0, 2.0], "x", "y"), (310, [], "x", "y"), (None, [1.0] * 6, "x", "y")]
+    rows += [(300, None, "x", "y"), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x", "y"), (302, [float("nan")] * 6, "x", "y"), (303, [float("inf")] * 6, "x", "y"), (305, [1.0, 2.0], "x", "y"), (306, [2.0, 2.0], "x", "y"), (310, [], "x", "y"), (None, [1.0] * 6, "x", "y")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     for block in (4096, 10):
         got = topk.top_k(df, df.filter("vec_id % 5 = 0"), k=4, block=block)
