@@ -1,8 +1,8 @@
 """Chat formatting by tool-call linking.
 
 Calls and results are hash-joined by (conversation, identifier). Calls are ordered topologically: a call's step is one more
-than the largest step of the calls it comes after, found round by round from the calls that wait for none, so no
-conversation is gathered in a task. Arguments are checked against the tool's schema, and each call becomes a line of
+than the largest step of the calls it comes after, found by joins over all conversations, so no conversation is gathered
+in a task. Arguments are checked against the tool's schema, and each call becomes a line of
 canonical JSON: keys sorted, no spaces, characters not escaped unless JSON must.
 
 ``status`` says what holds, the first that applies: ``cycle`` (no step), ``unknown_tool``, ``bad_json``, ``bad_arguments``,
@@ -90,25 +90,41 @@ def written(schemas: dict[str, str]):
 
 
 def steps(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, step) of calls with ``after``, the identifiers of calls that come first; calls on cycles are absent."""
-    keys = ["conv_id", "call_id"]
-    names = calls.select(*keys)
-    edges = calls.select(*keys, F.explode(F.array_distinct("after")).alias("before"))
-    there = names.select(F.col("conv_id").alias("c"), F.col("call_id").alias("b"))
-    edges = edges.join(there, edges.conv_id.eqNullSafe(F.col("c")) & (F.col("before") == F.col("b")), "left_semi")
-    pending = durable(edges.withColumn("got", F.lit(None).cast("int")))
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["call_id"] == b["call_id"])
-    waiting = pending.select(*keys).distinct()
-    front = durable(names.join(waiting, same(names, waiting), "left_anti").withColumn("step", F.lit(0)))
-    found = front
+    """(conv_id, call_id, step) of calls with ``after``, the identifiers of calls that come first; calls on cycles are absent.
+
+    Calls that wait for one other call jump along their chain, twice as far each round, to the first call that waits for
+    none or for several; so a chain of any length takes few rounds. Calls that wait for several are then resolved in
+    rounds of their own.
+    """
+    ck = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("ck")
+    names = calls.select(ck, "conv_id", "call_id")
+    there = names.select("ck", F.col("call_id").alias("before"))
+    edges = calls.select(ck, "call_id", F.explode(F.array_distinct("after")).alias("before")).join(there, ["ck", "before"], "left_semi")
+    edges = durable(edges.select("ck", "call_id", "before"))
+    waits = durable(edges.groupBy("ck", "call_id").agg(F.count("*").alias("n"), F.min("before").alias("to")))
+    one = waits.filter("n = 1").select("ck", "call_id", "to")
+    jump = one.join(one.select("ck", F.col("call_id").alias("to"), F.lit(False).alias("end")), ["ck", "to"], "left")
+    jump = durable(jump.select("ck", "call_id", "to", F.lit(1).alias("far"), F.coalesce("end", F.lit(True)).alias("end")))
+    left = jump.filter("NOT end").count()
+    while left:
+        next_ = jump.select("ck", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("end").alias("end2"))
+        jump = jump.join(next_, ["ck", "to"], "left")
+        jump = durable(jump.select("ck", "call_id", F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.coalesce("end2", "end").alias("end")))
+        before, left = left, jump.filter("NOT end").count()
+        if left == before:  # what is left lies on cycles or leads to one
+            break
+    front = durable(names.join(waits, ["ck", "call_id"], "left_anti").select("ck", "call_id", F.lit(0).alias("step")))
+    several = edges.join(waits.filter("n > 1").select("ck", "call_id"), ["ck", "call_id"], "left_semi")
+    along = jump.select("ck", F.col("call_id").alias("before"), "to", "far")
+    pending = several.join(along, ["ck", "before"], "left").select("ck", "call_id", F.coalesce("to", "before").alias("before"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("int").alias("got"))
+    pending, found = durable(pending), front
     while not front.isEmpty() and not pending.isEmpty():
-        f = front.select(F.col("conv_id").alias("c"), F.col("call_id").alias("b"), F.col("step").alias("s"))
-        pending = pending.join(f, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("before") == F.col("b")), "left").select(*keys, "before", F.coalesce("got", "s").alias("got"))
-        pending = durable(pending)
-        front = durable(pending.groupBy(*keys).agg((F.max("got") + 1).alias("step"), F.count("got").alias("n"), F.count("*").alias("all")).filter("n = all").select(*keys, "step"))
-        left = pending.alias("p").join(front.alias("f"), F.col("p.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("p.call_id") == F.col("f.call_id")), "left_anti")
-        pending, found = left, found.unionByName(front)
-    return found
+        pending = pending.join(front.select("ck", F.col("call_id").alias("before"), "step"), ["ck", "before"], "left")
+        pending = durable(pending.select("ck", "call_id", "before", "far", F.coalesce("got", F.col("step") + F.col("far")).alias("got")))
+        front = durable(pending.groupBy("ck", "call_id").agg(F.max("got").alias("step"), F.count("got").alias("n"), F.count("*").alias("all")).filter("n = all").select("ck", "call_id", "step"))
+        pending, found = pending.join(front, ["ck", "call_id"], "left_anti"), found.unionByName(front)
+    chained = jump.filter("end").join(found.select("ck", F.col("call_id").alias("to"), "step"), ["ck", "to"]).select("ck", "call_id", (F.col("step") + F.col("far")).alias("step"))
+    return found.unionByName(chained).join(names, ["ck", "call_id"]).select("conv_id", "call_id", "step")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, str]) -> DataFrame:
