@@ -12,14 +12,16 @@ Signatures are banded; documents that share a band (within a size class) are can
 2. Each remaining document is verified against the smallest partner in its buckets that looks similar enough by signature.
    Verified links give first components.
 3. In a bucket that holds several components, the members outside its most frequent component are paired with the members
-   of other components. So a bucket of thousands of near copies yields few pairs, while no pair across components is left
-   out. Pairs whose signatures exclude ``threshold`` (by ``slack``) are dropped, the others verified on the multisets.
+   of other components, unless the shingles that no other such member has already exclude the threshold. So a bucket of
+   thousands of near copies yields few pairs, while no link across components is lost. Pairs whose signatures exclude
+   ``threshold`` (by ``slack``) are dropped, the others verified on the multisets.
 4. Components of all verified links are the classes.
 
 No group is collected in a task. With the settings given, a pair at similarity 0.8 shares a band with probability 0.9994.
 
 Defined results: null text is a class of its own row; texts without a word are one class (they are equal copies); texts
-of fewer than five words are one shingle; rows that repeat a doc_id with the same text are copies; further columns are
+of fewer than five words are one shingle; rows that repeat a doc_id with the same text are copies
+(of differing texts under one id, any stands for it in verification); further columns are
 ignored by ``near_classes`` and kept by ``drop_near_copies``; an empty table gives no rows.
 """
 
@@ -41,6 +43,10 @@ SHINGLE = 5
 ROWS, BANDS = 8, 40
 SLOTS = ROWS * BANDS
 CACHE = 400_000
+#: Processes that are advanced together.
+POINTS = 30_000
+#: Size of the set of hashed ids that scans are filtered by.
+FILTER = 1 << 18
 
 
 class WordHashes(dict):
@@ -70,56 +76,81 @@ def shingles(words: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     return np.unique(total, return_counts=True)
 
 
-def signature(keys: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """The owner (a hash) of the earliest point of each slot."""
-    # One process for each shingle and interval of the weight axis: [0,1), [1,2), [2,4), [4,8), ...
-    owner, base, width, limit = [], [], [], []
-    low, high = 0, 1
-    while (inside := weights > low).any():
-        owner.append(mix(keys[inside] ^ np.uint64(low * 2 + 1)))
-        base.append(np.full(inside.sum(), low, dtype=np.int64))
-        width.append(np.full(inside.sum(), high - low, dtype=np.int64))
-        limit.append(weights[inside])
-        low, high = high, high * 2
-    owner, base, width, limit = (np.concatenate(x) for x in (owner, base, width, limit))
-    time = np.zeros(len(owner))
-    state = owner.copy()
-    earliest, who = np.full(slots, np.inf), np.zeros(slots, dtype=np.uint64)
-    gold = np.uint64(0x9E3779B97F4A7C15)
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
+    """For each multiset (distinct keys, weights; not empty) the owner, a hash, of the earliest point of each slot.
+
+    The processes of all multisets advance together, several points at a time when few are left.
+    """
+    doc, owner, base, width, limit = [], [], [], [], []
+    for d, (keys, weights) in enumerate(bags):
+        # One process for each shingle and interval of the weight axis: [0,1), [1,2), [2,4), [4,8), ...
+        low, high = 0, 1
+        while len(keys):
+            owner.append(mix(keys ^ np.uint64(low * 2 + 1)))
+            limit.append(weights)
+            n = len(keys)
+            doc.append(np.full(n, d))
+            base.append(np.full(n, low))
+            width.append(np.full(n, high - low))
+            low, high = high, high * 2
+            more = weights > low
+            keys, weights = keys[more], weights[more]
+    doc, owner, base, width, limit = (np.concatenate(x) for x in (doc, owner, base, width, limit))
+    earliest, who = np.full(len(bags) * slots, np.inf), np.zeros(len(bags) * slots, dtype=np.uint64)
+    time, state, golden = np.zeros(len(owner)), owner.copy(), np.uint64(0x9E3779B97F4A7C15)
     while len(owner):
-        state = state + gold
-        a = mix(state)
-        b = mix(state ^ np.uint64(0x5851F42D4C957F2D))
-        time = time - np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / (width * slots)
-        slot = (b % np.uint64(slots)).astype(np.int64)
-        copy = base + ((b >> np.uint64(20)) % width.astype(np.uint64)).astype(np.int64)
-        counts = np.flatnonzero((copy < limit) & (time < earliest[slot]))
-        if len(counts):
-            order = counts[np.argsort(-time[counts], kind="stable")]
-            earliest[slot[order]] = time[order]
-            who[slot[order]] = mix(owner[order] ^ copy[order].astype(np.uint64) * gold)
-        on = time < earliest.max()
-        owner, base, width, limit, time, state = owner[on], base[on], width[on], limit[on], time[on], state[on]
-    return who
+        points = np.arange(1, min(64, max(1, POINTS // len(owner))) + 1, dtype=np.uint64)
+        states = state[:, None] + golden * points
+        a, b = mix(states), mix(states ^ np.uint64(0x5851F42D4C957F2D))
+        gaps = -np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / (width * slots)[:, None]
+        times = time[:, None] + np.cumsum(gaps, axis=1)
+        slot = doc[:, None] * slots + (b % np.uint64(slots)).astype(np.int64)
+        copy = base[:, None] + ((b >> np.uint64(20)) % width.astype(np.uint64)[:, None]).astype(np.int64)
+        row, col = np.nonzero((copy < limit[:, None]) & (times < earliest[slot]))
+        t, at = times[row, col], slot[row, col]
+        order = np.argsort(-t, kind="stable")
+        earliest[at[order]] = t[order]
+        who[at[order]] = mix(owner[row] ^ copy[row, col].astype(np.uint64) * golden)[order]
+        time, state = times[:, -1], states[:, -1]
+        on = time < earliest.reshape(-1, slots).max(axis=1)[doc]
+        doc, owner, base, width, limit, time, state = doc[on], owner[on], base[on], width[on], limit[on], time[on], state[on]
+    return who.reshape(-1, slots)
+
+
+def signature(keys: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    return signatures([(keys, weights)], slots)[0]
 
 
 def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Word-sequence digest, number of shingles, band keys and one byte of each slot, for each row."""
     word, hashes = re.compile(r"[^\W_]+"), WordHashes()
     powers = np.cumprod(np.full(ROWS, np.uint64(0x2545F4914F6CDD1D)))
+    columns = ["doc_id", "digest", "n", "bands", "bytes"]
+
+    def finish(rows: list, bags: list) -> pd.DataFrame:
+        if bags:
+            who = signatures([bag for _, bag in bags])
+            bands = mix((who.reshape(-1, BANDS, ROWS) * powers).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
+            low = (who & np.uint64(255)).astype(np.uint8)
+            for k, (i, (_, weights)) in enumerate(bags):
+                rows[i][2:] = [int(weights.sum()), bands[k], low[k].tobytes()]
+        return pd.DataFrame(rows, columns=columns)
+
     for batch in batches:
-        rows = []
-        for text in batch["text"]:
+        rows, bags, size = [], [], 0
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             words = word.findall(text.lower())
             digest = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
-            keys, weights = shingles(words, hashes)
-            if not len(keys):
-                rows.append((digest, 0, [], b""))
-                continue
-            who = signature(keys, weights)
-            bands = mix((who.reshape(BANDS, ROWS) * powers).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
-            rows.append((digest, int(weights.sum()), bands, (who & np.uint64(255)).astype(np.uint8).tobytes()))
-        yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["digest", "n", "bands", "bytes"])], axis=1)
+            bag = shingles(words, hashes)
+            if len(bag[0]):
+                bags.append((len(rows), bag))
+                size += len(bag[0])
+            rows.append([doc_id, digest, 0, [], b""])
+            if size >= POINTS:
+                yield finish(rows, bags)
+                rows, bags, size = [], [], 0
+        if rows:
+            yield finish(rows, bags)
 
 
 def looks_similar(threshold: float, slack: float):
@@ -174,17 +205,39 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("root"))
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the ids. A set of hashed ids with at most ``FILTER`` members goes to the scan first, so few texts move."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    some = F.broadcast(ids.select(part("id").alias("part")).distinct())
+    near = docs.join(some, part("doc_id") == F.col("part"), "left_semi")
+    return near.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+
+
 def check_pairs(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, slack: float) -> DataFrame:
     """The pairs (x, y) that reach the threshold: by signature first, then on the texts."""
     bytes_ = reps.select("id", "bytes")
     both = pairs.join(bytes_.select(F.col("id").alias("x"), F.col("bytes").alias("sa")), "x").join(bytes_.select(F.col("id").alias("y"), F.col("bytes").alias("sb")), "y")
     likely = durable(both.mapInPandas(looks_similar(threshold, slack), "x long, y long"))
-    asked = likely.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    texts = docs.join(asked, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    both = likely.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("ta")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("tb")), "y")
+    texts = texts_of(docs, likely.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    both = likely.join(texts.select(F.col("id").alias("x"), F.col("text").alias("ta")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("tb")), "y")
     return durable(both.mapInPandas(verified(threshold), "x long, y long"))
 
 
+def shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    word, hashes = re.compile(r"[^\W_]+"), WordHashes()
+    for batch in batches:
+        for i, text in zip(batch["id"], batch["text"], strict=True):
+            keys, weights = shingles(word.findall(text.lower()), hashes)
+            yield pd.DataFrame({"id": np.full(len(keys), i), "shingle": keys.astype(np.int64), "w": weights})
+
+
+def own_weight(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): the weight of the shingles that none of the other ids has."""
+    rows = texts_of(docs, ids).mapInPandas(shingle_rows, "id long, shingle long, w long")
+    alone = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("c"), F.sum("w").alias("w")).filter("c = 1")
+    return alone.groupBy("id").agg(F.sum("w").alias("own"))
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8, slack: float = 0.14) -> DataFrame:
     """(doc_id, class_id), one row per row of ``docs``: ids whose texts reach the threshold through a chain of links."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -204,11 +257,18 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, slack: float = 0.14) -
     links = check_pairs(stars, reps, rows, threshold, slack)
     roots = components(links)
     marked = durable(buckets.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root")))
-    most = marked.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = marked.join(most.select("bucket", F.col("most.root").alias("main")), "bucket")
-    left = mixed.filter("root <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    right = mixed.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("main"))
+    several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    open_ = durable(marked.join(several, "bucket", "left_semi"))
+    # Two documents share no more than either has besides its own shingles; a pair needs threshold / (1 + threshold) of both sizes.
+    own = own_weight(rows, open_.select("id").distinct())
+    open_ = open_.join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).filter(F.col("s") >= F.lit(threshold) * F.col("n")).drop("own")
+    open_ = durable(open_)
+    most = open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = open_.join(most.select("bucket", F.col("most.root").alias("main")), "bucket")
+    left = mixed.filter("root <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("root").alias("rx"))
+    right = mixed.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("root").alias("ry"), "main")
     near = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny"))
+    near = near & (F.least("sx", "sy") >= F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("nx") + F.col("ny")))
     across = left.join(right, "bucket").filter(near).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     more = check_pairs(across, reps, rows, threshold, slack)
     roots = components(links.unionByName(more))
