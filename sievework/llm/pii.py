@@ -46,6 +46,9 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Every pattern needs one of these, so texts without them need no closer look.
+HINT = rf"[0-9@=]|AKIA|(?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES))})\.? "
+
 
 def kind_of(value: Column) -> Column:
     """The type of an entity, in the order of the patterns."""
@@ -141,7 +144,8 @@ def surrogates(values: DataFrame, key: str, rounds: int = 60) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced, and their number (``n_entities``)."""
-    found, name = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY), F.lit(0)), free_name(docs, "n_entities")
+    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    name = free_name(docs, "n_entities")
     entities = free_name(docs, "entities")
     marked = docs.withColumn(entities, found)
     plain = marked.filter(F.size(entities) == 0).drop(entities).withColumn(name, F.lit(0))
