@@ -9,8 +9,8 @@ similarity. Processes are advanced together and stop once they have passed the l
 Signatures are banded; documents that share a band (within a size class) are candidates. Which documents belong together:
 
 1. Documents with the same words in the same order are one text class; only its smallest id goes on.
-2. Each remaining document is verified against the smallest partner in its buckets that looks similar enough by signature.
-   Verified links give first components.
+2. Each remaining document is verified against at most two of its buckets' smallest members, and then against the root of
+   the component that its buckets hold most of. Verified links give first components.
 3. In a bucket that holds several components, the members outside its most frequent component are paired with the members
    of other components, unless the shingles that no other such member has already exclude the threshold. So a bucket of
    thousands of near copies yields few pairs, while no link across components is lost. Pairs whose signatures exclude
@@ -249,12 +249,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, slack: float = 0.14) -
     buckets = reps.select("id", "n", size.alias("c"), F.posexplode("bands").alias("band", "key")).select("id", "n", F.explode(F.array(F.xxhash64("band", "key", "c"), F.xxhash64("band", "key", F.col("c") + 1))).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("bucket", "first")
     buckets = durable(buckets.join(shared, "bucket").select("bucket", "first", "id", "n"))
-    # Every document's smallest partner that looks similar.
-    stars = buckets.filter("first < id").select(F.col("id").alias("x"), F.col("first").alias("y")).distinct()
-    bytes_ = reps.select("id", "bytes")
-    stars = stars.join(bytes_.select(F.col("id").alias("x"), F.col("bytes").alias("sa")), "x").join(bytes_.select(F.col("id").alias("y"), F.col("bytes").alias("sb")), "y")
-    stars = stars.mapInPandas(looks_similar(threshold, slack / 4), "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
+    # Of every document's buckets, the smallest members: the one met most often and the smallest of all.
+    firsts = buckets.filter("first < id").groupBy("id", "first").count().groupBy("id").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("a"), F.min("first").alias("b"))
+    stars = firsts.select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array("a", "b"))).alias("y"))
     links = check_pairs(stars, reps, rows, threshold, slack)
+    # Then the root of the component that its buckets hold most of, if it isn't in there yet.
+    marked = buckets.join(components(links), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    main = marked.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"))
+    votes = marked.join(main, "bucket").filter("root <> main").groupBy("id", "main").count().groupBy("id").agg(F.max_by("main", F.struct("count", -F.col("main"))).alias("y"))
+    links = links.unionByName(check_pairs(votes.select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct(), reps, rows, threshold, slack))
     roots = components(links)
     marked = durable(buckets.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root")))
     several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
