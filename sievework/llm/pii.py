@@ -31,12 +31,17 @@ NAMES = {
 }
 ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[à-öø-ÿ]": "àáâãäåæçèéêëìíîïñòóôõöøùúûü", "[À-ÖØ-Þ]": "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ", "[а-я]": "абвгдежзийклмнопрстуфхцчшщыэюя", "[А-Я]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", "[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
+# Secrets with a form of their own, and the words that name the others.
+_HEX = r"\b(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,64}\b"
+_CLOUD = r"\bAKIA[0-9A-Z]{16}\b"
+_SECRET = r"(?i:\b(?:password|passwd|secret|token)[\"']?[ \t]*+[=:][ \t]*+)"
 _NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
-    "password": r"(?i:\b(?:password|passwd|secret|token)=)[^\s\"',;]+",
-    "cloud_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "hex_key": r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}\b",
+    # A key of a known form is one entity with and without a word before it.
+    "password": rf"{_SECRET}(?![\"']?(?:{_CLOUD}|{_HEX})[.!?)]*(?:[\"'\s,;]|$))(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[\"']?[^\s\"',;]+)",
+    "cloud_key": _CLOUD,
+    "hex_key": _HEX,
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
     "card": r"(?<![\w+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
@@ -47,7 +52,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: Every pattern needs one of these, so texts without them need no closer look.
-HINT = rf"[0-9@=]|AKIA|(?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES))})\.? "
+HINT = rf"[0-9@=]|AKIA|{_SECRET}|(?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES))})\.? "
 
 
 def kind_of(value: Column) -> Column:
@@ -101,7 +106,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     card = F.when(luhn(digits) % 10 == 0, F.concat(stem, check)).otherwise(own)
     head = lambda pattern: F.regexp_extract(value, pattern, 1)
     rest = lambda pattern: alike(F.regexp_replace(value, pattern, ""), seed)
-    hexes = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.substring(F.lit("0123456789abcdef"), draw(seed, i, 16) + 1, F.lit(1))), "")
+    hex_digit = lambda c, new: F.when((value == F.upper(value)) | c.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    hexes = F.array_join(F.transform(F.split(value, ""), lambda c, i: hex_digit(c, F.substring(F.lit("0123456789abcdef"), draw(seed, i, 16) + 1, F.lit(1)))), "")
+    # A secret of a few letters, or of signs only, runs out of others like it and gets a longer one.
+    secret = rest(f"^{_SECRET}")
+    longer = F.when((attempt > 5) | (secret == F.regexp_replace(value, f"^{_SECRET}", "")), F.substring(seed, 1, 8)).otherwise("")
+    quote = F.regexp_extract(secret, "([\"']?)$", 1)
+    password = F.concat(head(f"^({_SECRET})"), F.regexp_replace(secret, "[\"']$", ""), longer, quote)
     title = F.regexp_extract(value, rf"^((?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES))})\.? )", 1)
     male = F.regexp_replace(F.trim(title), r"\.$", "").isin(*MALE_TITLES)
     cyrillic = F.call_function("substr", value, F.length(title) + 1).rlike(r"\p{IsCyrillic}")
@@ -117,7 +128,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         .when(kind == "card", card)
         .when(kind == "hex_key", hexes)
         .when(kind == "cloud_key", F.concat(F.lit("AKIA"), rest("^AKIA")))
-        .when(kind == "password", F.concat(head("^([^=]+=)"), rest("^[^=]+=")))
+        .when(kind == "password", password)
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(same, 3, 64)))
         .when(kind == "phone", F.concat(head(r"^(\+\d{1,3}(?=\D)|)"), rest(r"^\+\d{1,3}(?=\D)")))
         .when(kind == "person", person)

@@ -40,3 +40,22 @@ def test_key_matters(spark, documents):
     df = documents([(1, "ann.b@x.org")])
     a, b, c = (pii.replace_entities(df, k).collect()[0].text for k in ("k1", "k2", "k1"))
     assert a != b and a == c
+
+
+def test_secrets_of_either_case_spaced_and_quoted(spark, documents):
+    upper, lower, mixed = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "9233a8ECF7C5B09FE5949719B6B82BC439E9329B"
+    rows = [
+        (1, f'TOKEN = "{upper}"!!'), (2, f"again {upper}."), (3, f'token = "{lower}"'), (4, f"key {mixed} and token={lower}"),
+        (5, 'password = "Blue horse, 42"; x'), (6, "Secret: hunterTWO"), (7, '{"password": "hunterTWO", "passwd" : \'abc\'}'), (8, "token:*** and secret : x"), (9, "no secret here"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(documents(rows), "key").collect()}
+    assert [got[i].n_entities for i in range(1, 10)] == [1, 1, 1, 2, 1, 1, 2, 2, 0]
+    new = re.fullmatch(r'TOKEN = "([0-9A-F]{40})"!!', got[1].text)[1]
+    assert new != upper and got[2].text == f"again {new}."
+    small = re.fullmatch(r'token = "([0-9a-f]{40})"', got[3].text)[1]
+    assert small != lower and re.fullmatch(rf"key [0-9a-fA-F]{{40}} and token={small}", got[4].text) and mixed not in got[4].text
+    assert re.fullmatch(r'password = "[A-Z][a-z]{3} [a-z]{5}, \d\d"; x', got[5].text) and got[5].text != rows[4][1]
+    assert re.fullmatch(r"Secret: [a-z]{6}[A-Z]{3}", got[6].text)
+    assert re.fullmatch(r"""\{"password": "[a-z]{6}[A-Z]{3}", "passwd" : '[a-z]{3}'\}""", got[7].text)
+    assert "hunter" not in got[6].text + got[7].text and "abc" not in got[7].text
+    assert re.fullmatch(r"token:\*{3}[0-9a-f]{8} and secret : [a-wyz]", got[8].text) and got[9].text == rows[8][1]
