@@ -35,11 +35,16 @@ def blocked_pairs(asked: DataFrame, hits: DataFrame, threshold: float) -> DataFr
     return pairs.join(a.drop("words"), "request").join(h.drop("hit_words"), "hit")
 
 
-def match_titles(asked: DataFrame, hits: DataFrame, threshold: float = 0.72, top: int = 1) -> DataFrame:
-    """(request, hit, score, n): hits whose title matches, best first, at most ``top`` a request."""
+def scored_pairs(asked: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """Every pair (request, title, hit, hit_title, score) whose title score reaches the threshold."""
     pairs = blocked_pairs(asked, hits, threshold)
     hopeful = pairs.filter(word_score(F.col("title"), F.col("hit_title")) + SEQUENCE + SORTED >= threshold)
-    scored = hopeful.withColumn("score", title_score(F.col("title"), F.col("hit_title"))).filter(F.col("score") >= threshold)
+    return hopeful.withColumn("score", title_score(F.col("title"), F.col("hit_title"))).filter(F.col("score") >= threshold)
+
+
+def match_titles(asked: DataFrame, hits: DataFrame, threshold: float = 0.72, top: int = 1) -> DataFrame:
+    """(request, hit, score, n): hits whose title matches, best first, at most ``top`` a request."""
+    scored = scored_pairs(asked, hits, threshold)
     n = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "hit"))
     return scored.withColumn("n", n).filter(F.col("n") <= top).select("request", "hit", "score", "n")
 
@@ -61,6 +66,19 @@ def match_cut_titles(asked: DataFrame, hits: DataFrame, least: int = 20, thresho
     return by_start.unionByName(match_titles(asked, whole, threshold, 1_000_000).select("request", "hit", F.lit("score").alias("how")))
 
 
+def recovery_pairs(asked: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """Pairs for ``rank_recovery``, whose ``request`` is the title: every hit above the threshold counts, equal ones as one row.
+
+    ``asked``: title, requested_year, requested_author, the same for each title; ``hits``: hit_title, doi, resolver, year,
+    author, urls. Titles are compared once however many records share them, so pairs don't grow with the square of those.
+    """
+    titles = asked.select("title", "requested_year", "requested_author").distinct()
+    records = hits.groupBy("hit_title", "doi", "resolver", "year", "author").agg(F.array_distinct(F.flatten(F.collect_set("urls"))).alias("urls"))
+    named = lambda df, name, by: df.select(F.col(by).alias(name), by).distinct()
+    scored = scored_pairs(named(asked, "request", "title"), named(hits, "hit", "hit_title"), threshold)
+    return scored.select("request", "title", "hit_title", F.col("score").alias("similarity")).join(titles, "title").join(records, "hit_title")
+
+
 def rank_recovery(pairs: DataFrame, most: int = 30) -> DataFrame:
     """Candidates of each request, corroborated over sources, at most ``most``.
 
@@ -72,7 +90,7 @@ def rank_recovery(pairs: DataFrame, most: int = 30) -> DataFrame:
     rows = pairs.filter(F.trim(F.coalesce("hit_title", F.lit(""))) != "").select("*", key.alias("key"), cover.alias("coverage"), year_score(F.col("requested_year"), F.col("year")).alias("year_score"), same_surname(F.col("requested_author"), F.col("author")).cast("double").alias("author_score"))
     base = 0.50 * F.col("similarity") + 0.30 * F.col("coverage") + 0.10 * F.col("year_score") + 0.10 * F.col("author_score")
     best = F.max_by(F.struct("hit_title", "doi", "similarity", "coverage", "year_score", "author_score"), F.struct(F.round(base, 9), F.col("resolver")))
-    grouped = rows.groupBy("request", "key").agg(best.alias("b"), F.count_distinct(F.nullif(F.lower("resolver"), F.lit(""))).alias("source_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("urls"))
+    grouped = rows.groupBy("request", "key").agg(best.alias("b"), F.count_distinct(F.nullif(F.lower("resolver"), F.lit(""))).alias("source_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("urls")))).alias("urls"))
     total = 0.78 * F.col("b.similarity") + 0.12 * F.col("b.coverage") + 0.06 * F.col("b.year_score") + 0.04 * F.col("b.author_score")
     bonus = F.least(F.lit(0.08), 0.02 * F.greatest(F.lit(0), F.col("source_count") - 1))
     ranked = grouped.select("request", "key", F.col("b.hit_title").alias("hit_title"), F.col("b.similarity").alias("similarity"), "source_count", "urls", F.round(F.least(F.lit(1.0), total + bonus), 6).alias("rank_score"))

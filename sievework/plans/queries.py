@@ -537,14 +537,27 @@ def _ranked(t: Tables) -> DataFrame:
     )
 
 
+def _recovered(t: Tables, accept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``accept`` says of each request, ranked over all records above the threshold."""
+    asked, hits = _titles(t)
+    hit = F.col("hit")
+    records = hits.select(
+        "hit_title", F.when(hit % 4 != 0, F.concat(F.lit("10.5555/p"), (hit % 40).cast("string"))).alias("doi"), F.concat(F.lit("s"), (hit % 3).cast("string")).alias("resolver"),
+        (2000 + hit % 3).alias("year"), F.lit("A B").alias("author"), F.array(F.concat(F.lit("u"), hit.cast("string"))).alias("urls"),
+    )
+    wanted = asked.select("title", F.lit(2001).alias("requested_year"), F.lit("C B").alias("requested_author"))
+    best = accept(linkage.rank_recovery(linkage.recovery_pairs(wanted, records, threshold=0.5)))
+    return asked.join(best.withColumnRenamed("request", "title"), "title")
+
+
 @query("title_recovery_ranking")
 def _(t: Tables) -> DataFrame:
-    return linkage.accept(linkage.rank_recovery(_ranked(t))).select("request", "key", "rank_score", "gap", "accepted", "why")
+    return _recovered(t, linkage.accept).select("request", "key", "rank_score", "gap", "accepted", "why")
 
 
 @query("title_recovery_strict")
 def _(t: Tables) -> DataFrame:
-    return linkage.accept_strict(linkage.rank_recovery(_ranked(t))).select("request", "key", "rank_score", "accepted", "why")
+    return _recovered(t, linkage.accept_strict).select("request", "key", "rank_score", "accepted", "why")
 
 
 @query("title_simple_ranking")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from sievework.functions import ids, similarity, text
 from sievework.operators import documents, identity, ledger, linkage, prisma, review, screening
+from sievework.plans import queries
+from sievework.plans.views import Tables
 from sievework.sources import lists, pages, payloads, sinks
 
 
@@ -136,6 +138,26 @@ def test_blocking_loses_no_pair(spark):
     assert {(r.request, r.hit) for r in every.collect()} == {(r.request, r.hit) for r in linkage.match_titles(asked, hits, 0.72, 100).collect()}
 
 
+def test_recovery_ranks_all_records_of_a_shared_title(spark, tmp_path):
+    # More than 50 equal titles of the smallest ids have one source and the wrong year; the right ones come after them.
+    ids = [*range(3, 363, 6), 501, 505, 541]
+    html = "<h1>alpha beta gamma delta epsilon</h1>"
+    spark.createDataFrame([(i, "u", html) for i in ids], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    tables = Tables(spark, str(tmp_path))
+    every = linkage.scored_pairs(*queries._titles(tables), 0.5)
+    assert every.count() == sum(i % 3 == 0 for i in ids) * len(ids)
+    rows = queries.queries()["title_recovery_ranking"](spark, str(tmp_path)).collect()
+    assert sorted(r.request for r in rows) == [i for i in ids if i % 3 == 0]
+    # Brute force: key p{i % 40}, year 2000 + i % 3 of 2001 asked, a source for each i % 3.
+    by = {}
+    for i in ids:
+        by.setdefault(f"doi:10.5555/p{i % 40}", set()).add(i % 3)
+    right = {k for k, v in by.items() if 1 in v}
+    assert right and all(r.key == min(right) and r.rank_score == 1.0 and r.accepted for r in rows)
+    strict = queries.queries()["title_recovery_strict"](spark, str(tmp_path)).collect()
+    assert sorted((r.request, r.key, r.rank_score) for r in strict) == sorted((r.request, r.key, r.rank_score) for r in rows)
+
+
 def test_progressive_variants(spark):
     df = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.95), (1, 1, 0.2), (1, 2, 0.99)], "request int, pos int, score double")
     assert sorted((r.pos, r.score) for r in linkage.progressive(df).collect()) == [(0, 0.5), (1, 0.2), (1, 0.95)]
