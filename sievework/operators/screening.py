@@ -122,11 +122,15 @@ def bulk_candidates(articles: DataFrame, agreement: DataFrame) -> DataFrame:
     return articles.filter("situation = 'pendente'").join(agreement, "article").withColumn("group", status).filter("group IS NOT NULL")
 
 
+def not_acceptable() -> Column:
+    """Why the suggestion on a record of the worklist can't be accepted, else null."""
+    return F.when(F.col("situation").isNull(), "unknown record").when(F.col("situation") != "pendente", "already decided").when(F.col("suggested").isNull(), "no suggestion").when(~F.coalesce("current", F.lit(False)), "suggestion out of date")
+
+
 def accept_all(chosen: DataFrame, worklist_: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
     """(decisions, violations) of a bulk acceptance; the decisions are empty if anything is violated."""
     rows = chosen.select("doi").distinct().join(worklist_.select("doi", "situation", "suggested", "current"), "doi", "left")
-    why = F.when(F.col("situation").isNull(), "unknown record").when(F.col("situation") != "pendente", "already decided").when(F.col("suggested").isNull(), "no suggestion").when(~F.coalesce("current", F.lit(False)), "suggestion out of date")
-    rows = rows.withColumn("why", why)
+    rows = rows.withColumn("why", not_acceptable())
     bad = rows.filter("why IS NOT NULL").select("doi", "why")
     over = rows.agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit(None).cast("string").alias("doi"), F.lit("too many records").alias("why"))
     violations = bad.unionByName(over)
@@ -135,6 +139,17 @@ def accept_all(chosen: DataFrame, worklist_: DataFrame, most: int = 500) -> tupl
     return good, violations
 
 
+def accept_batches(chosen: DataFrame, worklist_: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """As ``accept_all`` for many acceptances, told apart by ``batch``: each is accepted whole or not at all."""
+    rows = chosen.select("batch", "doi").distinct().join(worklist_.select("doi", "situation", "suggested", "current"), "doi", "left").withColumn("why", not_acceptable())
+    batches = rows.groupBy(F.col("batch").alias("b")).agg(F.count("*").alias("n"), F.count("why").alias("bad"))
+    over = batches.filter(F.col("n") > most).select(F.col("b").alias("batch"), F.lit(None).cast("string").alias("doi"), F.lit("too many records").alias("why"))
+    violations = rows.filter("why IS NOT NULL").select("batch", "doi", "why").unionByName(over)
+    whole = batches.filter((F.col("bad") == 0) & (F.col("n") <= most))
+    good = rows.join(whole, F.col("batch").eqNullSafe(F.col("b"))).select("batch", "doi", F.col("suggested").alias("decision"), F.lit("ia_accepted").alias("source"))
+    return good, violations
+
+
 def keyword_screen(records: DataFrame, all_of: list[list[str]], none_of: list[str], columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
     """Records whose text has a term of every group of ``all_of`` and none of ``none_of``; terms are literal, whole words."""
     import re

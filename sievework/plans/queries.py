@@ -111,6 +111,22 @@ def _(t: Tables) -> DataFrame:
     return screening.accept_all(t.search_items.filter("doc_id < 90 AND doc_id % 10 = 4 AND found").select("doi"), work)[0]
 
 
+_BATCHED = """c AS (SELECT doi, concat(CAST(doc_id % 4 AS VARCHAR), '/', CAST(doc_id // CASE WHEN doc_id % 4 = 3 THEN 4000 ELSE 2000 END AS VARCHAR)) AS batch,
+    CASE WHEN doc_id % 20 = 5 THEN 'already decided' WHEN doc_id % 20 = 10 THEN 'no suggestion' WHEN doc_id % 20 = 6 THEN 'suggestion out of date' END AS why FROM search_items WHERE found),
+b AS (SELECT batch, count(*) AS n, count(why) AS bad FROM c GROUP BY batch)"""
+
+
+@query("bulk_acceptance_batches", f"""SELECT * FROM (WITH {_BATCHED} SELECT c.batch, doi, 'incluir' AS decision, CAST(NULL AS VARCHAR) AS why FROM c JOIN b ON c.batch = b.batch WHERE bad = 0 AND n <= 500
+    UNION ALL SELECT batch, doi, NULL, why FROM c WHERE why IS NOT NULL UNION ALL SELECT batch, NULL, NULL, 'too many records' FROM b WHERE n > 500)""", "search_items")
+def _(t: Tables) -> DataFrame:
+    n = F.col("doc_id")
+    group = F.floor(n / F.when(n % 4 == 3, 4000).otherwise(2000)).cast("string")
+    found = t.search_items.filter("found").select("doi", n, F.concat((n % 4).cast("string"), F.lit("/"), group).alias("batch"))
+    work = t.search_items.select("doi", F.when(n % 20 == 5, "incluir").otherwise("pendente").alias("situation"), F.when(n % 20 != 10, "incluir").alias("suggested"), (n % 20 != 6).alias("current"))
+    good, bad = screening.accept_batches(found, work)
+    return good.select("batch", "doi", "decision", F.lit(None).cast("string").alias("why")).unionByName(bad.withColumn("decision", F.lit(None).cast("string")))
+
+
 _SLOTS = """o AS (SELECT article, max(CASE WHEN slot = 'r1' THEN reviewer END) AS w1, max(CASE WHEN slot = 'r1' THEN decision END) AS d1, max(CASE WHEN slot = 'r1' THEN version END) AS v1,
     max(CASE WHEN slot = 'r1' THEN reason END) AS m1, max(CASE WHEN slot = 'r2' THEN reason END) AS m2, max(CASE WHEN slot = 'adjudication' THEN reason END) AS m3,
     max(CASE WHEN slot = 'r2' THEN reviewer END) AS w2, max(CASE WHEN slot = 'r2' THEN decision END) AS d2, max(CASE WHEN slot = 'r2' THEN version END) AS v2,

@@ -158,6 +158,14 @@ def test_recovery_ranks_all_records_of_a_shared_title(spark, tmp_path):
     assert sorted((r.request, r.key, r.rank_score) for r in strict) == sorted((r.request, r.key, r.rank_score) for r in rows)
 
 
+def test_batches_are_accepted_whole_or_not_at_all(spark):
+    chosen = [("a", "1"), ("a", "2"), ("a", "2"), ("b", "3"), ("b", "4"), ("c", "1"), ("c", "2"), ("c", "5"), ("d", "6"), ("e", "7"), ("f", "8"), (None, "5")]
+    work = [("1", "pendente", "incluir", True), ("2", "pendente", "excluir", True), ("3", "pendente", "incluir", True), ("4", "incluir", "incluir", True), ("5", "pendente", "incluir", True), ("6", "pendente", None, True), ("7", "pendente", "incluir", False)]
+    good, bad = screening.accept_batches(spark.createDataFrame(chosen, "batch string, doi string"), spark.createDataFrame(work, "doi string, situation string, suggested string, current boolean"), most=2)
+    assert sorted((str(r.batch), r.doi, r.decision) for r in good.collect()) == [("None", "5", "incluir"), ("a", "1", "incluir"), ("a", "2", "excluir")]
+    assert {(r.batch, r.doi, r.why) for r in bad.collect()} == {("b", "4", "already decided"), ("c", None, "too many records"), ("d", "6", "no suggestion"), ("e", "7", "suggestion out of date"), ("f", "8", "unknown record")}
+
+
 def test_progressive_variants(spark):
     df = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.95), (1, 1, 0.2), (1, 2, 0.99)], "request int, pos int, score double")
     assert sorted((r.pos, r.score) for r in linkage.progressive(df).collect()) == [(0, 0.5), (1, 0.2), (1, 0.95)]
