@@ -6,11 +6,14 @@ are joined with those of the benchmark. Every hit gives a diagonal (offset of th
 the best run is scored, +1 for a token that agrees and -1 for one that doesn't. A pair is reported if the run scores at
 least ``min_score``, or ``min_share`` of a short item's tokens.
 
+Items shorter than the widest mask are also found by hashes of their whole run and of the run without one token; the corpus
+is only hashed for the lengths that the benchmark has.
+
 Long items are cut into overlapping passages, so that what a hit carries is bounded. Benchmarks whose hashes number at
 most ``broadcast_rows`` are broadcast (counted first) and the corpus isn't shuffled; larger ones are joined by shuffle.
 Hits are reduced per document and diagonal before they move.
 
-Defined results: null and empty texts, and items shorter than the shortest mask, match nothing; rows that share a doc_id
+Defined results: null and empty texts match nothing; rows that share a doc_id
 are one document, and rows that share an item_id one item (best score counts); null ids are kept as null; further
 columns are ignored in pairs and kept by ``decontaminate``; an empty table on either side gives no pairs.
 """
@@ -24,6 +27,7 @@ from sievework.llm.common import durable, normal_words, table
 
 # Token positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 8), (0, 1, 2, 4, 7, 8))
+WIDEST = max(m[-1] for m in MASKS) + 1
 PASSAGE, STRIDE = 256, 192
 
 
@@ -41,6 +45,15 @@ def windows(df: DataFrame, keep: list[str]) -> DataFrame:
     return at.select(*keep, *carried, "p", F.explode(F.array(*keys)).alias("k")).filter("k IS NOT NULL")
 
 
+def runs(df: DataFrame, keep: list[str], lengths: list[int], whole: bool = False) -> DataFrame:
+    """As ``windows``, for runs of the lengths: hashes of each and, from three tokens, of each without one token. ``whole``: only runs that are all of ``h``."""
+    at = df.filter(F.size("h") > 0).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("p"))
+    fits = lambda n: F.size("h") == F.col("p") + n if whole else F.size("h") >= F.col("p") + n
+    alone = (F.col("p") == 0) if whole else F.lit(True)
+    keys = [F.when(alone & fits(n), F.xxhash64(F.lit("run"), F.lit(n), F.lit(out), *[F.get("h", F.col("p") + o) for o in range(n) if o != out])) for n in lengths for out in range(-1, n if n > 2 else 0)]
+    return at.select(*keep, *[c for c in ("h",) if c not in keep], "p", F.explode(F.array(*keys)).alias("k")).filter("k IS NOT NULL")
+
+
 def passages_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, passage, n, g): the items' token hashes, cut into passages; equal passages of an item once."""
     whole = benchmark.select("item_id", token_hashes(F.col("text")).alias("all")).filter("all IS NOT NULL")
@@ -61,10 +74,18 @@ def best_run(pairs: Column) -> Column:
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_share: float = 0.6, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, score, item_tokens) of documents that hold a passage of a benchmark item."""
     passages = durable(passages_of(benchmark))
-    seeds = windows(passages.select("passage", "n", "g", F.col("g").alias("h")), ["passage", "g"]).select("k", "passage", "g", F.col("p").alias("j")).distinct()
+    lengths = sorted(r.n for r in passages.filter(F.col("n") < WIDEST).select("n").distinct().collect())
+    made = windows(passages.select("passage", "n", "g", F.col("g").alias("h")), ["passage", "g"])
+    if lengths:
+        short = passages.filter(F.col("n") < WIDEST).select("passage", "g", F.col("g").alias("h"))
+        made = made.unionByName(runs(short, ["passage", "g"], lengths, whole=True))
+    seeds = made.select("k", "passage", "g", F.col("p").alias("j")).distinct()
     few = seeds.count() <= broadcast_rows
     seeds = seeds.select("k", "passage", "j", F.size("g").alias("m"))
-    corpus = windows(docs.select("doc_id", token_hashes(F.col("text")).alias("h")), ["doc_id"])
+    tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
+    corpus = windows(tokens, ["doc_id"])
+    if lengths:
+        corpus = corpus.unionByName(runs(tokens, ["doc_id"], lengths))
     hits = corpus.join(F.broadcast(seeds) if few else seeds, "k")
     diagonal = F.col("p") - F.col("j")
     hits = hits.select("doc_id", "passage", diagonal.alias("diagonal"), F.slice("h", F.greatest(F.lit(0), diagonal) + 1, F.col("m") + F.least(F.lit(0), diagonal)).alias("part"))

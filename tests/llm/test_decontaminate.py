@@ -26,3 +26,22 @@ def test_long_items_are_cut(spark, documents):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = dc.contaminated_pairs(documents([(1, " ".join(item[700:760])), (2, "nothing of it " * 30)]), bench).collect()
     assert [(r.doc_id, r.score) for r in got] == [(1, 60)]
+
+
+def test_short_items_are_found(spark, documents):
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 5, 7, 8)}
+    around = lambda words: "before it " + " ".join(words) + " and after"
+    swap = lambda words, k: [*words[:k], "other", *words[k + 1 :]]
+    rows = [(n, around(w)) for n, w in items.items()] + [(10, " ".join(items[3]))]
+    rows += [(100 * n + k, around(swap(items[n], k))) for n in (5, 7, 8) for k in range(n)]
+    rows += [(901, around(items[5][:3])), (902, around(items[2][:1])), (903, None), (904, "")]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+
+    def best(a, b):
+        return max(sum(1 if x == y else -1 for x, y in zip(a[i:j], b[i:j])) for i in range(len(a)) for j in range(i + 1, len(a) + 1))
+
+    # All copies, and all with one token replaced whose best run reaches three fifths of the item.
+    want = [(n, n) for n in items] + [(10, 3)] + [(100 * n + k, n) for n in (5, 7, 8) for k in range(n) if best(items[n], swap(items[n], k)) * 5 >= n * 3]
+    for few in (2_000_000, 0):
+        got = dc.contaminated_pairs(documents(rows), bench, broadcast_rows=few).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got if r.doc_id != 901) == sorted(want)
