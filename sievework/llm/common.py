@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a session that names none (a test) gets a temporary one."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local session that names none (a test) gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith(("local[", "local,")) and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievework-"))
     return sc.getCheckpointDir()
 
 
@@ -29,6 +35,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in a folder of their own below the shared one; columns that a later step doesn't need aren't read again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{work_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read back. Its partitioning is forgotten, so that a later join can split a hot key."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: a writer's buffers count in its executor
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables for the steps of one job, removed at its end; what the job returns must be checkpointed by then."""
+    tables = Scratch(spark)
+    try:
+        yield tables
+    finally:
+        tables.remove()
+
+
 def normal_words(text: Column) -> Column:
     """Lower-case letter and digit runs joined by single spaces; empty for null text."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP, " "))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from sievework.llm import bagminhash as bm
+from sievework.llm.common import scratch
 
 
 def test_signatures_are_unbiased():
@@ -67,5 +68,6 @@ def test_rows_stay(spark, documents):
 
 def test_long_chains_meet(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (7, 7)], "x long, y long")
-    got = {r.id: r.root for r in bm.components(links).collect()}
+    with scratch(spark) as tables:
+        got = {r.id: r.root for r in bm.components(links, tables).collect()}
     assert {got.get(i, i) for i in range(61)} == {0} and got[200] == 100
