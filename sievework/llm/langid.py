@@ -6,11 +6,15 @@ its words; the winner's share of the tempered posterior is the confidence.
 
 The model is fitted on a bounded sample of labelled rows: per language about ``sample_chars`` characters, chosen by a hash
 of the id, and at most ``max_words`` words and ``max_grams`` n-grams. These bounds hold whatever the corpus, so the model
-(a few MB) may be broadcast. Every row is scored, in a narrow map.
+(a few MB) may be broadcast. It passes the driver in Arrow columns, without a Python object a word. Every row is scored, in a
+narrow map.
+
+Words are runs of letters (Unicode's categories of letters), in training as in prediction.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0; ties go to the language that sorts
 first; without any labelled row all are ``und``; repeated rows are scored alike; a null id is hashed as the empty text;
-other columns are ignored; texts are scored whole.
+other columns are ignored or, if asked for, kept beside ``lang_pred`` and ``score``, which get a leading ``_`` where the
+input has columns of these names; texts are scored whole.
 """
 
 from __future__ import annotations
@@ -24,33 +28,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import remainder, table
+from sievework.llm.common import free_name, remainder, table
 
 LONGEST = 4
 CACHE = 400_000
 ALPHA = 0.05
 
 
+#: Runs of letters: what Python counts as alphanumeric also holds numbers such as fractions, which aren't letters.
+WORD = r"[^\W\d_" + "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+"
+
+
 class Model:
-    """Log frequencies per language of words and n-grams: names to rows of a matrix each."""
+    """Log frequencies per language of words and n-grams: names, a line each, and a matrix row for each name."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[str, int], gram_logs: np.ndarray, floor: np.ndarray):
+    def __init__(self, langs: list[str], words: str, word_logs: np.ndarray, grams: str, gram_logs: np.ndarray, floor: np.ndarray):
         self.langs, self.words, self.word_logs, self.grams, self.gram_logs, self.floor = langs, words, word_logs, grams, gram_logs, floor
 
     def parts(self) -> tuple:
         return self.langs, self.words, self.word_logs, self.grams, self.gram_logs, self.floor
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean over the places of the word of the longest known n-gram that starts there."""
-        marked, total, get = f"^{word}$", np.zeros(len(self.langs)), self.grams.get
-        for at in range(len(marked)):
-            for end in range(min(at + LONGEST, len(marked)), at, -1):
-                if (known := get(marked[at:end])) is not None:
-                    total += self.gram_logs[known]
-                    break
-            else:
-                total += self.floor
-        return total / len(marked)
+
+def rows_of(names: str) -> dict[str, int]:
+    return {name: i for i, name in enumerate(names.split("\n"))} if names else {}
 
 
 class Scorer(dict):
@@ -58,22 +58,34 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.grams = model, rows_of(model.grams)
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.update(self.model.words)
+        self.update(rows_of(self.model.words))
         self.rows = np.concatenate([self.model.word_logs, np.empty((4096, len(self.model.langs)))])
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[at] = self.model.unseen(word)
+        self.rows[at] = self.unseen(word)
         self[word] = at
         return at
 
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean over the places of the word of the longest known n-gram that starts there."""
+        marked, total, get = f"^{word}$", np.zeros(len(self.model.langs)), self.grams.get
+        for at in range(len(marked)):
+            for end in range(min(at + LONGEST, len(marked)), at, -1):
+                if (known := get(marked[at:end])) is not None:
+                    total += self.model.gram_logs[known]
+                    break
+            else:
+                total += self.model.floor
+        return total / len(marked)
+
     def total(self, words: list[str]) -> np.ndarray:
         if len(self) > CACHE:
             self.start()
@@ -103,33 +115,43 @@ def fit(labelled: DataFrame, sample_chars: int = 6_000_000, max_words: int = 120
         part = F.lit(1.0)
         for lang in langs:
             part = F.when(F.col("lang") == lang, F.lit(1.0 / totals[lang])).otherwise(part)
-        often = counts.filter("count > 1").groupBy("word").agg(F.max(F.col("count") * part).alias("f"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("n"))
-        known = often.orderBy(F.desc("f"), "word").limit(max_words).collect()
+        def chosen(df: DataFrame, name: str, most: int):
+            """The most frequent names, in Arrow: the name, and its counts in the order of ``langs``."""
+            by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("count")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+            best = df.groupBy(name).agg(F.max(F.col("count") * part).alias("f"), *by_lang).orderBy(F.desc("f"), name).limit(most)
+            return best.select(name, F.array(*[f"n{i}" for i in range(len(langs))]).cast("array<double>").alias("n")).toArrow()
+
+        known = chosen(counts.filter("count > 1"), "word", max_words)
         marked = F.concat(F.lit("^"), "word", F.lit("$"))
         sizes_ = F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size")
         spread = counts.select("lang", "count", marked.alias("marked"), sizes_).filter(F.length("marked") >= F.col("size"))
         grams = spread.select("lang", "count", "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - F.col("size") + 1), lambda i: F.substring(F.col("marked"), i, F.col("size")))).alias("gram"))
-        grams = grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")).filter("count > 2")
-        grams = grams.groupBy("gram").agg(F.max(F.col("count") * part).alias("f"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("n"))
-        chosen = grams.orderBy(F.desc("f"), "gram").limit(max_grams).collect()
+        pieces = chosen(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")).filter("count > 2"), "gram", max_grams)
     finally:
         counts.unpersist()
     base = np.array([totals[lang] for lang in langs], dtype=float)
 
-    def logs(rows, vocabulary):
-        n = np.array([[r.n.get(lang, 0) for lang in langs] for r in rows], dtype=float).reshape(len(rows), len(langs))
-        return np.log((n + ALPHA) / (base + ALPHA * vocabulary))
+    def logs(found) -> np.ndarray:
+        n = found.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(found), len(langs))
+        return np.log((n + ALPHA) / (base + ALPHA * len(found)))
+
+    lines = lambda found, name: "\n".join(map(str, found.column(name)))
+    floor = np.log(ALPHA / (base + ALPHA * max(1, len(pieces))))
+    return Model(langs, lines(known, "word"), logs(known), lines(pieces, "gram"), logs(pieces), floor)
+
 
-    floor = np.log(ALPHA / (base + ALPHA * max(1, len(chosen))))
-    return Model(langs, {r.word: i for i, r in enumerate(known)}, logs(known, len(known)), {r.gram: i for i, r in enumerate(chosen)}, logs(chosen, len(chosen)), floor)
+def new_columns(df: DataFrame) -> tuple[str, str]:
+    """What ``predict`` names its two columns beside those of ``df``."""
+    return free_name(df, "lang_pred"), free_name(df, "score")
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """The columns ``keep`` of ``docs``, with ``lang_pred`` and ``score`` of its ``text``."""
+    lang_pred, score = new_columns(docs.select(*keep))
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, word = Model(*shared.value), re.compile(r"[^\W\d_]+")
+        model, word = Model(*shared.value), re.compile(WORD)
         scorer, langs = Scorer(model), model.langs
         for batch in batches:
             preds, scores = [], []
@@ -143,10 +165,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> Data
                 best = int(total.argmax())
                 preds.append(langs[best])
                 scores.append(1.0 / float(np.exp(np.maximum((total - total[best]) / math.sqrt(len(words)), -700)).sum()))
-            yield batch[keep].assign(lang_pred=preds, score=scores)
+            yield batch[keep].assign(**{lang_pred: preds, score: scores})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields}, `{lang_pred}` string, `{score}` double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
