@@ -14,8 +14,8 @@ from sievework.llm.common import table, work_folder
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; text without letters and undecided texts go."""
-    model = langid.fit(langid.training_rows(docs))
-    return langid.predict(docs, model, keep=docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    model, (lang, score) = langid.fit(langid.training_rows(docs)), langid.new_columns(docs)
+    return langid.predict(docs, model, keep=docs.columns).filter((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
