@@ -2,7 +2,8 @@
 
 Lines are compared as sequences of words (lower case, split at white space). A line goes if an earlier line, by
 (doc_id, position), equals it or differs by at most one edit: a word put in, taken out or replaced. The one bound
-``max_edits`` is 0 or 1. Edits are only considered for lines of at least ``min_words`` words. Blank lines stay.
+``max_edits`` is 0 or 1. Edits are only considered for lines of at least ``min_words`` words: that is what near means, since
+one word of a shorter line is too large a share of it ("chapter one", "chapter two"). Blank lines stay.
 
 1. Equal lines: one partial aggregation per line hash finds the earliest occurrence, so no group of copies meets.
 2. A pair one edit apart shares its first half or its last half. Distinct lines that share no half with another line
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import durable, free_name, table
+from sievework.llm.common import Scratch, durable, free_name, scratch, table
 
 LAST = (1 << 63) - 1
 BLOCK = 256
@@ -41,16 +42,25 @@ def d_and_pos() -> tuple[Column, Column]:
     return F.floor(F.col("place") / shift).cast("bigint").alias("d"), F.pmod(F.col("place"), shift).cast("int").alias("pos")
 
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+#: White space within lines, as the pattern ``\\s`` has it.
+GAPS = " \t\x0b\f\r"
+
+
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in their normal form: lower case, white space as single spaces. Texts with single spaces only need no pattern."""
+    odd = text.contains("  ")
+    for gap in GAPS[1:]:
+        odd = odd | text.contains(gap)
+    tidy = F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r][ \t\x0B\f\r]*| [ \t\x0B\f\r]+", " ")).otherwise(text)
+    return F.split(F.lower(tidy), "\n")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """One row per line that isn't blank: document key, position, normal form."""
     return (
         docs.filter(F.col("text").isNotNull())
-        .select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .withColumn("line", normal(F.col("line")))
+        .select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
+        .withColumn("line", F.trim("line"))
         .filter("line <> ''")
     )
 
@@ -77,30 +87,29 @@ def halves(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def near_lines(first: DataFrame, docs: DataFrame) -> DataFrame:
+def near_lines(first: DataFrame, docs: DataFrame, tables: Scratch) -> DataFrame:
     """``place`` of the distinct lines that lie one edit from an earlier one. ``first``: place, halves."""
     keyed = first.filter("halves IS NOT NULL").select("place", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("half")
-    some = keyed.join(shared, "half", "left_semi").select("place").distinct()
+    shared = tables.write(keyed.groupBy("half").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("half"))
+    some = keyed.join(shared, "half").select("place").distinct()
     wanted = some.select(*d_and_pos()).groupBy("d").agg(F.collect_set("pos").alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").filter("text IS NOT NULL").join(wanted, "d")
-    rows = texts.select("d", F.explode("wanted").alias("pos"), F.split("text", "\n").alias("lines")).filter("pos < size(lines)")
-    lines = rows.select(place(F.col("d"), F.col("pos")).alias("place"), normal(F.get("lines", "pos")).alias("line")).dropDuplicates(["place"])
-    lines = durable(lines)
-    variants = line_variants(lines)
-    buckets = variants.groupBy("k", "i").agg(F.min("place").alias("earliest"), F.count("*").alias("c"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").filter("text IS NOT NULL").join(wanted, "d").select("d", "wanted", normal_lines(F.col("text")).alias("lines"))
+    rows = texts.select("d", F.explode(F.transform("wanted", lambda pos: F.struct(pos.alias("pos"), F.trim(F.get("lines", pos)).alias("line")))).alias("l")).filter("l.line IS NOT NULL")
+    lines = tables.write(rows.select(place(F.col("d"), F.col("l.pos")).alias("place"), F.col("l.line").alias("line")).dropDuplicates(["place"]))
+    variants = tables.write(line_variants(lines))
+    buckets = tables.write(variants.groupBy("k", "i").agg(F.min("place").alias("earliest"), F.count("*").alias("c")))
     # Replaced words: lines of one length that agree without the word at the same place.
     best = buckets.filter("i >= 0 AND c > 1").select("k", "i", "earliest")
     replaced = variants.join(best, ["k", "i"]).filter("earliest < place").select("place", F.col("earliest").alias("partner"))
     # A word put in or taken out: a whole line that equals a longer one without a word.
     both = buckets.groupBy("k").agg(F.min(F.when(F.col("i") < 0, F.col("earliest"))).alias("short"), F.min(F.when(F.col("i") >= 0, F.col("earliest"))).alias("longer"))
-    both = durable(both.filter("short IS NOT NULL AND longer IS NOT NULL"))
+    both = tables.write(both.filter("short IS NOT NULL AND longer IS NOT NULL"))
     shorter = both.filter("longer < short").select(F.col("short").alias("place"), F.col("longer").alias("partner"))
     lengthened = variants.filter("i >= 0").join(both.select("k", "short"), "k").filter("short < place").select("place", F.col("short").alias("partner"))
     pairs = replaced.unionByName(shorter).unionByName(lengthened).distinct()
     words = lines.select("place", F.split("line", " ").alias("words"))
     pairs = pairs.join(words, "place").join(words.select(F.col("place").alias("partner"), F.col("words").alias("others")), "partner")
-    return pairs.filter(one_edit(F.col("words"), F.col("others"))).select("place").distinct()
+    return tables.write(pairs.filter(one_edit(F.col("words"), F.col("others"))).select("place").distinct())
 
 
 def line_variants(lines: DataFrame) -> DataFrame:
@@ -137,17 +146,17 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 6) -> Data
     rows = rows.select("a", "b", "place", *[F.get("halves", i).alias(f"h{i}") for i in range(4)])
     first = rows.groupBy("a", "b").agg(F.min("place").alias("place"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
     first = first.select("place", F.when(F.col("h0").isNotNull(), F.array("h0", "h1", "h2", "h3")).alias("halves"))
-    if max_edits:
-        first = durable(first)
-        stay = first.select("place").join(near_lines(first, docs), "place", "left_anti")
-    else:
+    with scratch(docs.sparkSession) as tables:
         stay = first.select("place")
-    by_doc = stay.select(*d_and_pos()).groupBy("d").agg(F.collect_list("pos").alias("keep"))
+        if max_edits:
+            first = tables.write(first)
+            stay = first.select("place").join(near_lines(first, docs, tables), "place", "left_anti")
+        by_doc = durable(stay.select(*d_and_pos()).groupBy("d").agg(F.collect_list("pos").alias("keep")))
     mine = {c: F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() != "text"}
     joined = docs.withColumn(d := free_name(docs, "d"), F.coalesce("doc_id", F.lit(LAST))).alias("doc").join(by_doc.alias("by"), F.col(f"doc.{d}") == F.col("by.d"), "left")
     lines = F.split("doc.text", "\n")
     out = joined.select(*mine.values(), F.struct(lines.alias("lines"), F.coalesce("by.keep", F.array().cast("array<int>")).alias("keep")).alias(both := free_name(docs, "both")))
-    blank = F.filter(F.transform(f"{both}.lines", lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s+", " ")) == "", i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(f"{both}.lines", lambda x, i: F.when(F.btrim(x, F.lit(GAPS)) == "", i)), lambda i: i.isNotNull())
     inside = F.filter(f"{both}.keep", lambda i: i < F.size(f"{both}.lines"))
     keep = F.array_sort(F.array_union(blank, inside))
     out = out.withColumn(both, F.struct(F.col(f"{both}.lines"), keep.alias("keep")))
