@@ -140,9 +140,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 6) -> Data
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
-    n = F.size(F.split("line", " "))
-    half = F.when(n >= min_words, halves(F.col("line"), n)) if max_edits else F.lit(None).cast("array<bigint>")
-    rows = line_rows(docs).select(F.xxhash64(F.lit(11), "line").alias("a"), F.xxhash64("line", F.lit(13)).alias("b"), place(F.col("d"), F.col("pos")).alias("place"), half.alias("halves"))
+    half = F.when(F.col("n") >= min_words, halves(F.col("line"), F.col("n"))) if max_edits else F.lit(None).cast("array<bigint>")
+    rows = line_rows(docs).withColumn("n", F.size(F.split("line", " "))).select(F.xxhash64(F.lit(11), "line").alias("a"), F.xxhash64("line", F.lit(13)).alias("b"), place(F.col("d"), F.col("pos")).alias("place"), half.alias("halves"))
     rows = rows.select("a", "b", "place", *[F.get("halves", i).alias(f"h{i}") for i in range(4)])
     first = rows.groupBy("a", "b").agg(F.min("place").alias("place"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
     first = first.select("place", F.when(F.col("h0").isNotNull(), F.array("h0", "h1", "h2", "h3")).alias("halves"))
