@@ -6,7 +6,8 @@ in a task. Arguments are checked against the tool's schema, and each call become
 canonical JSON: keys sorted, no spaces, characters not escaped unless JSON must.
 
 ``status`` says what holds, the first that applies: ``cycle`` (no step), ``unknown_tool``, ``bad_json``, ``bad_arguments``,
-``no_result``, ``ok``. A result without its call is a row with status ``no_call``.
+``no_result``, ``ok``. A result without its call is a row with status ``no_call``. JSON that can't be written again, since a
+number is beyond a double or a string holds half a surrogate pair, is ``bad_json``, too.
 
 Defined results: null text is an absent content (JSON null); of calls that share an identifier the earliest by (turn, name,
 arguments) counts, of results the earliest by (turn, content); names of calls to come after that don't exist
@@ -30,7 +31,7 @@ TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null":
 
 def of_type(value, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, TYPES[kind])
 
 
@@ -71,8 +72,9 @@ def written(schemas: dict[str, str]):
                 arguments, status = None, "ok"
                 try:
                     arguments = json.loads(r.arguments, parse_constant=refuse) if isinstance(r.arguments, str) else refuse("null")
+                    canonical(arguments).encode()
                 except (ValueError, RecursionError):
-                    status = "bad_json"
+                    arguments, status = None, "bad_json"
                 step = None if pd.isna(r.step) else int(r.step)
                 if step is None:
                     status = "cycle"

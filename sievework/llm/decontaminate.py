@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import durable, normal_words, table
+from sievework.llm.common import durable, free_name, normal_words, table
 
 # Token positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 8), (0, 1, 2, 4, 7, 8))
@@ -100,8 +100,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_score: int = 1
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
-    bad = contaminated_pairs(docs, benchmark, **settings).select("doc_id").distinct().withColumnRenamed("doc_id", "bad_id")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    name = free_name(docs, "bad_id")
+    bad = contaminated_pairs(docs, benchmark, **settings).select("doc_id").distinct().withColumnRenamed("doc_id", name)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,9 @@ CACHE = 400_000
 ALPHA = 0.05
 
 
-#: Runs of letters: what Python counts as alphanumeric also holds numbers such as fractions, which aren't letters.
-WORD = r"[^\W\d_" + "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+"
+WORD = r"[^\W\d_]+"
+#: What Python counts as alphanumeric also holds numbers such as fractions, which aren't letters and part words.
+NUMBERS = "[" + "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+"
 
 
 class Model:
@@ -58,19 +59,23 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.grams = model, rows_of(model.grams)
+        self.model, self.known, self.grams = model, rows_of(model.words), rows_of(model.grams)
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.update(rows_of(self.model.words))
+        self.update(self.known)
         self.rows = np.concatenate([self.model.word_logs, np.empty((4096, len(self.model.langs)))])
+        self.words_in = np.ones(len(self.rows))
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[at] = self.unseen(word)
+            self.words_in = np.concatenate([self.words_in, np.ones_like(self.words_in)])
+        parts = [word] if word.isalpha() else [w for w in re.split(NUMBERS, word) if w]
+        self.rows[at] = sum((self.model.word_logs[self.known[w]] if w in self.known else self.unseen(w) for w in parts), np.zeros(len(self.model.langs)))
+        self.words_in[at] = len(parts)
         self[word] = at
         return at
 
@@ -86,11 +91,12 @@ class Scorer(dict):
                 total += self.model.floor
         return total / len(marked)
 
-    def total(self, words: list[str]) -> np.ndarray:
+    def total(self, words: list[str]) -> tuple[np.ndarray, float]:
+        """The sum of the words' rows, and how many words there are."""
         if len(self) > CACHE:
             self.start()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.rows[at].sum(axis=0)
+        return self.rows[at].sum(axis=0), float(self.words_in[at].sum())
 
 
 def letters(text):
@@ -157,14 +163,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> Data
             preds, scores = [], []
             for text in batch["text"]:
                 words = word.findall(text.lower()) if text else []
-                if not words or not langs:
+                total, n = scorer.total(words) if words and langs else (None, 0)
+                if not n:
                     preds.append("und")
                     scores.append(0.0)
                     continue
-                total = scorer.total(words)
                 best = int(total.argmax())
                 preds.append(langs[best])
-                scores.append(1.0 / float(np.exp(np.maximum((total - total[best]) / math.sqrt(len(words)), -700)).sum()))
+                scores.append(1.0 / float(np.exp(np.maximum((total - total[best]) / math.sqrt(n), -700)).sum()))
             yield batch[keep].assign(**{lang_pred: preds, score: scores})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)

@@ -31,6 +31,13 @@ NAMES = {
 }
 ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[à-öø-ÿ]": "àáâãäåæçèéêëìíîïñòóôõöøùúûü", "[À-ÖØ-Þ]": "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ", "[а-я]": "абвгдежзийклмнопрстуфхцчшщыэюя", "[А-Я]": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", "[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
+# Further alphabets by rule: the letters of a block of characters, by case where the block has cases.
+for _first, _last in ((0x100, 0x24F), (0x1E00, 0x1EFF), (0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x587), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x4EFF)):
+    _letters = [c for c in map(chr, range(_first, _last + 1)) if c.isalpha() and not any(c in a for a in ALPHABETS.values())]
+    for _some in ([c for c in _letters if c.islower()], [c for c in _letters if c.isupper()], [c for c in _letters if not c.islower() and not c.isupper()]):
+        if _some:
+            ALPHABETS["[\u4e00-\u9fff]" if _first == 0x4E00 else "[" + "".join(_some) + "]"] = "".join(_some)
+
 # Secrets with a form of their own, and the words that name the others.
 _HEX = r"\b(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,64}\b"
 _CLOUD = r"\bAKIA[0-9A-Z]{16}\b"
@@ -120,19 +127,24 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     given = F.when(male & cyrillic, pick("male_cyrillic")).when(cyrillic, pick("female_cyrillic")).when(male, pick("male_latin")).otherwise(pick("female_latin"))
     name = F.call_function("substr", value, F.length(title) + 1)
     two = name.contains(" ")
-    family = alike(F.when(two, F.substring_index(name, " ", -1)).otherwise(name), seed)
+    # The family name alone decides on its replacement, so a person is the same with and without the given name.
+    own_family = F.when(two, F.substring_index(name, " ", -1)).otherwise(name)
+    family = alike(own_family, F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("family"), own_family, attempt.cast("string")), 256))
     person = F.concat(title, F.when(two, F.concat(given, F.lit(" "), family)).otherwise(family))
+    # A format whose values run out gets longer ones.
+    letters = F.when(attempt > 5, F.translate(F.substring(seed, 1, 6), "0123456789", "ghijklmnop")).otherwise("")
+    digits_more = F.when(attempt > 20, F.concat(F.lit("-"), draw(seed, -9, 1_000_000_000).cast("string"))).otherwise("")
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", ip)
-        .when(kind == "card", card)
+        .when(kind == "card", F.concat(card, digits_more))
         .when(kind == "hex_key", hexes)
         .when(kind == "cloud_key", F.concat(F.lit("AKIA"), rest("^AKIA")))
         .when(kind == "password", password)
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(same, 3, 64)))
-        .when(kind == "phone", F.concat(head(r"^(\+\d{1,3}(?=\D)|)"), rest(r"^\+\d{1,3}(?=\D)")))
-        .when(kind == "person", person)
-        .otherwise(same)
+        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(same, 3, 64), digits_more))
+        .when(kind == "phone", F.concat(head(r"^(\+\d{1,3}(?=\D)|)"), rest(r"^\+\d{1,3}(?=\D)"), digits_more))
+        .when(kind == "person", F.concat(person, letters))
+        .otherwise(F.concat(same, digits_more))
     )
 
 

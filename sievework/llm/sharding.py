@@ -3,11 +3,13 @@
 Every document gets the key (hash of its text, hash of its id). A size-weighted sample of the keys gives quantile
 boundaries for many small ranges; exact bytes of each range are then counted. A range that holds more than its share
 is cut again with a fresh sample of its own rows: between different texts where that suffices, inside a group of
-equal texts only if the group alone is too large for half a shard. The ranges are dealt to the shards largest first,
+equal texts only if the group alone is larger than a shard. The ranges are dealt to the shards largest first,
 so the shards' bytes come out near equal. All counts are exact; only the boundaries depend on the sample.
 
 What passes through the driver is bounded by parameters: about ``sample`` keys and about ``ranges`` range totals a round.
 
+Ranges are cut until none is overfull; rows that share text and id can't be told apart and stay together.
+
 Defined results: null text has size 1 and the checksum of the empty text; null ids hash as one value and are kept;
 repeated rows get slots of their own; an empty table gives no rows; further columns of the input are ignored.
 """
@@ -15,6 +17,7 @@ repeated rows get slots of their own; an empty table gives no rows; further colu
 from __future__ import annotations
 
 import heapq
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +68,7 @@ def totals(keys: DataFrame, splitters: list[tuple[int, int]]) -> dict[int, tuple
     return {r.cell: (r.bytes, r.n, r.one) for r in rows}
 
 
-def find_cells(keys: DataFrame, shards: int, ranges: int, sample: int, rounds: int = 4) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int, bool]]]:
+def find_cells(keys: DataFrame, shards: int, ranges: int, sample: int) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int, bool]]]:
     """Splitters of fine ranges and the exact totals of each, overfull ranges cut again."""
     low = -(1 << 63)
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
@@ -73,9 +76,9 @@ def find_cells(keys: DataFrame, shards: int, ranges: int, sample: int, rounds: i
     step = max(1, len(drawn) // ranges)
     splitters = sorted({(t, low) for t, _ in drawn[step::step]})
     cells = totals(keys, splitters)
-    for salt in range(1, rounds):
+    for salt in itertools.count(1):
         wide = [c for c, (b, n, one) in cells.items() if n > 1 and not one and b > 4 * total / ranges]
-        hot = [c for c, (b, n, one) in cells.items() if n > 1 and one and b > total / shards / 2]
+        hot = [c for c, (b, n, one) in cells.items() if n > 1 and one and b > total / shards]
         if not wide and not hot:
             break
         part = keys.filter(range_of(F.col("key"), splitters).isin(wide + hot))
@@ -88,6 +91,8 @@ def find_cells(keys: DataFrame, shards: int, ranges: int, sample: int, rounds: i
         new = {(t, d) if t in heavy else (t, low) for t, d in again[step::step]}
         # A text that is large enough to be cut gets a range of its own first.
         new |= {(t + 1, low) for t, _ in again if t not in heavy and sum(x == t for x, _ in again[step::step]) > 1 and t < (1 << 63) - 1}
+        if new <= {*splitters}:  # what is left are rows of one key, or one row
+            break
         splitters = sorted({*splitters, *new})
         cells = totals(keys, splitters)
     return splitters, cells

@@ -9,8 +9,9 @@ Queries are handled in blocks of ``block`` vectors; only such a block is sent to
 is bounded by ``block`` times the dimension. Scores are exact integers.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a query with fewer than k
-candidates gets all of them; vectors of another length than the query's aren't compared with it; rows that repeat a
-vec_id each count as candidates and never meet their own id; scores beyond a long are clipped to its range; an empty
+candidates gets all of them; vectors of another length than the query's aren't compared with it; rows that share a
+vec_id with different vectors are queries and candidates of their own, rows that repeat both are one query and never meet
+each other; scores beyond a long are clipped to its range; an empty
 table gives no rows; other columns are ignored; rows with a null vec_id take no part.
 """
 
@@ -67,7 +68,10 @@ class Block:
             if dim in self.parts:
                 own, q = self.parts[dim]
                 ids = batch["vec_id"].to_numpy()[rows]
-                yield own, ids, exact_scores(q, c), self.ids[own][:, None] != ids[None, :]
+                counts = self.ids[own][:, None] != ids[None, :]
+                for i, j in zip(*np.nonzero(~counts), strict=True):  # another row may have the query's id
+                    counts[i, j] = not np.array_equal(q[i], c[j])
+                yield own, ids, exact_scores(q, c), counts
 
 
 def kth_largest(values: np.ndarray, k: int) -> int:
@@ -119,7 +123,7 @@ def above(block: Block, least: dict[int, int], k: int):
                         continue
                     at = np.flatnonzero(ok & (s >= least[int(row)]))
                     at = at[np.lexsort((ids[at], -s[at].astype(np.float64), -s[at]))[:k]] if len(at) else at
-                    out.append(pd.DataFrame({"query_id": block.ids[row], "vec_id": ids[at], "score": s[at]}))
+                    out.append(pd.DataFrame({"row": int(row), "query_id": block.ids[row], "vec_id": ids[at], "score": s[at]}))
             if out:
                 yield pd.concat(out)
 
@@ -168,7 +172,7 @@ def kth_scores(usable: DataFrame, block: Block, k: int) -> dict[int, int]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """The k best candidates of ``vectors`` for every row of ``queries`` (both: vec_id, embedding)."""
     usable = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    asked = queries.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).dropDuplicates(["vec_id"])
+    asked = queries.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).dropDuplicates(["vec_id", "embedding"])
     n = asked.count()
     blocks = max(1, -(-n // block))
     wanted = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
@@ -178,8 +182,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096
         rows = wanted.filter(F.col("b") == b).collect() if blocks > 1 else wanted.collect()
         held = Block([r.vec_id for r in rows], [r.embedding for r in rows])
         least = kth_scores(usable, held, k)
-        found = usable.mapInPandas(above(held, least, k), "query_id long, vec_id long, score long")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = usable.mapInPandas(above(held, least, k), "row int, query_id long, vec_id long, score long")
+        best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         found = durable(found) if blocks > 1 else found
         out = found if out is None else out.unionByName(found)

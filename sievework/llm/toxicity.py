@@ -11,7 +11,8 @@ whole texts, weighted back to the labels' shares. It runs in one task over that
 
 Defined results: null or empty text has no sentence and score 0; texts are scored whole; a doc_id with several labels is
 toxic if one of them says so; null labels are ignored; repeated rows are scored alike; without labels of both kinds
-every score is 0; other columns are ignored.
+every score is 0; other columns are ignored or, if asked for, kept beside ``score`` and ``offending``, which get a leading
+``_`` where the input has columns of these names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import remainder, table
+from sievework.llm.common import free_name, remainder, table
 
 SENTENCE = r"[^.!?\n。！？]+"
 WORD = r"[^\W\d_]+"
@@ -134,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: in
 def score_documents(docs: DataFrame, model: dict, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """``keep`` columns with the document's score and its offending sentences (start, end, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    score, offending = (free_name(docs.select(*keep), c) for c in ("score", "offending"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, bias, empty = shared.value["weights"], shared.value["bias"], "empty" in shared.value
@@ -157,10 +159,10 @@ def score_documents(docs: DataFrame, model: dict, keep: list[str] = ["doc_id"])
                         found.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + float(np.exp(-min(z, 50))))})
                 scores.append(float(-np.expm1(none)))
                 spans.append(found)
-            yield batch[keep].assign(score=scores, offending=spans)
+            yield batch[keep].assign(**{score: scores, offending: spans})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields}, score double, offending array<struct<start:int,end:int,score:double>>")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields}, `{score}` double, `{offending}` array<struct<start:int,end:int,score:double>>")
 
 
 def op7_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,10 @@ def test_schema_checks():
     assert chat.complies(1.0, {"type": "integer"}) and not chat.complies(True, {"type": "integer"})
     assert chat.complies([1, 2], {"type": "array", "items": {"type": "number"}}) and not chat.complies("abc", {"maxLength": 2})
     assert chat.canonical({"b": 1, "a": "é\u0001"}) == '{"a":"é\\u0001","b":1}'
+
+
+def test_json_that_cannot_be_written_again(spark):
+    huge = "1" + "0" * 400
+    calls = [(1, "inf", 0, "t", '{"a":1e999}', [], ""), (1, "half", 1, "t", '{"a":"\\ud800"}', [], ""), (1, "huge", 2, "t", f'{{"a":{huge}}}', [], ""), (1, "deep", 3, "t", "[" * 100_000, [], "")]
+    got = {r.call_id: (r.status, json.loads(r.json)["arguments"]) for r in chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()}
+    assert got == {"inf": ("bad_json", None), "half": ("bad_json", None), "huge": ("no_result", {"a": int(huge)}), "deep": ("bad_json", None)}

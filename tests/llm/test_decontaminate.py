@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sievework.llm import decontaminate as dc
 
 
@@ -45,3 +47,10 @@ def test_short_items_are_found(spark, documents):
     for few in (2_000_000, 0):
         got = dc.contaminated_pairs(documents(rows), bench, broadcast_rows=few).collect()
         assert sorted((r.doc_id, r.item_id) for r in got if r.doc_id != 901) == sorted(want)
+
+
+def test_a_clashing_column_stays(spark, documents):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    df = documents([(1, "so one two three four five six seven eight nine ten eleven twelve thirteen it is"), (2, "nothing of that kind")]).withColumn("bad_id", F.lit(1))
+    kept = dc.decontaminate(df, bench).collect()
+    assert [(r.doc_id, r.bad_id) for r in kept] == [(2, 1)]

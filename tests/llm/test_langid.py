@@ -51,13 +51,15 @@ def test_score_by_hand(spark, documents):
         return [math.log(((n[w][i] if n[w][i] > 1 else 0) + 0.05) / (totals[lang] + 0.05 * len(words))) for i, lang in enumerate(("de", "en"))]
 
     got = langid.Scorer(langid.Model(*model.parts()))
-    assert np.allclose(got.total(["red", "rot"]), np.add(word("red"), word("rot")))
+    assert np.allclose(got.total(["red", "rot"])[0], np.add(word("red"), word("rot")))
     # Of an unseen word the longest known n-gram at each place counts, the floor where there is none.
     place = {g: model.gram_logs[i] for i, g in enumerate(grams)}
     marked, expected = "^rodx$", []
     for at in range(len(marked)):
         expected.append(next((place[marked[at:end]] for end in range(min(at + 4, len(marked)), at, -1) if marked[at:end] in place), model.floor))
-    assert np.allclose(got.total(["rodx"]), np.mean(expected, axis=0))
+    assert np.allclose(got.total(["rodx"])[0], np.mean(expected, axis=0))
+    total, count = got.total(["red²rot½", "¼", "red"])
+    assert count == 3 and np.allclose(total, np.add(np.add(word("red"), word("red")), word("rot")))
     found = langid.predict(documents([(7, "red ROT rodx!")]), model).collect()[0]
     total = np.add(np.add(word("red"), word("rot")), np.mean(expected, axis=0))
     best = total.max()

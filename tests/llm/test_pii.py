@@ -59,3 +59,19 @@ def test_secrets_of_either_case_spaced_and_quoted(spark, documents):
     assert re.fullmatch(r"""\{"password": "[a-z]{6}[A-Z]{3}", "passwd" : '[a-z]{3}'\}""", got[7].text)
     assert "hunter" not in got[6].text + got[7].text and "abc" not in got[7].text
     assert re.fullmatch(r"token:\*{3}[0-9a-f]{8} and secret : [a-wyz]", got[8].text) and got[9].text == rows[8][1]
+
+
+def test_formats_that_run_out_get_longer(spark, documents):
+    rows = [(0, "password=***")] + [(i + 1, f"token={i}") for i in range(10)] + [(50, "Mr Łoś and Mrs Ĉaĉo")]
+    got = {r.doc_id: r.text for r in pii.replace_entities(documents(rows), "key").collect()}
+    assert len({got[i] for i in range(11)}) == 11 and not {got[i] for i in range(11)} & {t for _, t in rows}
+    assert not set("ŁśĈĉ") & set(got[50]) or got[50].split()[1] != "Łoś"
+    many = spark.range(900).select(F.lit("person").alias("kind"), F.concat(F.lit("Mr "), F.upper(F.substring(F.lit("abcdefghijklmnopqrstuvwxyzàâäçéèêëîïôö"), (F.col("id") / 30).cast("int") + 1, F.lit(1))), F.substring(F.lit("abcdefghijklmnopqrstuvwxyzàâäç"), (F.col("id") % 30).cast("int") + 1, F.lit(1))).alias("value")).distinct()
+    made = pii.surrogates(many, "key").collect()
+    assert len({r.surrogate for r in made}) == len(made) and not {r.surrogate for r in made} & {r.value for r in made}
+
+
+def test_a_family_name_has_one_surrogate(spark, documents):
+    got = pii.replace_entities(documents([(1, "Frau Erika Muster met Frau Muster.")]), "key").collect()[0].text
+    first, second = re.findall(r"Frau (?:[A-Z][a-z]+ )?([A-Z][a-z]{5})\b", got)
+    assert first == second != "Muster"

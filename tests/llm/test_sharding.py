@@ -32,3 +32,10 @@ def test_few_rows(spark, documents):
     rows = [(1, "a"), (2, "a" * 100_000)]
     check(sharding.shard_documents(documents(rows)).collect(), rows, 8)
     assert sharding.shard_documents(documents(rows).limit(0)).count() == 0
+
+
+def test_a_group_that_fits_a_shard_stays_whole(spark, documents):
+    rows = [(i, "the same text for these rows") for i in range(700)] + [(10_000 + i, f"another text {i} with so many words") for i in range(7000)]
+    out = sharding.shard_documents(documents(rows), shards=8, ranges=256, sample=4096).collect()
+    loads = check(out, rows, 8)
+    assert len({r.shard for r in out if r.doc_id < 700}) == 1 and max(loads) - min(loads) < 0.05 * sum(loads) / 8

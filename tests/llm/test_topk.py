@@ -35,3 +35,11 @@ def test_fewer_candidates_and_huge_values(spark):
     got = topk.top_k(df, df.filter("vec_id = 0"), k=10).collect()
     assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0], "", ""), (0, [0.0, 1.0], "", ""), (1, [0.5, 0.25], "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = topk.top_k(df, df.filter("vec_id = 0"), k=10).collect()
+    unit = 1024 * 1024
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, unit // 4), (0, 1, 1, unit // 2), (0, 2, 0, 0), (0, 2, 0, 0)]

@@ -30,3 +30,25 @@ def test_one_kind_of_label(spark, documents):
     model = toxicity.fit(df, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert toxicity.score_documents(df, model).collect()[0].score == 0.0
     assert toxicity.score_documents(df.limit(0), model).count() == 0
+
+
+def test_noisy_or_by_hand(spark, documents):
+    import math
+    import re
+
+    model = {"bias": -2.0, "weights": {"awful": 3.0, "awf*": 0.5, "fool": 1.5, "blue": -1.0}}
+    texts = ["You awful fool! The sky is blue. Awfully nice.", "blue\nblue blue? fool", "7 8 9", "nothing here. or here"]
+    for r in toxicity.score_documents(documents(list(enumerate(texts))), model).collect():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", texts[r.doc_id].lower()):
+            words = set(re.findall(r"[a-z]+", sentence))
+            if words:
+                z = -2.0 + sum(model["weights"].get(f, 0) for w in words for f in [w, *(w[:n] + "*" for n in range(3, min(10, len(w) - 1) + 1))])
+                none *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(r.score - (1 - none)) < 1e-9
+
+
+def test_clashing_columns_stay(spark, documents):
+    df = documents([(1, "a b")]).withColumn("score", F.lit("mine")).withColumn("offending", F.lit("mine"))
+    got = toxicity.score_documents(df, {"bias": 0.0, "weights": {}}, keep=df.columns).collect()[0]
+    assert got.score == got.offending == "mine" and got._score == 0.5
