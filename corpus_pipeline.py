@@ -1,15 +1,20 @@
-"""The corpus pipeline: each stage reads what the one before has written."""
+"""The corpus pipeline: each stage reads what the one before has written.
 
-from __future__ import annotations
+Defined results, in all stages: extra columns stay, whatever their names; an empty table gives an empty one. Null or empty
+texts and texts without a letter go in the language stage, since no language is recognised. Rows with a null id are kept as
+documents of their own: they have no near copies, and their lines come after those of all other documents. Rows that
+repeat a doc_id are one document in the line stage; of equal ones one stays in the near-copy stage. Very long texts
+are treated whole.
+"""
 
-import uuid
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import bagminhash, bpe, decontaminate, langid, lines
-from sievework.llm.common import table, work_folder
+from sievework.llm.common import Scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +48,13 @@ STAGES = [("language", language), ("repeated_lines", repeated_lines), ("near_cop
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    docs, read = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        written = Scratch(spark)
+        docs = written.write(stage(spark, docs, sf_dir))
+        if read is not None:  # nothing reads the table before last any more
+            read.remove()
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
