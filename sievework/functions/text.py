@@ -29,8 +29,11 @@ def title_words(title: Column) -> Column:
 
 
 def title_ascii(title: Column) -> Column:
-    """A title as unaccented ASCII words."""
-    return F.trim(F.regexp_replace(F.lower(unaccented(title)), r"[^a-z0-9]+", " "))
+    """A title as unaccented ASCII words; marks that stand as characters of their own go, ligatures count as their letters."""
+    plain = F.regexp_replace(unaccented(title), r"\p{M}+", "")
+    for ligature in "\ufb00\ufb01\ufb02\ufb03\ufb04":
+        plain = F.replace(plain, F.lit(ligature), F.lit(unicodedata.normalize("NFKC", ligature)))
+    return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", " "))
 
 
 def token_set(words: Column) -> Column:

@@ -281,3 +281,12 @@ def test_expired_leases(spark, tmp_path):
         (tmp_path / f"{n}.json").write_text("\n".join(rows))
     stream = spark.readStream.schema("doi string, status string, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
     assert [r.doi for r in jobs.run_available(jobs.expired_leases(stream)).collect()] == ["a"]
+
+
+def test_title_ascii_folds_marks_and_ligatures(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.functions import text
+
+    df = spark.createDataFrame([("re\u0301sume\u0301 of \ufb01ne",), ("R\u00e9sum\u00e9 of fine",), (None,)], "t string")
+    assert [r.a for r in df.select(text.title_ascii(F.col("t")).alias("a")).collect()] == ["resume of fine", "resume of fine", None]
