@@ -132,14 +132,23 @@ def index_confidence(score: Column, gap: Column) -> Column:
     return F.when(score < 40.0, "score_below_threshold").when(gap < 3.0, "ambiguous_runner_up")
 
 
+# Other spellings of a title in the order they are tried, as what is replaced and by what.
+SPELLINGS = (
+    (r"(?s):.*", ""), (r"(?s) — .*", ""), (r"(?s) – .*", ""), (r"(?s) - .*", ""),
+    (r"\([^()]{1,100}\)", " "), ("&", "and"), (" and ", " & "), (r"[\[\]{}<>]", " "),
+)
+
+
 def title_variants(titles: DataFrame, most: int = 6, least: int = 10) -> DataFrame:
-    """(request, pos, variant): the full title first, then without subtitle, parentheses, or with another spelling of &."""
-    raw = F.regexp_replace(F.trim(F.regexp_replace("title", r"\s+", " ")), r"^[\[({\"'‘“]+|[\])}\"'’”.]+$", "")
-    first = lambda sep: F.when(F.contains(raw, F.lit(sep)), F.split_part(raw, F.lit(sep), F.lit(1)))
-    several = F.array(raw, first(":"), first(" — "), first(" – "), first(" - "), F.regexp_replace(raw, r"\([^()]{1,100}\)", " "), F.regexp_replace(raw, "&", "and"), F.regexp_replace(raw, " and ", " & "), F.regexp_replace(raw, r"[\[\]{}<>]", " "))
-    tidy = F.transform(several, lambda v: F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"^[ .,;:]+|[ .,;:]+$", ""))
-    kept = F.slice(F.array_distinct(F.filter(tidy, lambda v: F.length(v) >= least)), 1, most)
-    return titles.select("request", F.posexplode(kept).alias("pos", "variant"))
+    """(request, pos, variant): the full title first, then what each of ``SPELLINGS`` makes of it, where that is new.
+
+    At most ``most`` variants of ``least`` characters or more; a null title has none.
+    """
+    edges = lambda c, first, last: F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), f"^[{first}]+|[{last}]+$", ""))
+    rows = titles.select("request", edges(F.trim("title"), r"\[({\"'‘“", r"\])}\"'’”.").alias("full"))
+    every = F.array("full", *[F.regexp_replace("full", pattern, put) for pattern, put in SPELLINGS])
+    long_enough = F.filter(F.array_distinct(F.transform(every, lambda v: edges(v, " .,;:", " .,;:"))), lambda v: F.length(v) >= least)
+    return rows.select("request", F.posexplode(F.slice(long_enough, 1, most)).alias("pos", "variant"))
 
 
 def progressive(scored: DataFrame, strong: float = 0.90) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +14,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder of its own below ``spark.checkpoint.dir``; a session that names none (a test) gets a temporary one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='sievework-')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own below ``spark.checkpoint.dir``; a local session that names none (a test) gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='sievework-')}/stream-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_available(stream: DataFrame, mode: str = "append", upsert: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is available and return what it wrote.
 
-    Append mode adds to a table; complete mode keeps the last state.
+    Append mode adds to a table; complete mode keeps the last state, whose predecessor goes once it is written.
     """
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
 
     def write(batch: DataFrame, n: int) -> None:
         rows = batch if upsert is None else upsert(batch, n)
-        rows.write.mode("append").parquet(f"{folder}/out" if mode != "complete" else f"{folder}/out/state={n}")
+        if mode != "complete":
+            rows.write.mode("append").parquet(f"{folder}/out")
+            return
+        rows.write.mode("overwrite").parquet(f"{folder}/out/state={n}")
+        _remove(spark, f"{folder}/out/state={n - 1}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(write).start().awaitTermination()
@@ -78,21 +91,29 @@ def live_worklist(records: DataFrame, ledger: DataFrame, current: int) -> DataFr
 
 def _streaks(after: int, steps: tuple[int, ...]):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (streak,) = state.get if state.exists else (0,)
-        out = []
-        for rows in batches:
-            for seq, success in rows.sort_values("seq")[["seq", "success"]].itertuples(index=False):
-                streak = 0 if success else streak + 1
-                if streak and streak % after == 0:
-                    out.append((key[0], int(seq), streak, steps[min(streak // after, len(steps)) - 1]))
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=["host", "seq", "streak", "seconds"])
+        (carried,) = state.get if state.exists else (0,)
+        # A host's rows of one micro-batch come in several Arrow batches: order is made over all of them, in two arrays.
+        parts = [(rows["seq"].to_numpy(), rows["success"].to_numpy(dtype=bool)) for rows in batches]
+        seq, success = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, success = seq[order], success[order]
+        # A streak counts from the last success, or goes on from the state where there is none yet.
+        at = np.arange(len(seq))
+        cleared = np.maximum.accumulate(np.where(success, at, -1))
+        streak = np.where(cleared < 0, at + 1 + carried, at - cleared)
+        state.update((int(streak[-1]),))
+        hit = ~success & (streak % after == 0)
+        level = np.minimum(streak[hit] // after, len(steps)) - 1
+        yield pd.DataFrame({"host": key[0], "seq": seq[hit], "streak": streak[hit], "seconds": np.array(steps)[level]})
 
     return run
 
 
 def cooldown_stream(events: DataFrame, after: int = 4, steps: tuple[int, ...] = (30, 120, 600)) -> DataFrame:
-    """Cooldowns as consecutive failures of a host reach them; the state is one number a host (append mode)."""
+    """Cooldowns as consecutive failures of a host reach them; the state is one number a host (append mode).
+
+    Rows of a micro-batch may come in any order; micro-batches follow each other by ``seq``, as log files do.
+    """
     return events.select("host", "seq", "success").groupBy("host").applyInPandasWithState(_streaks(after, steps), "host string, seq long, streak long, seconds int", "streak long", "append", GroupStateTimeout.NoTimeout)
 
 

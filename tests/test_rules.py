@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import ids, similarity, text
-from sievework.operators import documents, identity, ledger, linkage, prisma, review, screening
+from sievework.operators import documents, identity, ledger, linkage, prisma, retrieval, review, screening
 from sievework.plans import queries
 from sievework.plans.views import Tables
 from sievework.sources import lists, pages, payloads, sinks
+from sievework.streaming import jobs
 
 
 def values(spark, expression, rows, schema="x string"):
@@ -275,7 +276,6 @@ def test_corpus_folders_and_logs(spark, tmp_path):
 
 
 def test_expired_leases(spark, tmp_path):
-    from sievework.streaming import jobs
 
     for n, rows in enumerate((['{"doi":"a","status":"running","at":"2024-01-01T00:00:00Z"}', '{"doi":"b","status":"running","at":"2024-01-01T00:00:00Z"}', '{"doi":"b","status":"done","at":"2024-01-01T00:01:00Z"}'], ['{"doi":"c","status":"done","at":"2024-01-01T02:00:00Z"}'], ['{"doi":"c","status":"done","at":"2024-01-01T03:00:00Z"}'])):
         (tmp_path / f"{n}.json").write_text("\n".join(rows))
@@ -290,3 +290,83 @@ def test_title_ascii_folds_marks_and_ligatures(spark):
 
     df = spark.createDataFrame([("re\u0301sume\u0301 of \ufb01ne",), ("R\u00e9sum\u00e9 of fine",), (None,)], "t string")
     assert [r.a for r in df.select(text.title_ascii(F.col("t")).alias("a")).collect()] == ["resume of fine", "resume of fine", None]
+
+
+PROSE = "We looked at many sites over several years and found that most of them changed. The change was slow at first and fast later. "
+
+
+def abstract_of(spark, *texts):
+    rows = documents.abstracts(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    return [(r.abstract_rule, r.abstract) for r in rows]
+
+
+def test_abstract_rules(spark):
+    structured = "Title\nBackground: " + PROSE + "\nMethods: we counted.\nResults: it grew.\nKeywords: a"
+    editorial = "Title\nReceived 1 May 2001; accepted 3 June 2001\n" + PROSE * 2 + "\nDOI: 10.1/x\nmore"
+    keyword = "Title of it\nAna Silva and Bo Li\nDepartment of Things, University of X\n12\nhttps://example.org\n" + PROSE * 3 + "\nKey words: a, b\nIntroduction\n" + PROSE
+    narrative = "Title of it\n\nAna Silva1, Bo Li2\n\nAS* BL " + PROSE * 4 + "\n\nResults\n" + PROSE
+    got = abstract_of(spark, structured, editorial, keyword, narrative, "Short text", "", None)
+    assert [rule for rule, _ in got] == ["structured", "editorial", "pre_keyword", "narrative", "none", "none", "none"]
+    assert got[0][1].startswith("Background: We looked") and got[0][1].endswith("it grew.")
+    assert got[1][1] == (PROSE * 2).strip() and got[2][1] == (PROSE * 3).strip() and got[3][1] == (PROSE * 4).strip()
+
+
+def test_abstract_of_a_numbered_manuscript(spark):
+    words = (PROSE * 2).split()
+    lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    text = "\n".join(f"{n} {line}" for n, line in enumerate(["Abstract", *lines, "Keywords: a"], 1))
+    spaced = "Title\nA B S T R A C T\n" + PROSE * 2 + "\n1. Introduction\nmore"
+    own_end = "Abstract\nIntroduction: short.\n" + PROSE * 2 + "\nKeywords: a"
+    got = abstract_of(spark, text, spaced, own_end)
+    assert [rule for rule, _ in got] == ["labelled"] * 3
+    assert got[0][1] == got[1][1] == (PROSE * 2).strip() and got[2][1] == "Introduction: short. " + (PROSE * 2).strip()
+
+
+def test_broken_lines_and_labels(spark):
+    given = ["an inter-\n  national well-\nor ill-known\r\n\n\n\n thing", "pré-\névio"]
+    assert values(spark, text.join_broken_lines(F.col("x")), [(g,) for g in given]) == ["an international well-or ill-known\n\nthing", "préévio"]
+    given = ["<b>Abstract</b>: this is what was found there", "Resumo: Não disponível, não disponível", "Abstract: not available.", "abstracted words of some length"]
+    assert values(spark, text.clean_abstract(F.col("x")), [(g,) for g in given]) == ["this is what was found there", "Não disponível, não disponível", "", "abstracted words of some length"]
+
+
+def test_journal_names(spark):
+    given = ["Proceedings of the National Academy of Sciences", "The Lancet", "Nature medicine", "Revista Ação e Saúde", "", None]
+    assert values(spark, text.initials(F.col("x")), [(g,) for g in given]) == ["PNAS", "Lancet", "NatureMedicine", "RAES", "", None]
+
+
+def test_title_variants(spark):
+    df = spark.createDataFrame([(1, "“On cells & tissues (a note): what  we know”"), (2, "Short"), (3, None)], "request int, title string").coalesce(1)
+    assert [(r.request, r.pos, r.variant) for r in linkage.title_variants(df).collect()] == [
+        (1, 0, "On cells & tissues (a note): what we know"), (1, 1, "On cells & tissues (a note)"), (1, 2, "On cells & tissues : what we know"), (1, 3, "On cells and tissues (a note): what we know"),
+    ]
+
+
+def test_reconciled_titles(spark):
+    rows = [("Microsoft Word - draft", "A study"), ("A study of cells", "A study of cells and more"), ("A study of cells: a review", "A study of cells"), ("Something else entirely here", "Short one"), (None, "Seen"), ("Told", ""), (None, None)]
+    df = spark.createDataFrame(rows, "stated string, visible string").coalesce(1)
+    assert [r[0] for r in df.select(documents.reconciled_title(F.col("stated"), F.col("visible"))).collect()] == ["A study", "A study of cells and more", "A study of cells: a review", "Something else entirely here", "Seen", "Told", None]
+
+
+def test_access_reasons(spark):
+    issues = F.array(F.lit("Semantic Scholar: quota"), F.lit("site: bloqueio de acesso automático"), F.lit("Crossref: 500"), F.lit("Crossref: 500"))
+    row = spark.range(1).select(*[c.alias(n) for c, n in zip(documents.split_issues(issues), "abc")]).first()
+    assert (row.a, row.b, row.c) == (["Semantic Scholar: quota"], ["site: bloqueio de acesso automático"], ["Crossref: 500"] * 2)
+
+
+def test_cooldowns_in_any_order_within_a_micro_batch(spark, tmp_path):
+    n = 25_000
+    rows = spark.range(n).select(F.lit("h").alias("host"), F.col("id").alias("seq"), (F.col("id") % 10 == 9).alias("success")).orderBy(F.rand(7)).coalesce(1)
+    rows.write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log"))
+    got = {tuple(r) for r in jobs.run_available(jobs.cooldown_stream(stream)).collect()}
+    assert got == {tuple(r) for r in retrieval.cooldowns(rows).select("host", "seq", "streak", "seconds").collect()} and len(got) == n // 10 * 2
+
+
+def test_complete_mode_keeps_only_the_last_state(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([(n % 2, n, n == 2, 1, "s")], "item int, seq int, success boolean, pass int, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    schema = "item int, seq int, success boolean, pass int, source string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = jobs.run_available(jobs.superseded(stream), "complete")
+    assert sorted((r.item, r.success) for r in got.collect()) == [(0, True), (1, False)]
+    assert len({f.rsplit("state=", 1)[1].split("/")[0] for f in got.inputFiles()}) == 1
