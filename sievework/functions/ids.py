@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ID_SHAPE = r"10\.\d{4,9}/[^\s,<>\"]+"
@@ -38,6 +38,15 @@ def same_id(doi: Column) -> Column:
     return F.nullif(F.lower(F.trim(doi)), F.lit(""))
 
 
+def join_by_id(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Both joined on ``same_id`` of their ``doi``, which stays as ``left`` writes it, or as ``right`` does where left has no row."""
+    keyed = right.withColumnRenamed("doi", "_other").withColumn("_id", same_id(F.col("_other")))
+    out = left.withColumn("_id", same_id(F.col("doi"))).join(keyed, "_id", how)
+    if how.endswith("outer"):
+        out = out.withColumn("doi", F.coalesce("doi", "_other"))
+    return out.drop("_id", "_other")
+
+
 def first_year(text: Column) -> Column:
     return F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
 

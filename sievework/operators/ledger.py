@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.functions.ids import fingerprint, same_id
+from sievework.functions.ids import fingerprint, join_by_id, same_id
 from sievework.functions.text import initials, slug
 
 DECISION = ("decision", "reason", "actor", "version", "source")
@@ -24,13 +24,14 @@ def upsert_suggestions(ledger: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _merge(ledger: DataFrame, new: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    rows = ledger.alias("l").join(new.select("doi", *group, F.lit(True).alias("is_new")).alias("n"), "doi", "full_outer")
-    return rows.select("doi", *[(F.when(F.col("n.is_new"), F.col(f"n.{c}")).otherwise(F.col(f"l.{c}")) if c in group else F.col(f"l.{c}")).alias(c) for c in (*DECISION, *SUGGESTION)])
+    rows = join_by_id(ledger.select("doi", *DECISION, *SUGGESTION), new.select("doi", F.struct(*group).alias("n")), "full_outer")
+    return rows.select("doi", *[(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)) if c in group else F.col(c)).alias(c) for c in (*DECISION, *SUGGESTION)])
 
 
 def restore(ledger: DataFrame, saved: DataFrame) -> DataFrame:
     """The ledger with the saved rows whose key it doesn't have."""
-    return ledger.unionByName(saved.join(ledger.select("doi"), "doi", "left_anti"))
+    there = ledger.select(same_id(F.col("doi")).alias("k"))
+    return ledger.unionByName(saved.join(there, same_id(F.col("doi")) == F.col("k"), "left_anti"))
 
 
 def insert_absent(batch: DataFrame, new: DataFrame, key: str = "doi") -> DataFrame:

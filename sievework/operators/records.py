@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.functions.ids import canonical_id
+from sievework.functions.ids import canonical_id, join_by_id, same_id
 
 # The order in which sources are believed, and in which their addresses are tried.
 SOURCES = ("crossref", "europepmc", "semanticscholar", "openalex")
@@ -29,20 +29,20 @@ def merge_records(records: DataFrame, fields: tuple[str, ...] = ("title", "autho
     rank = F.when(F.lower("source") == "datacite", 0.5).otherwise(rank_of(F.col("source"), SOURCES))
     rows = records.withColumn("rank", rank)
     firsts = [F.coalesce(F.min_by(F.when(_filled(c), F.col(c)), F.when(_filled(c), F.col("rank"))), F.lit("")).alias(c) for c in fields]
-    return rows.groupBy("doi").agg(*firsts, F.count("*").alias("sources"))
+    return rows.groupBy(same_id(F.col("doi")).alias("doi")).agg(*firsts, F.count("*").alias("sources"))
 
 
 def longest_abstract(records: DataFrame) -> DataFrame:
     """(doi, abstract, abstract_source): the longest one, ties by source order."""
     rows = records.filter(_filled("abstract")).withColumn("rank", rank_of(F.col("source"), SOURCES))
     best = F.max_by(F.struct("abstract", "source"), F.struct(F.length("abstract"), -F.col("rank")))
-    return rows.groupBy("doi").agg(best.alias("b")).select("doi", F.col("b.abstract").alias("abstract"), F.col("b.source").alias("abstract_source"))
+    return rows.groupBy(same_id(F.col("doi")).alias("doi")).agg(best.alias("b")).select("doi", F.col("b.abstract").alias("abstract"), F.col("b.source").alias("abstract_source"))
 
 
 def ordered_urls(urls: DataFrame, most: int = 12) -> DataFrame:
     """(doi, n, url) of candidate addresses (doi, source, seq, url) by source, then arrival; an address once."""
     ranked = urls.withColumn("rank", rank_of(F.col("source"), URL_ORDER))
-    once = ranked.groupBy("doi", "url").agg(F.min(F.struct("rank", "seq")).alias("at"))
+    once = ranked.groupBy(same_id(F.col("doi")).alias("doi"), "url").agg(F.min(F.struct("rank", "seq")).alias("at"))
     n = F.row_number().over(Window.partitionBy("doi").orderBy("at.rank", "at.seq", "url"))
     return once.withColumn("n", n).filter(F.col("n") <= most).select("doi", "n", "url")
 
@@ -56,10 +56,11 @@ def merge_metadata(rows: DataFrame, key: str, column: str = "meta", order: str =
 
 def refresh(stored: DataFrame, fresh: DataFrame, fields: tuple[str, ...] = ("title", "authors", "year", "journal")) -> DataFrame:
     """Stored records with empty fields filled and an abstract only replaced by a longer one."""
-    out = stored.alias("s").join(fresh.alias("f"), "doi", "left")
+    keyed = stored.withColumn("_id", same_id(F.col("doi"))).alias("s")
+    out = keyed.join(fresh.withColumn("_id", same_id(F.col("doi"))).alias("f"), "_id", "left")
     filled = [F.coalesce(F.nullif(F.trim(F.col(f"s.{c}")), F.lit("")), F.col(f"f.{c}"), F.lit("")).alias(c) for c in fields]
     longer = F.length("f.abstract") > F.length(F.coalesce("s.abstract", F.lit("")))
-    return out.select("doi", *filled, F.when(longer, F.col("f.abstract")).otherwise(F.coalesce("s.abstract", F.lit(""))).alias("abstract"), F.coalesce(longer, F.lit(False)).alias("abstract_changed"))
+    return out.select("s.doi", *filled, F.when(longer, F.col("f.abstract")).otherwise(F.coalesce("s.abstract", F.lit(""))).alias("abstract"), F.coalesce(longer, F.lit(False)).alias("abstract_changed"))
 
 
 def linked_by_id(requests: DataFrame, hits: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def linked_by_id(requests: DataFrame, hits: DataFrame) -> DataFrame:
 
 def enrich(ids: DataFrame, metadata: DataFrame, open_access: DataFrame) -> DataFrame:
     """An id list with saved metadata and open-access links; what is missing is empty."""
-    out = ids.join(metadata, "doi", "left").join(open_access, "doi", "left")
+    out = join_by_id(join_by_id(ids, metadata), open_access)
     return out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c != "doi" else F.col(c) for c in out.columns])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.functions.ids import host
+from sievework.functions.ids import host, join_by_id
 
 # Codes that say "not now", and hours until a retry makes sense.
 RETRY_CODES = ("download_host_cooldown", "download_network_error", "download_timeout", "download_http_408", "download_http_425", "download_http_429", "worker_exception", "item_deadline", "download_item_deadline")
@@ -93,7 +93,7 @@ def benchmark_groups(results: DataFrame) -> DataFrame:
 
 def open_access_ceiling(results: DataFrame, status: DataFrame) -> DataFrame:
     """Open, closed and unknown items, those recovered of each, and the open ones that were missed."""
-    rows = results.join(status, "doi", "left")
+    rows = join_by_id(results, status)
     closed, open_ = F.coalesce(F.col("oa_status") == "closed", F.lit(False)), F.coalesce(F.col("oa_status") != "closed", F.lit(False))
     return rows.agg(
         F.count_if(open_).alias("open"), F.count_if(closed).alias("closed"), F.count_if(~open_ & ~closed).alias("unknown"), F.round(F.count_if(open_) / F.count("*"), 4).alias("ceiling"),
@@ -102,7 +102,7 @@ def open_access_ceiling(results: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def missed_open(results: DataFrame, status: DataFrame) -> DataFrame:
-    return results.filter("NOT success").join(status.filter("oa_status <> 'closed'"), "doi").select("doi")
+    return join_by_id(results.filter("NOT success"), status.filter("oa_status <> 'closed'"), "inner").select("doi")
 
 
 def transient_by_host(failures: DataFrame, most: int = 15) -> DataFrame:
@@ -113,7 +113,7 @@ def transient_by_host(failures: DataFrame, most: int = 15) -> DataFrame:
 
 def run_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per item of two runs: gain, loss, same, new or gone; an item that wasn't there before is no gain."""
-    both = before.select("doi", F.col("success").alias("b")).join(after.select("doi", F.col("success").alias("a")), "doi", "full_outer")
+    both = join_by_id(before.select("doi", F.col("success").alias("b")), after.select("doi", F.col("success").alias("a")), "full_outer")
     change = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "gone").when(~F.col("b") & F.col("a"), "gain").when(F.col("b") & ~F.col("a"), "loss").otherwise("same")
     return both.select("doi", change.alias("change"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.functions.ids import fingerprint, same_id
+from sievework.functions.ids import fingerprint, join_by_id, same_id
 
 PAGE = 50
 
@@ -37,7 +37,7 @@ def obtained(items: DataFrame, corpus: DataFrame) -> DataFrame:
 def worklist(items: DataFrame, ledger: DataFrame, corpus: DataFrame, current: int) -> DataFrame:
     """Screenable records with their situation, whether a decision is out of date, and for included ones the state."""
     marks = ledger.select("doi", "decision", "version")
-    rows = screenable(items).join(marks, "doi", "left")
+    rows = join_by_id(screenable(items), marks)
     rows = rows.withColumn("situation", in_force(F.col("decision"), F.col("version"), current)).withColumn("stale", F.col("decision").isNotNull() & ~F.col("version").eqNullSafe(F.lit(current)))
     rows = obtained(rows, corpus)
     included = F.col("situation") == "incluir"
@@ -129,7 +129,7 @@ def not_acceptable() -> Column:
 
 def accept_all(chosen: DataFrame, worklist_: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
     """(decisions, violations) of a bulk acceptance; the decisions are empty if anything is violated."""
-    rows = chosen.select("doi").distinct().join(worklist_.select("doi", "situation", "suggested", "current"), "doi", "left")
+    rows = join_by_id(chosen.select("doi").distinct(), worklist_.select("doi", "situation", "suggested", "current"))
     rows = rows.withColumn("why", not_acceptable())
     bad = rows.filter("why IS NOT NULL").select("doi", "why")
     over = rows.agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit(None).cast("string").alias("doi"), F.lit("too many records").alias("why"))
@@ -141,7 +141,7 @@ def accept_all(chosen: DataFrame, worklist_: DataFrame, most: int = 500) -> tupl
 
 def accept_batches(chosen: DataFrame, worklist_: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
     """As ``accept_all`` for many acceptances, told apart by ``batch``: each is accepted whole or not at all."""
-    rows = chosen.select("batch", "doi").distinct().join(worklist_.select("doi", "situation", "suggested", "current"), "doi", "left").withColumn("why", not_acceptable())
+    rows = join_by_id(chosen.select("batch", "doi").distinct(), worklist_.select("doi", "situation", "suggested", "current")).withColumn("why", not_acceptable())
     batches = rows.groupBy(F.col("batch").alias("b")).agg(F.count("*").alias("n"), F.count("why").alias("bad"))
     over = batches.filter(F.col("n") > most).select(F.col("b").alias("batch"), F.lit(None).cast("string").alias("doi"), F.lit("too many records").alias("why"))
     violations = rows.filter("why IS NOT NULL").select("batch", "doi", "why").unionByName(over)

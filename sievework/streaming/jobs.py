@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sievework.functions.ids import join_by_id
+
 
 def work_folder(spark: SparkSession) -> str:
     """A folder of its own below ``spark.checkpoint.dir``; a local session that names none (a test) gets a temporary one."""
@@ -85,7 +87,7 @@ def live_worklist(records: DataFrame, ledger: DataFrame, current: int) -> DataFr
     """New records as they arrive, joined with the ledger as it stands (append mode)."""
     from sievework.operators.screening import in_force
 
-    rows = records.filter(F.col("found") & F.col("status").isin("done", "partial")).join(ledger.select("doi", "decision", "version"), "doi", "left")
+    rows = join_by_id(records.filter(F.col("found") & F.col("status").isin("done", "partial")), ledger.select("doi", "decision", "version"))
     return rows.withColumn("situation", in_force(F.col("decision"), F.col("version"), current)).drop("decision", "version")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import ids, similarity, text
-from sievework.operators import documents, identity, ledger, linkage, prisma, retrieval, review, screening
+from sievework.operators import documents, identity, ledger, linkage, prisma, records, retrieval, review, screening
 from sievework.plans import queries
 from sievework.plans.views import Tables
 from sievework.sources import lists, pages, payloads, sinks
@@ -370,3 +370,19 @@ def test_complete_mode_keeps_only_the_last_state(spark, tmp_path):
     got = jobs.run_available(jobs.superseded(stream), "complete")
     assert sorted((r.item, r.success) for r in got.collect()) == [(0, True), (1, False)]
     assert len({f.rsplit("state=", 1)[1].split("/")[0] for f in got.inputFiles()}) == 1
+
+
+def test_identifiers_meet_in_any_case(spark):
+    ledger_ = spark.createDataFrame([("10.1/A", "incluir", "r", "p", 2, "s", None, None, None)], ", ".join(f"{c} {'int' if 'version' in c else 'string'}" for c in ("doi", *ledger.DECISION, *ledger.SUGGESTION)))
+    new = spark.createDataFrame([("10.1/a ", "m", "excluir", 1), ("10.1/B", "m", "incluir", 1)], "doi string, ai_provider string, ai_decision string, ai_version int")
+    assert sorted((r.doi, r.decision, r.ai_decision) for r in ledger.upsert_suggestions(ledger_, new).collect()) == [("10.1/A", "incluir", "excluir"), ("10.1/B", None, "incluir")]
+    assert ledger.restore(ledger_, ledger_.withColumn("doi", F.lower("doi"))).count() == 1
+    before, after = (spark.createDataFrame([r], "doi string, success boolean") for r in (("10.1/A", False), ("10.1/a", True)))
+    assert [tuple(r) for r in retrieval.run_changes(before, after).collect()] == [("10.1/A", "gain")]
+    rows = spark.createDataFrame([("10.1/A", "crossref", "", "", "", "", "abc"), ("10.1/a", "openalex", "T", "", "", "", "abcd")], "doi string, source string, title string, authors string, year string, journal string, abstract string")
+    assert [(r.doi, r.title, r.sources) for r in records.merge_records(rows).collect()] == [("10.1/a", "T", 2)]
+    assert [(r.doi, r.abstract) for r in records.longest_abstract(rows).collect()] == [("10.1/a", "abcd")]
+    assert [(r.doi, r.title, r.abstract) for r in records.refresh(rows.filter("source = 'crossref'"), rows.filter("source = 'openalex'")).collect()] == [("10.1/A", "T", "abcd")]
+    status = spark.createDataFrame([("10.1/a", "gold")], "doi string, oa_status string")
+    assert [r.doi for r in retrieval.missed_open(before, status).collect()] == ["10.1/A"] and retrieval.open_access_ceiling(before, status).first().open == 1
+    assert [tuple(r) for r in records.enrich(before.select("doi"), rows.filter("title = 'T'").select("doi", "title"), status).collect()] == [("10.1/A", "T", "gold")]
