@@ -63,7 +63,7 @@ def tagged_records(records: DataFrame, base: str) -> DataFrame:
 
 def read_tagged(spark: SparkSession, path: str, base: str) -> DataFrame:
     """A tagged export, a record at each ``ER`` line; numbers are by file and place."""
-    records = spark.read.text(path, lineSep="ER  -").filter(F.trim("value") != "").withColumn("n", F.monotonically_increasing_id())
+    records = spark.read.text(path, lineSep="ER  -").filter(F.col("value").rlike(r"\S")).withColumn("n", F.monotonically_increasing_id())
     return tagged_records(records, base)
 
 
