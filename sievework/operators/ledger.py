@@ -71,15 +71,26 @@ def first_reason(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("article").agg(F.max_by("reason", "seq").alias("reason"))
 
 
-def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
+def batches(rows: DataFrame, key: str, order: str, size: int, stretch: Column | None = None) -> DataFrame:
     """Rows with the number of their batch of ``size`` within the key."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+    return numbered(rows, key, order, stretch).withColumn("batch", F.floor((F.col("ordinal") - 1) / size).cast("int")).drop("ordinal")
 
 
-def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Rows with a stable number for reports."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+def numbered(rows: DataFrame, group: str, order: str, stretch: Column | None = None) -> DataFrame:
+    """Rows with their number within the group, gapless from 1, as ``ordinal``.
+
+    ``stretch`` never falls as ``order`` rises, and cuts a group that may hold most of the rows: each stretch is sorted on its
+    own and starts after the counted rows of those before. Only one count a stretch is sorted by the whole group.
+    """
+    if stretch is None:
+        return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    cut = rows.withColumn("__stretch", stretch)
+    counts = cut.groupBy(F.col(group).alias("__group"), F.col("__stretch").alias("__at")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__group").orderBy(F.col("__at").asc_nulls_first())) - F.col("__n")
+    offsets = counts.select("__group", "__at", before.alias("__before"))
+    own = cut.withColumn("__own", F.row_number().over(Window.partitionBy(group, "__stretch").orderBy(order)))
+    both = own.join(offsets, F.col(group).eqNullSafe(F.col("__group")) & F.col("__stretch").eqNullSafe(F.col("__at")))
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__own") + F.col("__before")).cast("int").alias("ordinal"))
 
 
 def output_names(records: DataFrame, taken: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.functions.ids import fingerprint, join_by_id, same_id
+from sievework.operators.ledger import batches
 
 PAGE = 50
 
@@ -210,10 +210,12 @@ def score_with_model(texts: DataFrame, done: DataFrame, scorer: Callable[[Iterat
     return failed.unionByName(answered.select("article_id", "task_hash", F.when(ok, "COMPLETED").otherwise("FAILED").alias("status"), F.when(~ok, "resposta_invalida").alias("failure_reason"), "response"))
 
 
-def request_packages(articles: DataFrame, size: int, criteria: Column) -> DataFrame:
-    """(package, n, json): articles in batches of ``size`` with their hashes and whether they have an abstract."""
-    n = F.row_number().over(Window.partitionBy("project").orderBy("id"))
-    rows = articles.withColumn("package", F.floor((n - 1) / size).cast("int"))
+def request_packages(articles: DataFrame, size: int, criteria: Column, stretch: Column | None = None) -> DataFrame:
+    """(package, n, json): articles in batches of ``size`` with their hashes and whether they have an abstract.
+
+    ``stretch``: as in ``ledger.numbered``, for projects that hold most of the articles.
+    """
+    rows = batches(articles, "project", "id", size, stretch).withColumnRenamed("batch", "package")
     item = F.struct(F.col("id").alias("article_id"), "title", "abstract", F.when(F.trim(F.coalesce("abstract", F.lit(""))) == "", "nao_localizado").otherwise("localizado").alias("abstract_status"), fingerprint("id", "title", "abstract").alias("source_hash"))
     return rows.groupBy("project", "package").agg(F.array_sort(F.collect_list(item)).alias("items")).select("project", "package", F.size("items").alias("n"), F.to_json(F.struct(criteria.alias("criteria"), "items")).alias("json"))
 

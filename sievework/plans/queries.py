@@ -105,10 +105,11 @@ def _(t: Tables) -> DataFrame:
     return screening.suggest(rows, RULES, CURRENT, "c").select("doc_id", "suggested")
 
 
-@query("bulk_acceptance", """SELECT doi, 'incluir' AS decision, 'ia_accepted' AS source FROM search_items WHERE doc_id < 90 AND doc_id % 10 = 4 AND found""", "search_items")
+@query("bulk_acceptance", """SELECT doi, 'incluir' AS decision, 'ia_accepted' AS source FROM search_items WHERE found AND doc_id // 500 NOT IN (SELECT doc_id // 500 FROM search_items WHERE found AND doc_id % 1250 = 4)""", "search_items")
 def _(t: Tables) -> DataFrame:
-    work = t.search_items.select("doi", F.lit("pendente").alias("situation"), F.lit("incluir").alias("suggested"), F.lit(True).alias("current"))
-    return screening.accept_all(t.search_items.filter("doc_id < 90 AND doc_id % 10 = 4 AND found").select("doi"), work)[0]
+    work = t.search_items.select("doi", F.lit("pendente").alias("situation"), F.lit("incluir").alias("suggested"), (F.col("doc_id") % 1250 != 4).alias("current"))
+    found = t.search_items.filter("found").select("doi", F.floor(F.col("doc_id") / 500).alias("batch"))
+    return screening.accept_batches(found, work)[0].select("doi", "decision", "source")
 
 
 _BATCHED = """c AS (SELECT doi, concat(CAST(doc_id % 4 AS VARCHAR), '/', CAST(doc_id // CASE WHEN doc_id % 4 = 3 THEN 4000 ELSE 2000 END AS VARCHAR)) AS batch,
@@ -248,7 +249,7 @@ def _(t: Tables) -> DataFrame:
 @query("request_packages", """SELECT project, CAST(floor((rn - 1) / 5) AS INTEGER) AS package, count(*) AS n FROM (SELECT source_kind AS project, row_number() OVER (PARTITION BY source_kind ORDER BY id) AS rn FROM articles) GROUP BY 1, 2""", "articles")
 def _(t: Tables) -> DataFrame:
     rows = t.articles.select(F.col("source_kind").alias("project"), "id", "title", F.lit("").alias("abstract"))
-    return screening.request_packages(rows, 5, F.lit("criteria")).select("project", "package", F.col("n").cast("long").alias("n"))
+    return screening.request_packages(rows, 5, F.lit("criteria"), F.floor(F.col("id") / 10_000)).select("project", "package", F.col("n").cast("long").alias("n"))
 
 
 @query("attach_texts", """SELECT a.id, least(length(d.text), 1000) AS chars, coalesce(length(d.text) > 1000, false) AS truncated FROM articles a LEFT JOIN documents d ON d.doc_id = a.id""", "articles")
@@ -715,12 +716,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("batches_of_n", """SELECT project, CAST(floor((n - 1) / 50) AS INTEGER) AS batch, count(*) AS n FROM (SELECT project, row_number() OVER (PARTITION BY project ORDER BY article) AS n FROM documents_ready) GROUP BY 1, 2""", "documents_ready")
 def _(t: Tables) -> DataFrame:
-    return ledger.batches(t.documents_ready, "project", "article", 50).groupBy("project", "batch").agg(F.count("*").alias("n"))
+    return ledger.batches(t.documents_ready, "project", "article", 50, F.floor(F.col("article") / 10_000)).groupBy("project", "batch").agg(F.count("*").alias("n"))
 
 
 @query("report_ordinals", """SELECT id, CAST(row_number() OVER (PARTITION BY source_kind ORDER BY id) AS INTEGER) AS ordinal FROM articles""", "articles")
 def _(t: Tables) -> DataFrame:
-    return ledger.numbered(t.articles, "source_kind", "id").select("id", "ordinal")
+    return ledger.numbered(t.articles, "source_kind", "id", F.floor(F.col("id") / 10_000)).select("id", "ordinal")
 
 
 @query("output_names")
@@ -885,11 +886,11 @@ def _(t: Tables) -> DataFrame:
     return lists.free_text_ids(t.given("documents").select(text.alias("text")))
 
 
-@query("batch_validation_report", """SELECT doc_id % 20 AS batch_id, count(DISTINCT CASE WHEN doc_id % 7 <> 0 THEN doc_id % 60 END) AS valid, count(*) FILTER (doc_id % 7 = 0) AS invalid, count(*) FILTER (doc_id % 7 <> 0) - count(DISTINCT CASE WHEN doc_id % 7 <> 0 THEN doc_id % 60 END) AS duplicates, count(*) AS line_count FROM documents GROUP BY 1""")
+@query("batch_validation_report", """SELECT doc_id // 500 AS batch_id, count(DISTINCT CASE WHEN doc_id % 7 <> 0 THEN doc_id % 60 END) AS valid, count(*) FILTER (doc_id % 7 = 0) AS invalid, count(*) FILTER (doc_id % 7 <> 0) - count(DISTINCT CASE WHEN doc_id % 7 <> 0 THEN doc_id % 60 END) AS duplicates, count(*) AS line_count FROM documents GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     line = F.when(d % 7 == 0, "not an id").otherwise(F.concat(F.lit("doi: 10.5555/X"), (d % 60).cast("string")))
-    texts = t.given("documents").groupBy((d % 20).alias("batch_id")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    texts = t.given("documents").groupBy(F.floor(d / 500).alias("batch_id")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
     return lists.batch_report(texts).select("batch_id", F.size("dois").cast("long").alias("valid"), F.size("invalid").cast("long").alias("invalid"), "duplicates", "line_count")
 
 
@@ -913,24 +914,29 @@ def _(t: Tables) -> DataFrame:
     return rows.agg(*[F.count_if(c).alias(c) for c in names])
 
 
+def _indexed(t: Tables) -> DataFrame:
+    """(doc_id, index): each whole text as a map of its words to their positions; null stays null."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    placed = t.given("documents").select("doc_id", F.isnull("text").alias("none"), F.posexplode_outer(words).alias("at", "w"))
+    by_word = placed.groupBy("doc_id", "none", "w").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    entries = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "at")))
+    return by_word.groupBy("doc_id", "none").agg(entries.alias("entries")).select("doc_id", F.when(~F.col("none"), F.map_from_entries("entries")).alias("index"))
+
+
 @query("source_payloads", "SELECT 'crossref' AS source, count(*) AS n, count(DISTINCT doi) AS dois FROM oa_status UNION ALL SELECT 'openalex', count(*), count(DISTINCT doi) FROM oa_status UNION ALL SELECT 'semanticscholar', count(*), count(DISTINCT doi) FROM oa_status", "oa_status")
 def _(t: Tables) -> DataFrame:
-    d = t.given("documents").select(F.col("doc_id").cast("string").alias("n"), F.split(F.substring("text", 1, 60), " ").alias("w"))
+    d = t.given("documents").select(F.col("doc_id").cast("string").alias("n"))
     doi = F.concat(F.lit("10.5555/d"), "n")
     crossref = d.select(F.to_json(F.struct(doi.alias("DOI"), F.array(F.lit("A title")).alias("title"), F.lit("<p>Abstract: something long enough to keep</p>").alias("abstract"))).alias("payload"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda w: F.struct(w, F.array(F.array_position("w", w).cast("int") - 1))))
-    openalex = d.select(F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), doi).alias("doi"), F.lit("T").alias("title"), index.alias("abstract_inverted_index"))).alias("payload"))
+    openalex = _indexed(t).withColumn("n", F.col("doc_id").cast("string")).select(F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), doi).alias("doi"), F.lit("T").alias("title"), F.col("index").alias("abstract_inverted_index"))).alias("payload"))
     s2 = d.select(F.to_json(F.struct(F.create_map(F.lit("DOI"), F.upper(doi)).alias("externalIds"), F.lit("T").alias("title"), F.lit(2001).alias("year"))).alias("payload"))
     rows = payloads.source_records(crossref, "crossref").unionByName(payloads.source_records(openalex, "openalex")).unionByName(payloads.source_records(s2, "semanticscholar"))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doi").alias("dois"))
 
 
-@query("inverted_abstracts", "SELECT doc_id, array_to_string(list_filter(string_split(substr(text, 1, 200), ' '), lambda w: w <> ''), ' ') AS abstract FROM documents")
+@query("inverted_abstracts", "SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def _(t: Tables) -> DataFrame:
-    words = F.filter(F.split(F.substring("text", 1, 200), " "), lambda w: w != "")
-    d = t.given("documents").select("doc_id", words.alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda w: F.struct(w, F.filter(F.transform("w", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
-    return d.select("doc_id", payloads.inverted_abstract(index).alias("abstract"))
+    return _indexed(t).select("doc_id", payloads.inverted_abstract(F.col("index")).alias("abstract"))
 
 
 @query("open_access_locations", "SELECT doi, 2 AS pdfs, 1 AS pages FROM oa_status", "oa_status")

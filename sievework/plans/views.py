@@ -1,6 +1,7 @@
 """The engine's tables as projections of the given ones.
 
 Each is one SELECT that Spark and DuckDB both understand, so that a job and its SQL start from the same rows.
+The given tables have no titles: the beginning of a text, which a title is, stands for one beside the whole text.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ VIEWS: dict[str, str] = {
     "search_items": """SELECT doc_id, concat('10.5555/d', CAST(doc_id AS STRING)) AS doi,
         CASE doc_id % 10 WHEN 0 THEN 'waiting' WHEN 1 THEN 'error' WHEN 2 THEN 'partial' ELSE 'done' END AS status, (doc_id % 7 <> 3) AS found,
         substr(text, 1, 80) AS title, source AS authors, CAST(2000 + doc_id % 25 AS STRING) AS year, lang AS journal,
-        CASE WHEN n_chars < 200 THEN '' ELSE substr(text, 1, 300) END AS abstract,
+        CASE WHEN n_chars < 200 THEN '' ELSE text END AS abstract,
         CASE WHEN doc_id % 13 = 5 THEN 'download failed' ELSE '' END AS error, text FROM documents""",
     "articles": """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN concat('10.5555/D', CAST(doc_id AS STRING)) ELSE concat('10.5555/d', CAST(doc_id AS STRING)) END AS doi,
         CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 2 END AS triage_version, CASE WHEN doc_id % 4 = 0 THEN 'excluir' ELSE 'incluir' END AS triage_decision,
@@ -50,7 +51,7 @@ VIEWS: dict[str, str] = {
     "title_pages": """SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title FROM pages""",
     "source_records": """SELECT concat('10.5555/d', CAST(doc_id AS STRING)) AS doi, s AS source, CASE WHEN (doc_id + n) % 3 = 0 THEN '' ELSE concat('title ', CAST(n AS STRING), ' ', lang) END AS title,
         CASE WHEN (doc_id + n) % 3 = 1 THEN '' ELSE concat('author ', CAST(n AS STRING)) END AS authors, CASE WHEN (doc_id + n) % 3 = 2 THEN '' ELSE CAST(2000 + n AS STRING) END AS year,
-        CASE WHEN n = 0 THEN '' ELSE concat('journal ', CAST(n AS STRING)) END AS journal, CASE WHEN (doc_id + n) % 5 = 0 THEN '' ELSE substr(text, 1, CAST(50 * (n + 1) + doc_id % 40 AS INTEGER)) END AS abstract
+        CASE WHEN n = 0 THEN '' ELSE concat('journal ', CAST(n AS STRING)) END AS journal, CASE WHEN (doc_id + n) % 5 = 0 THEN '' ELSE concat(text, repeat('.', CAST((doc_id + 3 * n) % 4 AS INTEGER))) END AS abstract
         FROM documents CROSS JOIN (SELECT 0 AS n, 'crossref' AS s UNION ALL SELECT 1, 'europepmc' UNION ALL SELECT 2, 'semanticscholar' UNION ALL SELECT 3, 'openalex') q""",
     "stored_texts": """SELECT concat(CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE 'p1' END, '/', CAST(doc_id AS STRING)) AS key, 'p1' AS project, concat('10.5555/d', CAST(doc_id AS STRING)) AS doi, n_chars AS bytes FROM documents WHERE doc_id % 2 = 0""",
     "landing": """SELECT page_id, url, concat('10.5555/page', CAST(page_id AS STRING)) AS doi, concat(CASE page_id % 4

@@ -386,3 +386,12 @@ def test_identifiers_meet_in_any_case(spark):
     status = spark.createDataFrame([("10.1/a", "gold")], "doi string, oa_status string")
     assert [r.doi for r in retrieval.missed_open(before, status).collect()] == ["10.1/A"] and retrieval.open_access_ceiling(before, status).first().open == 1
     assert [tuple(r) for r in records.enrich(before.select("doi"), rows.filter("title = 'T'").select("doi", "title"), status).collect()] == [("10.1/A", "T", "gold")]
+
+
+def test_numbers_run_on_over_stretches(spark):
+    from sievework.operators import ledger
+
+    rows = spark.createDataFrame([("a", i * 7 % 50) for i in range(50)] + [("b", 3), (None, 1), (None, 45)], "g string, id long")
+    whole = sorted(map(tuple, ledger.numbered(rows, "g", "id").collect()), key=str)
+    assert sorted(map(tuple, ledger.numbered(rows, "g", "id", F.floor(F.col("id") / 10)).collect()), key=str) == whole
+    assert ledger.batches(rows, "g", "id", 20, F.floor(F.col("id") / 10)).groupBy("g").agg(F.max("batch")).filter("g = 'a'").collect()[0][1] == 2
