@@ -7,39 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.ids import canonical_id, year_score
-from sievework.functions.similarity import COVERAGE, JACCARD, SEQUENCE, SORTED, coverage, same_surname, title_score, word_score
+from sievework.functions.similarity import COVERAGE, JACCARD, SEQUENCE, SORTED, coverage, jaccard, reaching_score, same_surname, word_score
 from sievework.functions.text import title_ascii, title_words, token_set
 
 
+#: Scores are rounded to six places, so a bound on one may lie this far below the threshold.
+SLACK = 1e-6
+
+
 def blocked_pairs(asked: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (request, title, hit, hit_title) that may reach the threshold on the full title score.
+    """Pairs (request, title, hit, hit_title) that may reach the threshold on the full title score, with their ``words``,
+    ``hit_words`` and normal forms ``plain``, ``hit_plain``.
 
     Sequences add at most 0.40 to a score, so word overlap must bring the rest. With a needed word share s, a pair that
     reaches it has in common at least one of the request's rarest (1 - s) part of words: only those are joined on
-    (prefix filtering), which loses no pair. Equal normal forms are joined directly.
+    (prefix filtering), which loses no pair. The join also counts the words in common, and with the few that it leaves out
+    this bounds the overlap, so titles are fetched only for pairs whose overlap can do.
     """
     need = threshold - SEQUENCE - SORTED
     # coverage <= 1 and jaccard <= coverage, so coverage must be at least need / (COVERAGE + JACCARD).
     share = max(0.0, need / (COVERAGE + JACCARD))
-    a = asked.select("request", "title", token_set(title_words(F.col("title"))).alias("words")).filter("size(words) > 0")
-    h = hits.select("hit", "hit_title", token_set(title_words(F.col("hit_title"))).alias("hit_words")).filter("size(hit_words) > 0")
+    a = asked.select("request", "title", title_words(F.col("title")).alias("plain")).withColumn("words", token_set(F.col("plain"))).filter("size(words) > 0")
+    h = hits.select("hit", "hit_title", title_words(F.col("hit_title")).alias("hit_plain")).withColumn("hit_words", token_set(F.col("hit_plain"))).filter("size(hit_words) > 0")
     rarity = h.select(F.explode("hit_words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     tokens = a.select("request", F.size("words").alias("n"), F.explode("words").alias("w")).join(rarity, "w")
-    order = Window.partitionBy("request").orderBy("df", "w")
     # Words that no hit has can't match, so they count against the share from the start.
-    absent = tokens.groupBy("request").agg(F.count("*").alias("present"))
-    tokens = tokens.withColumn("at", F.row_number().over(order)).join(absent, "request")
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9))
-    prefix = tokens.filter(F.col("at") <= F.col("present") - least + 1).select("request", "w")
-    pairs = prefix.join(h.select("hit", F.explode("hit_words").alias("w")), "w").select("request", "hit").distinct()
-    return pairs.join(a.drop("words"), "request").join(h.drop("hit_words"), "hit")
+    of_request = Window.partitionBy("request")
+    tokens = tokens.withColumn("at", F.row_number().over(of_request.orderBy("df", "w"))).withColumn("present", F.count("*").over(of_request))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9)).cast("int")
+    prefix = tokens.withColumn("least", least).filter(F.col("at") <= F.col("present") - F.col("least") + 1).select("request", "w", "n", "least")
+    common = prefix.join(h.select("hit", F.size("hit_words").alias("m"), F.explode("hit_words").alias("w")), "w").groupBy("request", "hit", "n", "m", "least").agg(F.count("*").alias("seen"))
+    most = F.least("n", "m", F.col("seen") + F.col("least") - 1)
+    overlap = COVERAGE * most / F.col("n") + JACCARD * most / (F.col("n") + F.col("m") - most)
+    pairs = common.filter(overlap >= need - SLACK).select("request", "hit")
+    return pairs.join(a, "request").join(h, "hit")
 
 
 def scored_pairs(asked: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
     """Every pair (request, title, hit, hit_title, score) whose title score reaches the threshold."""
     pairs = blocked_pairs(asked, hits, threshold)
-    hopeful = pairs.filter(word_score(F.col("title"), F.col("hit_title")) + SEQUENCE + SORTED >= threshold)
-    return hopeful.withColumn("score", title_score(F.col("title"), F.col("hit_title"))).filter(F.col("score") >= threshold)
+    words = COVERAGE * coverage(F.col("words"), F.col("hit_words")) + JACCARD * jaccard(F.col("words"), F.col("hit_words"))
+    ordered = lambda c: F.array_join(F.array_sort(c), " ")
+    open_ = pairs.select("request", "title", "hit", "hit_title", "plain", "hit_plain", words.alias("by_words"), ordered("words").alias("ordered"), ordered("hit_words").alias("hit_ordered"))
+    # The shorter of two texts bounds what their sequences have in common.
+    bound = lambda a, b: 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    reachable = F.col("by_words") + SEQUENCE * bound("plain", "hit_plain") + SORTED * bound("ordered", "hit_ordered")
+    score = reaching_score("by_words", "plain", "hit_plain", "ordered", "hit_ordered", F.lit(threshold - SLACK))
+    scored = open_.filter(reachable >= threshold - SLACK).withColumn("score", score)
+    return scored.filter(F.col("score") >= threshold).select("request", "title", "hit", "hit_title", "score")
 
 
 def match_titles(asked: DataFrame, hits: DataFrame, threshold: float = 0.72, top: int = 1) -> DataFrame:
