@@ -10,7 +10,8 @@ Distinct values are aggregated before they move, so a value that fills a third o
 an entity are passed through in place; only texts with one are joined with their replacements.
 
 Defined results: null text stays null, empty text empty; texts are processed whole; repeated rows are treated alike;
-further columns are kept; an empty table gives no rows.
+further columns are kept; an empty table gives no rows. A secret without quotes ends at white space, so of one that has spaces
+only its first word is replaced; bare numbers of a phone need hyphens or dots (555-123-4567), for others could be amounts.
 """
 
 from __future__ import annotations
@@ -44,16 +45,16 @@ _CLOUD = r"\bAKIA[0-9A-Z]{16}\b"
 _SECRET = r"(?i:\b(?:password|passwd|secret|token)[\"']?[ \t]*+[=:][ \t]*+)"
 _NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}_.+-])[\p{L}\p{M}\p{N}_.+-]++@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*\.\p{L}{2,}",
     # A key of a known form is one entity with and without a word before it.
     "password": rf"{_SECRET}(?![\"']?(?:{_CLOUD}|{_HEX})[.!?)]*(?:[\"'\s,;]|$))(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[\"']?[^\s\"',;]+)",
     "cloud_key": _CLOUD,
     "hex_key": _HEX,
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
-    "card": r"(?<![\w+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b|\b[A-Z]{2}\d{2}(?=(?: [A-Z0-9]{4}){0,5} \d{4} \d{4})(?: [A-Z0-9]{4}){2,7}(?: \d[A-Z0-9]{0,2})?(?!\w)",
+    "card": r"(?<![\w+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d)",
     "person": rf"(?<!\w)(?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES))})\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -103,7 +104,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     seed = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string")), 256)
     same = alike(value, seed)
     local = F.substring_index(value, "@", 1)
-    mail = F.concat(alike(local, seed), F.lit("@mail"), draw(seed, -1, 1000).cast("string"), F.lit(".example."), F.regexp_extract(value, r"\.([A-Za-z]+)$", 1))
+    mail = F.concat(alike(local, seed), F.lit("@mail"), draw(seed, -1, 1000).cast("string"), F.lit(".example."), F.regexp_extract(value, r"\.(\p{L}+)$", 1))
     ip = F.concat_ws(".", (draw(seed, -1, 223) + 1).cast("string"), *[draw(seed, -k, 256).cast("string") for k in (2, 3, 4)])
     digits, own = F.regexp_replace(value, "[^0-9]", ""), F.concat(F.substring(value, 1, 1), F.substring(same, 2, 64))
     own_digits = F.regexp_replace(own, "[^0-9]", "")

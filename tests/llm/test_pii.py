@@ -75,3 +75,18 @@ def test_a_family_name_has_one_surrogate(spark, documents):
     got = pii.replace_entities(documents([(1, "Frau Erika Muster met Frau Muster.")]), "key").collect()[0].text
     first, second = re.findall(r"Frau (?:[A-Z][a-z]+ )?([A-Z][a-z]{5})\b", got)
     assert first == second != "Muster"
+
+
+def test_grouped_numbers_and_accented_addresses(spark, documents):
+    rows = [
+        (1, "call 555-123-4567."), (2, "call 555.123.4567, please"), (3, "to GB29 NWBK 6016 1331 9268 19 I pay"), (4, "to FR14 2004 1010 0505 0001 3M02 606."), (5, "card 3782 822463 10005!"), (6, "josé.pérez@x.com wrote"),
+        (7, "иван@почта.рф wrote"), (8, "AB12 THIS WORD ONLY and 1.555.123.4567.8 or 12-555-123-4567 and v1.2"), (9, "at 10.20.30"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(documents(rows), "key").collect()}
+    assert [got[i].n_entities for i in range(1, 10)] == [1, 1, 1, 1, 1, 1, 1, 0, 0]
+    assert re.fullmatch(r"call \d{3}-\d{3}-\d{4}\.", got[1].text) and re.fullmatch(r"call \d{3}\.\d{3}\.\d{4}, please", got[2].text)
+    assert re.fullmatch(r"to GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d I pay", got[3].text) and re.fullmatch(r"to FR\d\d \d{4} \d{4} \d{4} \d{4} \d[A-Z]\d\d \d{3}\.", got[4].text)
+    card = re.fullmatch(r"card (\d{4} \d{6} \d{5})!", got[5].text)[1]
+    assert luhn(card.replace(" ", "")) == 0
+    assert re.fullmatch(r"\w{4}\.\w{5}@mail\d+\.example\.com wrote", got[6].text) and re.fullmatch(r"[а-я]{4}@mail\d+\.example\.рф wrote", got[7].text)
+    assert all(got[i].text != text for i, text in rows[:7])
