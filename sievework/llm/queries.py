@@ -1,8 +1,8 @@
-"""The ten operators' queries and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
-from sievework.llm import bagminhash, bpe, chat, decontaminate, langid, lines, pii, sharding, topk, toxicity
+from sievework.llm import bagminhash, bpe, chat, decontaminate, divergence, langid, lines, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_histogram_topk": topk.op8_histogram_topk,
     "op9_call_linking": chat.op9_call_linking,
     "op10_surrogates": pii.op10_surrogates,
+    "op11_stripes": divergence.op11_stripes,
 }
 
 ORACLE_SQL = {
     "op1_spaced_seeds": decontaminate.SEEDS_SQL,
     "op8_histogram_topk": topk.TOPK_SQL,
     "op9_call_linking": chat.CHAT_SQL,
+    "op11_stripes": divergence.STRIPES_SQL,
 }
