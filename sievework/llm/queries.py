@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import bagminhash, bpe, chat, decontaminate, divergence, langid, lines, pii, sharding, topk, toxicity
+from sievework.llm import bagminhash, bpe, chat, collocations, decontaminate, divergence, langid, lines, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_call_linking": chat.op9_call_linking,
     "op10_surrogates": pii.op10_surrogates,
     "op11_stripes": divergence.op11_stripes,
+    "op12_de_bruijn": collocations.op12_de_bruijn,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op8_histogram_topk": topk.TOPK_SQL,
     "op9_call_linking": chat.CHAT_SQL,
     "op11_stripes": divergence.STRIPES_SQL,
+    "op12_de_bruijn": collocations.DE_BRUIJN_SQL,
 }
