@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten jobs, each with a query over the given tables.
+"""Operators for preparing training text: thirteen jobs, each with a query over the given tables.
 
 Nothing outside this subpackage imports it.
 """

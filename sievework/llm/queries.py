@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import bagminhash, bpe, chat, collocations, decontaminate, divergence, langid, lines, pii, sharding, topk, toxicity
+from sievework.llm import bagminhash, bpe, chat, collocations, decontaminate, divergence, langid, lines, pii, sharding, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_surrogates": pii.op10_surrogates,
     "op11_stripes": divergence.op11_stripes,
     "op12_de_bruijn": collocations.op12_de_bruijn,
+    "op13_url_grams": urlfilter.op13_url_grams,
 }
 
 ORACLE_SQL = {
