@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
 Lines are compared as sequences of words (lower case, split at white space). A line goes if an earlier line, by
-(doc_id, position), equals it or differs by at most one edit: a word put in, taken out or replaced. The one bound
+(doc_id, text, position), equals it or differs by at most one edit: a word put in, taken out or replaced. The one bound
 ``max_edits`` is 0 or 1. Edits are only considered for lines of at least ``min_words`` words: that is what near means, since
 one word of a shorter line is too large a share of it ("chapter one", "chapter two"). Blank lines stay.
 
@@ -15,31 +15,63 @@ one word of a shorter line is too large a share of it ("chapter one", "chapter t
 
 Step 1 moves hashes of the lines, not the lines.
 
+Lines are ordered by (doc_id, hash of the text, position). Rows that share a doc_id but not a text are documents of their own,
+as are rows with a null id, which come last; so no text decides about another's lines by its id.
+
 Defined results: null text stays null and has no lines; empty text stays; a text whose lines all go becomes empty, the
-row stays; rows that share a doc_id are one document: a position that stays, stays in each of them; null ids sort
-last; the further columns of the input are kept.
+row stays; rows that share doc_id and text are one document: a position that stays, stays in each of them; the further
+columns of the input are kept; the order of the rows doesn't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.common import Scratch, durable, free_name, scratch, table
 
-LAST = (1 << 63) - 1
 BLOCK = 256
+#: Bits of a place and of a document: what fits a decimal of 38 digits, and what a quotient of such has before the point.
+BITS, DOC_BITS = 126, 102
 
 
-def place(doc_id: Column, pos: Column) -> Column:
-    """(doc_id, position) as one sortable number."""
-    return doc_id.cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(11,0)") + pos.cast("decimal(11,0)")
+class Places:
+    """A document, and a line in it, as one sortable number: id (null ids last), hash of the text, position.
 
+    Each part gets as many bits as the table needs; the hash gets what is left, and is tried with other seeds until no two
+    different texts of one id share it.
+    """
 
-def d_and_pos() -> tuple[Column, Column]:
-    """What ``place`` was made of."""
-    shift = F.lit(4294967296).cast("decimal(11,0)")
-    return F.floor(F.col("place") / shift).cast("bigint").alias("d"), F.pmod(F.col("place"), shift).cast("int").alias("pos")
+    def __init__(self, docs: DataFrame):
+        found = docs.agg(
+            F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"),
+            F.coalesce(F.max("doc_id"), F.lit(0)).alias("high"),
+            F.coalesce(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n")))), F.lit(0)).alias("last"),
+        ).first()
+        self.low, self.null = found.low, found.high + 1 - found.low
+        self.pos_bits = int(found.last + 1).bit_length()
+        self.text_bits = min(62, min(BITS - self.pos_bits, DOC_BITS) - int(self.null).bit_length())
+        for self.seed in itertools.count():
+            texts = docs.filter("text IS NOT NULL").groupBy(self.doc().alias("doc")).agg(F.min(F.xxhash64("text", F.lit("all"))).alias("x"), F.max(F.xxhash64("text", F.lit("all"))).alias("y"))
+            if not texts.filter("x <> y").head(1):
+                break
+
+    def doc(self) -> Column:
+        """The document's number: rows with one id and one text are one document."""
+        whole = F.coalesce((F.col("doc_id").cast("decimal(20,0)") - F.lit(self.low).cast("decimal(20,0)")).cast("decimal(20,0)"), F.lit(str(self.null)).cast("decimal(20,0)"))
+        text = F.pmod(F.xxhash64("text", F.lit(self.seed)), F.lit(1 << self.text_bits)).cast("decimal(19,0)")
+        return (whole * F.lit(1 << self.text_bits).cast("decimal(19,0)")).cast("decimal(38,0)") + text
+
+    def place(self, doc: Column, pos: Column) -> Column:
+        return ((doc * F.lit(1 << self.pos_bits).cast("decimal(11,0)")).cast("decimal(38,0)") + pos.cast("decimal(11,0)")).cast("decimal(38,0)")
+
+    def doc_and_pos(self) -> tuple[Column, Column]:
+        """What ``place`` was made of."""
+        shift = F.lit(1 << self.pos_bits).cast("decimal(38,0)")
+        pos = F.pmod(F.col("place"), shift)
+        return ((F.col("place") - pos) / shift).cast("decimal(38,0)").alias("d"), pos.cast("int").alias("pos")
 
 
 #: White space within lines, as the pattern ``\\s`` has it.
@@ -55,11 +87,11 @@ def normal_lines(text: Column) -> Column:
     return F.split(F.lower(tidy), "\n")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't blank: document key, position, normal form."""
+def line_rows(docs: DataFrame, places: Places) -> DataFrame:
+    """One row per line that isn't blank: document, position, normal form."""
     return (
         docs.filter(F.col("text").isNotNull())
-        .select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
+        .select(places.doc().alias("d"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
         .withColumn("line", F.trim("line"))
         .filter("line <> ''")
     )
@@ -87,15 +119,15 @@ def halves(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def near_lines(first: DataFrame, docs: DataFrame, tables: Scratch) -> DataFrame:
+def near_lines(first: DataFrame, docs: DataFrame, places: Places, tables: Scratch) -> DataFrame:
     """``place`` of the distinct lines that lie one edit from an earlier one. ``first``: place, halves."""
     keyed = first.filter("halves IS NOT NULL").select("place", F.explode("halves").alias("half"))
     shared = tables.write(keyed.groupBy("half").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("half"))
     some = keyed.join(shared, "half").select("place").distinct()
-    wanted = some.select(*d_and_pos()).groupBy("d").agg(F.collect_set("pos").alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").filter("text IS NOT NULL").join(wanted, "d").select("d", "wanted", normal_lines(F.col("text")).alias("lines"))
+    wanted = some.select(*places.doc_and_pos()).groupBy("d").agg(F.collect_set("pos").alias("wanted"))
+    texts = docs.filter("text IS NOT NULL").select(places.doc().alias("d"), "text").join(wanted, "d").select("d", "wanted", normal_lines(F.col("text")).alias("lines"))
     rows = texts.select("d", F.explode(F.transform("wanted", lambda pos: F.struct(pos.alias("pos"), F.trim(F.get("lines", pos)).alias("line")))).alias("l")).filter("l.line IS NOT NULL")
-    lines = tables.write(rows.select(place(F.col("d"), F.col("l.pos")).alias("place"), F.col("l.line").alias("line")).dropDuplicates(["place"]))
+    lines = tables.write(rows.select(places.place(F.col("d"), F.col("l.pos")).alias("place"), F.col("l.line").alias("line")).dropDuplicates(["place"]))
     variants = tables.write(line_variants(lines))
     buckets = tables.write(variants.groupBy("k", "i").agg(F.min("place").alias("earliest"), F.count("*").alias("c")))
     # Replaced words: lines of one length that agree without the word at the same place.
@@ -139,9 +171,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 6) -> Data
     """``docs`` with repeated lines taken out of ``text``, and how many lines each row had and lost (``n_lines``, ``n_dropped``)."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
+    places = Places(docs)
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     half = F.when(F.col("n") >= min_words, halves(F.col("line"), F.col("n"))) if max_edits else F.lit(None).cast("array<bigint>")
-    rows = line_rows(docs).withColumn("n", F.size(F.split("line", " "))).select(F.xxhash64(F.lit(11), "line").alias("a"), F.xxhash64("line", F.lit(13)).alias("b"), place(F.col("d"), F.col("pos")).alias("place"), half.alias("halves"))
+    rows = line_rows(docs, places).withColumn("n", F.size(F.split("line", " "))).select(F.xxhash64(F.lit(11), "line").alias("a"), F.xxhash64("line", F.lit(13)).alias("b"), places.place(F.col("d"), F.col("pos")).alias("place"), half.alias("halves"))
     rows = rows.select("a", "b", "place", *[F.get("halves", i).alias(f"h{i}") for i in range(4)])
     first = rows.groupBy("a", "b").agg(F.min("place").alias("place"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
     first = first.select("place", F.when(F.col("h0").isNotNull(), F.array("h0", "h1", "h2", "h3")).alias("halves"))
@@ -149,10 +182,10 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 6) -> Data
         stay = first.select("place")
         if max_edits:
             first = tables.write(first)
-            stay = first.select("place").join(near_lines(first, docs, tables), "place", "left_anti")
-        by_doc = durable(stay.select(*d_and_pos()).groupBy("d").agg(F.collect_list("pos").alias("keep")))
+            stay = first.select("place").join(near_lines(first, docs, places, tables), "place", "left_anti")
+        by_doc = durable(stay.select(*places.doc_and_pos()).groupBy("d").agg(F.collect_list("pos").alias("keep")))
     mine = {c: F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() != "text"}
-    joined = docs.withColumn(d := free_name(docs, "d"), F.coalesce("doc_id", F.lit(LAST))).alias("doc").join(by_doc.alias("by"), F.col(f"doc.{d}") == F.col("by.d"), "left")
+    joined = docs.withColumn(d := free_name(docs, "d"), places.doc()).alias("doc").join(by_doc.alias("by"), F.col(f"doc.{d}") == F.col("by.d"), "left")
     lines = F.split("doc.text", "\n")
     out = joined.select(*mine.values(), F.struct(lines.alias("lines"), F.coalesce("by.keep", F.array().cast("array<int>")).alias("keep")).alias(both := free_name(docs, "both")))
     blank = F.filter(F.transform(f"{both}.lines", lambda x, i: F.when(F.btrim(x, F.lit(GAPS)) == "", i)), lambda i: i.isNotNull())

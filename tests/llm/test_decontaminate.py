@@ -54,3 +54,23 @@ def test_a_clashing_column_stays(spark, documents):
     df = documents([(1, "so one two three four five six seven eight nine ten eleven twelve thirteen it is"), (2, "nothing of that kind")]).withColumn("bad_id", F.lit(1))
     kept = dc.decontaminate(df, bench).collect()
     assert [(r.doc_id, r.bad_id) for r in kept] == [(2, 1)]
+
+
+def test_ids_that_repeat_or_are_null(spark, documents):
+    """A leak costs no other text of its id; hits don't depend on the order of rows."""
+    item = [f"q{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(None, "so " + " ".join(item)), (None, "a clean text"), (3, "fine"), (1, " ".join(item)), (1, " ".join(item[:9]) + " and so on"), (1, "clean too"), (None, None), (4, " ".join(item[:9]))]
+    for some in (rows, rows[::-1]):
+        for few in (2_000_000, 0):
+            got = dc.contaminated_pairs(documents(some), bench, broadcast_rows=few).collect()
+            assert sorted((str(r.doc_id), r.item_id, r.score) for r in got) == [("1", 1, 20), ("None", 1, 20)]
+        kept = dc.decontaminate(documents(some), bench).collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in rows if not t or " ".join(item) not in t)
+
+
+def test_a_hit_may_lie_across_stretches(spark, documents):
+    item = [f"q{i}" for i in range(14)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(n, " ".join(["other"] * n + item + ["more"] * (n % 7))) for n in range(100, 290)]
+    assert dc.contaminated_pairs(documents(rows), bench).filter("score = 14").count() == len(rows)
