@@ -84,7 +84,7 @@ def written(schemas: dict[str, str]):
                     status = "bad_arguments"
                 elif status == "ok" and not r.has_result:
                     status = "no_result"
-                line = {"arguments": arguments, "call_id": r.call_id, "name": r.name, "result": r.content, "status": status, "step": step, "turn": int(r.turn)}
+                line = {"arguments": arguments, "call_id": r.call_id, "name": r.name, "result": r.content, "status": status, "step": step, "turn": None if r.turn is None else int(r.turn)}
                 out.append((status, canonical(line)))
             yield batch[["conv_id", "call_id", "turn", "step"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["status", "json"]))
 
@@ -143,7 +143,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, str]) ->
     linked = calls.join(level, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("call_id") == F.col("si")), "left")
     linked = linked.join(results, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("ri")), "left")
     shown = linked.select("conv_id", "call_id", "turn", "step", "name", "arguments", "content", F.coalesce("has_result", F.lit(False)).alias("has_result"))
-    lines = shown.mapInPandas(written(schemas), "conv_id long, call_id string, turn long, step int, status string, json string")
+    # Numbers that may be null travel as text, which pandas doesn't round.
+    shown = shown.withColumns({c: F.col(c).cast("string") for c in ("conv_id", "turn")})
+    lines = shown.mapInPandas(written(schemas), "conv_id string, call_id string, turn string, step int, status string, json string")
+    lines = lines.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
     lone = results.join(calls, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("ri")), "left_anti")
     lone = lone.select(F.col("rc").alias("conv_id"), F.col("ri").alias("call_id"), F.col("rt").alias("turn"), F.lit(None).cast("int").alias("step"), F.lit("no_call").alias("status"), F.lit(None).cast("string").alias("json"))
     return lines.unionByName(lone)
@@ -158,14 +161,14 @@ SCHEMAS = {
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The conversations read as tool use: a user's turn calls a tool, the assistant's next turn is its result.
 
-    Every call comes after the one two turns before it. Conversations whose id leaves 3 modulo 7 send the turn as text.
+    Every call comes after the one two turns before it; a user's turn without a number waits for none and has no result. Conversations whose id leaves 3 modulo 7 send the turn as text.
     """
     name = lambda turn: F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))), 1, 16)
     turn = F.when(F.col("conv_id") % 7 == 3, F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").cast("string").alias("turn")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"), "turn")))
     calls = conversations.filter("role = 'user'").select(
-        "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.when(F.col("turn") % 2 == 0, "search").otherwise("lookup").alias("name"), turn.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after")
+        "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.when(F.col("turn") % 2 == 0, "search").otherwise("lookup").alias("name"), turn.alias("arguments"), F.when(F.col("turn").isNotNull(), F.array(name(F.col("turn") - 2))).alias("after")
     )
-    results = conversations.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = conversations.filter("role = 'assistant' AND turn IS NOT NULL").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

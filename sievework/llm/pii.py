@@ -10,7 +10,9 @@ Distinct values are aggregated before they move, so a value that fills a third o
 an entity are passed through in place; only texts with one are joined with their replacements.
 
 Defined results: null text stays null, empty text empty; texts are processed whole; repeated rows are treated alike;
-further columns are kept; an empty table gives no rows. A secret without quotes ends at white space, so of one that has spaces
+further columns are kept; an empty table gives no rows; values that outnumber their format get longer surrogates. Persons
+are found behind the titles below only, and a secret behind the words of ``_SECRET`` or by its form; given names come from
+short lists, so different persons may share one, while family names stay distinct. A secret without quotes ends at white space, so of one that has spaces
 only its first word is replaced; bare numbers of a phone need hyphens or dots (555-123-4567), for others could be amounts.
 """
 
@@ -104,7 +106,10 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     seed = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string")), 256)
     same = alike(value, seed)
     local = F.substring_index(value, "@", 1)
-    mail = F.concat(alike(local, seed), F.lit("@mail"), draw(seed, -1, 1000).cast("string"), F.lit(".example."), F.regexp_extract(value, r"\.(\p{L}+)$", 1))
+    # A format whose values run out gets longer ones, the longer the more attempts fail.
+    more = F.call_function("substr", seed, F.lit(1), F.least(F.lit(64), F.lit(5) + F.floor(attempt / 6).cast("int")))
+    letters = F.when(attempt > 5, F.translate(more, "0123456789", "ghijklmnop")).otherwise("")
+    mail = F.concat(alike(local, seed), letters, F.lit("@mail"), draw(seed, -1, 1000).cast("string"), F.lit(".example."), F.regexp_extract(value, r"\.(\p{L}+)$", 1))
     ip = F.concat_ws(".", (draw(seed, -1, 223) + 1).cast("string"), *[draw(seed, -k, 256).cast("string") for k in (2, 3, 4)])
     digits, own = F.regexp_replace(value, "[^0-9]", ""), F.concat(F.substring(value, 1, 1), F.substring(same, 2, 64))
     own_digits = F.regexp_replace(own, "[^0-9]", "")
@@ -132,12 +137,10 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     own_family = F.when(two, F.substring_index(name, " ", -1)).otherwise(name)
     family = alike(own_family, F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("family"), own_family, attempt.cast("string")), 256))
     person = F.concat(title, F.when(two, F.concat(given, F.lit(" "), family)).otherwise(family))
-    # A format whose values run out gets longer ones.
-    letters = F.when(attempt > 5, F.translate(F.substring(seed, 1, 6), "0123456789", "ghijklmnop")).otherwise("")
     digits_more = F.when(attempt > 20, F.concat(F.lit("-"), draw(seed, -9, 1_000_000_000).cast("string"))).otherwise("")
     return (
         F.when(kind == "email", mail)
-        .when(kind == "ip", ip)
+        .when(kind == "ip", F.concat(ip, digits_more))
         .when(kind == "card", F.concat(card, digits_more))
         .when(kind == "hex_key", hexes)
         .when(kind == "cloud_key", F.concat(F.lit("AKIA"), rest("^AKIA")))
@@ -149,12 +152,12 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def surrogates(values: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate), all surrogates distinct and none a value. ``values``: distinct (kind, value)."""
     made = lambda df: df.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
     given = durable(made(values.withColumn("attempt", F.lit(0))))
     originals = values.select(F.col("value").alias("surrogate")).distinct()
-    for _ in range(rounds):
+    while True:
         # Of the values that share a surrogate the smallest keeps it, unless the surrogate is itself a value.
         owner = given.groupBy("surrogate").agg(F.min(F.concat_ws("\u0001", "kind", "value")).alias("owner"), F.count("*").alias("n"))
         real = owner.join(originals, "surrogate", "left_semi").select("surrogate", F.lit("").alias("owner"))
@@ -163,7 +166,6 @@ def surrogates(values: DataFrame, key: str, rounds: int = 60) -> DataFrame:
             return given.drop("attempt")
         again = given.join(clash, "surrogate", "left").withColumn("move", F.col("owner").isNotNull() & (F.concat_ws("\u0001", "kind", "value") != F.col("owner")))
         given = durable(made(again.select("kind", "value", (F.col("attempt") + F.col("move").cast("int")).alias("attempt"))))
-    raise RuntimeError("no distinct surrogates: the values of a type outnumber what its format can hold")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:

@@ -10,8 +10,8 @@ is bounded by ``block`` times the dimension. Scores are exact integers.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a query with fewer than k
 candidates gets all of them; vectors of another length than the query's aren't compared with it; rows that share a
-vec_id with different vectors are queries and candidates of their own, rows that repeat both are one query and never meet
-each other; scores beyond a long are clipped to its range; an empty
+vec_id, and rows that repeat it with its vector, are queries and candidates of their own: every row but the query's own is
+a candidate, and each of several equal queries gets its rows (a query that isn't in the table is taken for the first row that equals it in both); scores beyond a long are clipped to its range; an empty
 table gives no rows; other columns are ignored; rows with a null vec_id take no part.
 """
 
@@ -63,15 +63,15 @@ class Block:
         self.parts = as_integers(pd.Series(vectors, dtype=object))
 
     def scores(self, batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(query rows, candidate ids, scores, mask of pairs that count)."""
+        """(query rows, candidate ids, scores, mask of the rows that equal the query)."""
         for dim, (rows, c) in as_integers(batch["embedding"]).items():
             if dim in self.parts:
                 own, q = self.parts[dim]
                 ids = batch["vec_id"].to_numpy()[rows]
-                counts = self.ids[own][:, None] != ids[None, :]
-                for i, j in zip(*np.nonzero(~counts), strict=True):  # another row may have the query's id
-                    counts[i, j] = not np.array_equal(q[i], c[j])
-                yield own, ids, exact_scores(q, c), counts
+                same = self.ids[own][:, None] == ids[None, :]
+                for i, j in zip(*np.nonzero(same), strict=True):  # another row may have the query's id
+                    same[i, j] = np.array_equal(q[i], c[j])
+                yield own, ids, exact_scores(q, c), same
 
 
 def kth_largest(values: np.ndarray, k: int) -> int:
@@ -84,11 +84,9 @@ def histogram(block: Block, bounds: dict[int, tuple[int, int]], k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for own, _, scores, counts in block.scores(batch):
-                for row, s, ok in zip(own, scores, counts, strict=True):
-                    s, (low, width) = s[ok], bounds[int(row)]
-                    if not len(s):
-                        continue
+            for own, _, scores, _ in block.scores(batch):
+                for row, s in zip(own, scores, strict=True):
+                    low, width = bounds[int(row)]
                     s = s[s >= max(low, kth_largest(s, k))]
                     over = (s.astype(np.uint64) - np.int64(low).astype(np.uint64)) // np.uint64(width)
                     bins, n = np.unique(np.where(over >= BINS, -1, over.astype(np.int64)), return_counts=True)
@@ -104,8 +102,8 @@ def extremes(block: Block, k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own, _, scores, counts in block.scores(batch):
-                rows = [(int(r), kth_largest(s[ok], k), int(s[ok].max()), int(ok.sum())) for r, s, ok in zip(own, scores, counts, strict=True) if ok.any()]
+            for own, _, scores, _ in block.scores(batch):
+                rows = [(int(r), kth_largest(s, k), int(s.max()), len(s)) for r, s in zip(own, scores, strict=True)]
                 yield pd.DataFrame(rows, columns=["row", "low", "high", "n"])
 
     return run
@@ -117,13 +115,13 @@ def above(block: Block, least: dict[int, int], k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for own, ids, scores, counts in block.scores(batch):
-                for row, s, ok in zip(own, scores, counts, strict=True):
+            for own, ids, scores, same in block.scores(batch):
+                for row, s, equal in zip(own, scores, same, strict=True):
                     if int(row) not in least:
                         continue
-                    at = np.flatnonzero(ok & (s >= least[int(row)]))
+                    at = np.flatnonzero(s >= least[int(row)])
                     at = at[np.lexsort((ids[at], -s[at].astype(np.float64), -s[at]))[:k]] if len(at) else at
-                    out.append(pd.DataFrame({"row": int(row), "query_id": block.ids[row], "vec_id": ids[at], "score": s[at]}))
+                    out.append(pd.DataFrame({"row": int(row), "query_id": block.ids[row], "vec_id": ids[at], "score": s[at], "same": equal[at]}))
             if out:
                 yield pd.concat(out)
 
@@ -172,7 +170,7 @@ def kth_scores(usable: DataFrame, block: Block, k: int) -> dict[int, int]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """The k best candidates of ``vectors`` for every row of ``queries`` (both: vec_id, embedding)."""
     usable = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    asked = queries.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).dropDuplicates(["vec_id", "embedding"])
+    asked = queries.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).groupBy("vec_id", "embedding").agg(F.count("*").alias("times"))
     n = asked.count()
     blocks = max(1, -(-n // block))
     wanted = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
@@ -181,10 +179,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096
     for b in range(blocks):
         rows = wanted.filter(F.col("b") == b).collect() if blocks > 1 else wanted.collect()
         held = Block([r.vec_id for r in rows], [r.embedding for r in rows])
-        least = kth_scores(usable, held, k)
-        found = usable.mapInPandas(above(held, least, k), "row int, query_id long, vec_id long, score long")
-        best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        # A query meets itself: one more than k, less one of the rows that equal it.
+        least = kth_scores(usable, held, k + 1)
+        found = usable.mapInPandas(above(held, least, k + 1), "row int, query_id long, vec_id long, score long, same boolean")
+        best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", F.desc("same"))
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+        itself = F.min(F.when(F.col("same"), F.col("rank"))).over(Window.partitionBy("row"))
+        found = found.withColumn("itself", itself).filter("itself IS NULL OR rank <> itself").withColumn("rank", F.col("rank") - F.coalesce((F.col("rank") > F.col("itself")).cast("int"), F.lit(0))).filter(F.col("rank") <= k)
+        times = F.get(F.array(*[F.lit(r.times) for r in rows]), F.col("row")) if any(r.times > 1 for r in rows) else F.lit(1)
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
         found = durable(found) if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -197,11 +200,11 @@ def op8_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
              CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -6,7 +6,7 @@ sentences, so only document labels are needed. A word's features are the word it
 offending ones.
 
 Training uses a bounded sample: at most ``positives`` and ``negatives`` labelled documents, the first by a hash of the id,
-whole texts, weighted back to the labels' shares. It runs in one task over that sample. The fitted list has at most
+whole texts (of several under one id, the one with the smallest hash), weighted back to the labels' shares. It runs in one task over that sample. The fitted list has at most
 ``features`` features and is broadcast. Scoring is a narrow map over all rows.
 
 Defined results: null or empty text has no sentence and score 0; texts are scored whole; a doc_id with several labels is
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: in
     by_hash = lambda df, most: df.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
     sample = by_hash(known.filter("toxic > 0"), positives).unionByName(by_hash(known.filter("toxic <= 0"), negatives))
     # The sample's ids are bounded by the two parameters, so they may be sent to every executor.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     weights = {True: n[True] / min(n[True], positives), False: n[False] / min(n[False], negatives)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

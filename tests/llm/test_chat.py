@@ -23,6 +23,16 @@ def test_states_and_steps(spark):
     assert json.loads(got[3, "a"].json)["result"] == "first" and json.loads(got[3, "a"].json)["arguments"] == {"a": 5}
 
 
+def test_null_turns_and_large_ids(spark):
+    big = (1 << 62) + 1
+    calls = [(big, "a", None, "t", '{"a":1}', [], ""), (None, "b", 3, "t", '{"a":2}', None, ""), (big, "c", big, "t", '{"a":3}', ["a"], "")]
+    got = {r.call_id: (r.conv_id, r.turn, r.step, json.loads(r.json)["turn"]) for r in chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([(big, "a", None, "x", "")], RESULTS), SCHEMAS).collect()}
+    assert got == {"a": (big, None, 0, None), "b": (None, 3, 0, 3), "c": (big, big, 1, big)}
+    rows = [(1, None, "user", "no number"), (1, None, "assistant", "nor here"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, None, None, None)]
+    turns = chat.link_calls(*chat.as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.SCHEMAS).collect()
+    assert sorted((r.turn is None, r.status, r.step) for r in turns) == [(False, "ok", 0), (True, "no_result", 0)] or sorted((r.turn is None, r.status) for r in turns) == [(False, "ok"), (True, "bad_arguments")]
+
+
 def test_empty(spark):
     assert chat.link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
 

@@ -90,3 +90,32 @@ def test_grouped_numbers_and_accented_addresses(spark, documents):
     assert luhn(card.replace(" ", "")) == 0
     assert re.fullmatch(r"\w{4}\.\w{5}@mail\d+\.example\.com wrote", got[6].text) and re.fullmatch(r"[а-я]{4}@mail\d+\.example\.рф wrote", got[7].text)
     assert all(got[i].text != text for i, text in rows[:7])
+
+
+def test_a_shape_whose_values_run_out(spark, documents):
+    rows = [(i, f"write to _@d{i}.com today") for i in range(1300)]
+    got = {r.doc_id: r.text for r in pii.replace_entities(documents(rows, extra=False), "k").collect()}
+    assert len(set(got.values())) == 1300 and all(t.startswith("write to ") and t.endswith(".com today") and "@d" not in t for t in got.values())
+
+
+def test_whole_table(spark):
+    """Of every text of the table: what stands between entities stays, equal values get equal and different ones different surrogates."""
+    import regex
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    hint, any_ = regex.compile(pii.HINT), regex.compile(pii.ANY)
+    seen, n = {}, 0
+    for r in pii.op10_surrogates(spark, "/root/testdata/sf0.01").collect():
+        found = list(any_.finditer(docs[r.doc_id])) if hint.search(docs[r.doc_id] or "") else []
+        assert r.n_entities == len(found)
+        if not found:
+            assert r.text == docs[r.doc_id]
+            continue
+        edges = [0, *(x for m in found for x in m.span()), len(docs[r.doc_id])]
+        gaps = [docs[r.doc_id][a:b] for a, b in zip(edges[::2], edges[1::2])]
+        news = regex.fullmatch("(.*?)".join(map(regex.escape, gaps)), r.text, regex.S)
+        assert news, r.doc_id
+        for m, new in zip(found, news.groups()):
+            assert seen.setdefault(m[0], new) == new
+            n += 1
+    assert n > 100 and len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())

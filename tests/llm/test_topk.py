@@ -43,3 +43,19 @@ def test_rows_that_share_an_id(spark):
     got = topk.top_k(df, df.filter("vec_id = 0"), k=10).collect()
     unit = 1024 * 1024
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, unit // 4), (0, 1, 1, unit // 2), (0, 2, 0, 0), (0, 2, 0, 0)]
+
+
+def test_rows_that_repeat_meet_each_other(spark):
+    import duckdb
+
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 0, 100, 1, 2]), [rng.choice([0.5, 1.0]), rng.choice([-0.5, 1.0])], "", "") for _ in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r[:2] for r in rows])
+    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), k=10).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(con.execute(topk.TOPK_SQL).fetchall())
+    few = spark.createDataFrame([(0, [1.0], "", ""), (0, [1.0], "", ""), (1, [0.5], "", "")], SCHEMA)
+    got = topk.top_k(few, few.filter("vec_id = 0"), k=10).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 0), (1, 0), (2, 1), (2, 1)]
