@@ -27,8 +27,9 @@ settings given, a pair at similarity 0.8 shares a band with probability 0.9994.
 Steps write tables in the shared folder, which go when the classes are checkpointed.
 
 Defined results: null text is a class of its own row; texts without a word are one class (they are equal copies); texts
-of fewer than five words are one shingle; rows that repeat a doc_id are one document: each of its texts has the copies of
-that text in the class, and the text with the smallest digest stands for it in similarities; further columns are
+of fewer than five words are one shingle; for ``near_classes`` rows that repeat a doc_id are one document: each of its texts
+has the copies of that text in the class, and the text with the smallest digest stands for it in similarities; for
+``drop_near_copies`` rows that share an id but not a text, and rows with no id, are documents of their own; further columns are
 ignored by ``near_classes`` and kept by ``drop_near_copies``; an empty table gives no rows.
 """
 
@@ -304,6 +305,25 @@ def pairs_across(mixed: DataFrame, rare: DataFrame, threshold: float, tables: Sc
     return common.unionByName(seldom).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
+def with_own_ids(docs: DataFrame, own: str) -> DataFrame:
+    """``docs`` with a number in ``own`` that rows share only if they share id and text.
+
+    That is the id, except where different texts share one or have none: those get numbers made of a hash, beyond all ids.
+    Where ids leave no room for that, all rows get one.
+    """
+    texts = docs.filter("text IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y"))
+    several = texts.filter("doc_id IS NULL OR x <> y").select(F.col("doc_id").alias(of := free_name(docs, "of")))
+    if not several.head(1):
+        return docs.withColumn(own, F.col("doc_id"))
+    made = F.xxhash64("doc_id", "text", F.lit(17))
+    high = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("high")).first().high
+    if high >= 1 << 62:
+        return docs.withColumn(own, F.when(F.col("text").isNotNull(), made))
+    marked = docs.join(several.withColumn(mark := free_name(docs, "mark"), F.lit(True)), F.col("doc_id").eqNullSafe(F.col(of)), "left")
+    beyond = F.lit(max(high, 0) + 1) + F.pmod(made, F.lit((1 << 62) - 1))
+    return marked.withColumn(own, F.when(F.col("text").isNull(), F.col("doc_id")).when(F.col(mark), beyond).otherwise(F.col("doc_id"))).drop(of, mark)
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8, slack: float = 0.14) -> DataFrame:
     """(doc_id, class_id), one row per row of ``docs``: ids whose texts reach the threshold through a chain of links."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -332,13 +352,17 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, slack: float = 0.14) -
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id (of its repeated rows, one for each text)."""
-    of, gone, n = (free_name(docs, c) for c in ("of", "gone", "n"))
-    marks = near_classes(docs, **settings).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.coalesce("class_id", "doc_id")).alias(gone), F.count("*").alias(n))
+    """``docs`` with one document of each class: the one with the smallest id, and of its repeated rows one.
+
+    Rows that share an id but not a text, or have none, are documents of their own and come after the others.
+    """
+    own, of, gone, n = (free_name(docs, c) for c in ("own", "of", "gone", "n"))
+    columns, docs = docs.columns, with_own_ids(docs, own)
+    marks = near_classes(docs.select(F.col(own).alias("doc_id"), "text"), **settings).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.coalesce("class_id", "doc_id")).alias(gone), F.count("*").alias(n))
     marks = marks.filter(F.col(gone) | (F.col(n) > 1)).withColumnRenamed("doc_id", of)
-    kept = docs.join(marks, F.col("doc_id") == F.col(of), "left").filter(~F.coalesce(gone, F.lit(False)))
-    once = kept.filter(F.col(n).isNull()).unionByName(kept.filter(F.col(n).isNotNull()).dropDuplicates(["doc_id", "text"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(marks, F.col(own) == F.col(of), "left").filter(~F.coalesce(gone, F.lit(False)))
+    once = kept.filter(F.col(n).isNull()).unionByName(kept.filter(F.col(n).isNotNull()).dropDuplicates([own, "text"]))
+    return once.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

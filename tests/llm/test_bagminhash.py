@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from sievework.llm import bagminhash as bm
 from sievework.llm.common import scratch
 
@@ -62,10 +64,26 @@ def test_rows_stay(spark, documents):
     df = documents([(None, "x"), (1, None), (2, "a b c"), (2, "a b c"), (3, "a b c"), (None, None)])
     assert bm.near_classes(df).count() == 6
     kept = bm.drop_near_copies(df)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None", "None"] and kept.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", "None"), ("2", "a b c"), ("None", "None"), ("None", "x")] and kept.columns == df.columns
     assert bm.near_classes(df.limit(0)).count() == 0
 
 
+def test_ids_that_repeat_or_are_null(spark, documents):
+    """A copy costs no other text of its id; what stays doesn't depend on the order of rows."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnopq") + str(rng.randrange(99)) for _ in range(60)) for _ in range(4)]
+    near = [t + " and a word" for t in texts]
+    rows = [(None, texts[0]), (None, near[0]), (1, texts[1]), (2, near[1]), (2, texts[2]), (None, "clean"), (3, near[3]), (4, texts[3]), (2, texts[2]), (None, None)]
+    for some in (rows, rows[::-1]):
+        for high in ((), ((1 << 62, "far beyond"),)):
+            df = documents([*some, *high]).withColumn("own", F.lit("mine")).withColumn("of", F.lit("mine"))
+            got = sorted((str(r.doc_id), r.text) for r in bm.drop_near_copies(df).collect() if r.text and r.own == r.of == "mine")
+            assert len(got) == 5 + len(high) and {("2", texts[2]), ("None", "clean")} <= set(got)
+            for a, b in zip(texts[:2] + texts[3:], near[:2] + near[3:]):
+                assert sum(t in (a, b) for _, t in got) == 1
+            assert high or {("1", texts[1]), ("3", near[3])} <= set(got)
+
+
 def test_long_chains_meet(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (7, 7)], "x long, y long")
     with scratch(spark) as tables:
