@@ -1,10 +1,10 @@
 """The corpus pipeline: each stage reads what the one before has written.
 
 Defined results, in all stages: extra columns stay, whatever their names; an empty table gives an empty one. Null or empty
-texts and texts without a letter go in the language stage, since no language is recognised. Rows with a null id are kept as
-documents of their own: they have no near copies, and their lines come after those of all other documents. Rows that
-repeat a doc_id are one document in the line stage; of equal ones one stays in the near-copy stage. Very long texts
-are treated whole.
+texts and texts without a letter go in the language stage, since no language is recognised. Rows that share a doc_id but not a
+text, and rows with a null id, are documents of their own in all stages: what one loses, or that it goes, costs no other. Rows that
+share both are one document in the line stage, and one of them stays in the near-copy stage. The order of rows doesn't matter.
+Very long texts are treated whole.
 """
 
 from __future__ import annotations
