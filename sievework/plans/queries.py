@@ -650,15 +650,35 @@ def _(t: Tables) -> DataFrame:
     return pages.file_links(t.landing.withColumn("url", F.lit("https://x.example.org/a"))).filter(F.col("url").startswith("https://files.")).select("page_id", "url", "rank")
 
 
+#: What every page gets before its own text: a block on another article, one that isn't JSON, and one with the article two graphs deep.
+_LD = """'<script type="application/ld+json">{"@type":"Article","identifier":"10.5555/other","isAccessibleForFree":false,"abstract":"What another article is about, at some length."}</script>' ||
+    '<script type="application/ld+json">{"@type":"Article","isAccessibleForFree":false</script>' ||
+    '<script type="application/ld+json">[{"@graph":[{"@type":"WebPage","isAccessibleForFree":false},{"@graph":{"@type":["Thing","ScholarlyArticle"],"sameAs":{"list":["https:\\/\\/doi.org\\/10.5555\\/PAGE' || page_id || '"]},"isAccessibleForFree":' ||
+    CASE page_id % 3 WHEN 0 THEN '"true"' WHEN 1 THEN 'false' ELSE 'null' END || ',"abstract":"Summary: \\u201cwhat\\u201d page ' || page_id || ' says of its \\"own\\" article",' ||
+    '"encoding":[{"contentUrl":"https:\\/\\/files.example.org\\/ld' || page_id || '.pdf"},{"encodingFormat":"application/pdf","url":"https://files.example.org/get?n=' || page_id || '"},{"url":"https://files.example.org/plain"}]}}]}]</script>'"""
+
+
+@query("landing_page_structured", """SELECT page_id, page_id % 3 = 0 AS free, page_id % 3 = 1 AS paid, '“what” page ' || page_id || ' says of its "own" article' AS abstract FROM pages""")
+def _(t: Tables) -> DataFrame:
+    rows = t.given("pages").selectExpr("page_id", "url", "concat('10.5555/page', page_id) AS doi", f"{_LD} || html AS html".replace("\\", "\\\\"))
+    return pages.page_identity(rows).select("page_id", "free", "paid", "abstract")
+
+
+@query("landing_page_structured_links", """SELECT page_id, unnest(['https://files.example.org/ld' || page_id || '.pdf', 'https://files.example.org/get?n=' || page_id]) AS url, unnest([1, 2]) AS n FROM pages""")
+def _(t: Tables) -> DataFrame:
+    rows = t.given("pages").selectExpr("page_id", "'https://x.example.org/a' AS url", f"{_LD} || html AS html".replace("\\", "\\\\"))
+    return pages.file_links(rows).filter(F.col("rank") == pages.JSONLD).select("page_id", "url", "n")
+
+
 @query("declared_file_urls", """SELECT page_id, 'https://files.example.org/page' || page_id || '.pdf' AS url FROM landing WHERE page_id % 4 = 0""", "landing")
 def _(t: Tables) -> DataFrame:
     return pages.declared_files(t.landing).select("page_id", F.explode("pdf_urls").alias("url")).filter(F.col("url").startswith("https://files."))
 
 
-@query("deep_url_harvest", """SELECT page_id, 'https://a.example/' || page_id || '.pdf' AS url FROM pages""")
+@query("deep_url_harvest", """SELECT page_id, unnest(['https://a.example/' || page_id || '.pdf', 'https://b.example/é/pdf/' || page_id]) AS url FROM pages""")
 def _(t: Tables) -> DataFrame:
     n = F.col("page_id").cast("string")
-    rows = t.given("pages").select("page_id", F.concat(F.lit('{"x":{"y":["https:\\/\\/a.example\\/'), n, F.lit('.pdf","https://a.example/'), n, F.lit('.html"]}}')).alias("payload"))
+    rows = t.given("pages").select("page_id", F.concat(F.lit('{"x":{"y":["https:\\/\\/a.example\\/'), n, F.lit('.pdf","https://a.example/'), n, F.lit('.html"],"https://key.example/x.pdf":"say \\"https://no.example/x.pdf\\"","\\\\":"https:\\u002f/b.example/\\u00e9/pdf/'), n, F.lit('"}}')).alias("payload"))
     return pages.deep_urls(rows).select("page_id", F.explode("pdf_urls").alias("url"))
 
 
