@@ -133,15 +133,45 @@ def failed_work(results: DataFrame) -> DataFrame:
     return left.select("item", "code", "category", hint.alias("hint"))
 
 
-def cooldowns(events: DataFrame, after: int = 4) -> DataFrame:
-    """(host, seq, streak, seconds): where consecutive failures reach a cooldown of 30, 120, then 600 seconds.
+#: Failures that bring a cooldown, its seconds for that one and the next, and the most that a host may ask for.
+COOLDOWN_AFTER, COOLDOWN_SECONDS, MOST_RETRY_AFTER = 4, (30, 120, 600), 60
 
-    ``events``: host, seq, success. A success clears the streak; every ``after`` further failures escalate.
+
+def cooldown_seconds(streak: Column, retry_after: Column) -> Column:
+    """Seconds after a failure: what the host asks for, at most a minute, else what the streak of failures asks for; null if nothing does."""
+    by_streak = F.get(F.array(*map(F.lit, COOLDOWN_SECONDS)), F.least(streak - COOLDOWN_AFTER, F.lit(len(COOLDOWN_SECONDS) - 1)).cast("int"))
+    asked = F.least(retry_after.cast("int"), F.lit(MOST_RETRY_AFTER))
+    return F.when(retry_after > 0, asked).when(streak >= COOLDOWN_AFTER, by_streak)
+
+
+def failure_streaks(events: DataFrame, stretch: int = 10_000) -> DataFrame:
+    """The failures of ``events`` (host, seq, success, ...) with their ``streak``: failures of the host since its last success.
+
+    A scan in stretches of ``seq``: each tells whether it has a success and how many failures follow its last one; these add
+    up to what each stretch begins with, and a stretch then numbers its own failures. Only one row a stretch is sorted by the
+    whole host, so a host may have most of the rows.
+    """
+    cut = events.withColumn("__at", F.floor(F.col("seq") / stretch))
+    last = F.max(F.when(F.col("success"), F.col("seq"))).over(Window.partitionBy("host", "__at"))
+    ends = cut.withColumn("__last", last).groupBy("host", "__at").agg(F.bool_or("success").alias("__clears"), F.count_if(F.coalesce(F.col("seq") > F.col("__last"), F.lit(True))).alias("__left"))
+    in_order = Window.partitionBy("host").orderBy("__at")
+    since = F.sum(F.col("__clears").cast("int")).over(in_order)
+    left = F.sum("__left").over(Window.partitionBy("host", "__since").orderBy("__at"))
+    begins = ends.withColumn("__since", since).withColumn("__sum", left).select("host", "__at", F.coalesce(F.lag("__sum").over(in_order), F.lit(0)).alias("__begins"))
+    own = Window.partitionBy("host", "__at").orderBy("seq")
+    rows = cut.withColumn("__island", F.count_if("success").over(own)).filter(~F.col("success"))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("host", "__at", "__island").orderBy("seq")))
+    both = rows.join(begins.withColumnsRenamed({"host": "__host", "__at": "__stretch"}), F.col("host").eqNullSafe(F.col("__host")) & (F.col("__at") == F.col("__stretch")))
+    streak = F.col("__n") + F.when(F.col("__island") == 0, F.col("__begins")).otherwise(0)
+    return both.select(*[F.col(f"`{c}`") for c in events.columns], streak.alias("streak"))
+
+
+def cooldowns(events: DataFrame, stretch: int = 10_000) -> DataFrame:
+    """(host, seq, streak, seconds): the failures that bring their host a cooldown.
+
+    ``events``: host, seq, success and, if known, retry_after (seconds). A success clears the streak.
     """
-    order = Window.partitionBy("host").orderBy("seq")
-    island = F.sum(F.col("success").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = events.withColumn("island", island).filter("NOT success")
-    streak = F.row_number().over(Window.partitionBy("host", "island").orderBy("seq"))
-    rows = rows.withColumn("streak", streak).filter(F.col("streak") % after == 0)
-    level = F.col("streak") / after
-    return rows.select("host", "seq", "streak", F.when(level == 1, 30).when(level == 2, 120).otherwise(600).alias("seconds"))
+    if "retry_after" not in events.columns:
+        events = events.withColumn("retry_after", F.lit(None).cast("double"))
+    found = failure_streaks(events.select("host", "seq", "success", "retry_after"), stretch)
+    return found.select("host", "seq", "streak", cooldown_seconds(F.col("streak"), F.col("retry_after")).alias("seconds")).filter("seconds IS NOT NULL")

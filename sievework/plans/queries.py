@@ -452,12 +452,13 @@ def _(t: Tables) -> DataFrame:
 
 
 _COOL = """i AS (SELECT *, regexp_extract(url, '://([^/]+)', 1) AS host, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY seq) AS island FROM attempts),
-    k AS (SELECT host, seq, row_number() OVER (PARTITION BY host, island ORDER BY seq) AS streak FROM i WHERE NOT success)"""
+    k AS (SELECT host, seq, ts, CASE WHEN seq % 7 = 3 THEN seq % 200 ELSE 0 END AS asked, row_number() OVER (PARTITION BY host, island ORDER BY seq) AS streak FROM i WHERE NOT success)"""
+_COOLED = "SELECT host, seq, streak, CAST(CASE WHEN asked > 0 THEN least(asked, 60) WHEN streak = 4 THEN 30 WHEN streak = 5 THEN 120 ELSE 600 END AS INTEGER) AS seconds FROM k WHERE asked > 0 OR streak >= 4"
 
 
-@query("host_cooldown_islands", f"SELECT * FROM (WITH {_COOL} SELECT host, seq, CAST(streak AS INTEGER) AS streak, CASE streak WHEN 4 THEN 30 WHEN 8 THEN 120 ELSE 600 END AS seconds FROM k WHERE streak % 4 = 0)", "attempts")
+@query("host_cooldown_islands", f"SELECT * FROM (WITH {_COOL} {_COOLED})", "attempts")
 def _(t: Tables) -> DataFrame:
-    return retrieval.cooldowns(t.attempts.select(host(F.col("url")).alias("host"), "seq", "success"))
+    return retrieval.cooldowns(t.attempts.select(host(F.col("url")).alias("host"), "seq", "success", F.when(F.col("seq") % 7 == 3, F.col("seq") % 200).alias("retry_after")), stretch=500)
 
 
 @query("retrieval_summaries", """SELECT doi, success AS ok, CASE WHEN success THEN source END AS source, CASE WHEN NOT success THEN code END AS code FROM attempts WHERE pass = 1""", "attempts")
@@ -1096,7 +1097,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("stream_superseded", f"SELECT * FROM (WITH {_BEST} SELECT item, success, pass FROM b)", "attempts")
 def _(t: Tables) -> DataFrame:
-    return jobs.run_available(jobs.superseded(_event_rows(t)), "complete").select("item", "success", "pass")
+    return jobs.run_available(jobs.superseded(_event_rows(t)), "update", ["item"]).select("item", "success", "pass")
 
 
 @query("stream_failure_rate", """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, 'h' || (event_id % 5) AS host, count(*) AS attempts, count(*) FILTER (event_id % 9 IN (1, 2, 6, 8)) AS failures
@@ -1120,9 +1121,10 @@ def _(t: Tables) -> DataFrame:
     return jobs.run_available(jobs.live_worklist(rows, t.screening, CURRENT), "append").select("doi", "situation")
 
 
-@query("stream_cooldowns", f"SELECT * FROM (WITH {_COOL} SELECT replace(host, '.example.org', '') AS host, seq, streak, CASE streak WHEN 4 THEN 30 WHEN 8 THEN 120 ELSE 600 END AS seconds FROM k WHERE streak % 4 = 0)", "attempts")
+@query("stream_cooldowns", f"SELECT replace(host, '.example.org', '') AS host, seq, streak, seconds FROM (WITH {_COOL} {_COOLED} AND ts <= (SELECT max(ts) FROM attempts) - INTERVAL 1 HOUR)".replace("asked > 0 OR streak >= 4", "(asked > 0 OR streak >= 4)"), "attempts")
 def _(t: Tables) -> DataFrame:
-    return jobs.run_available(jobs.cooldown_stream(_event_rows(t)), "append")
+    rows = _event_rows(t).withColumn("retry_after", F.when(F.col("seq") % 7 == 3, F.col("seq") % 200))
+    return jobs.run_available(jobs.cooldown_stream(rows), "append", conf=jobs.TIMERS)
 
 
 @query("expired_leases_batch", "SELECT user_id AS item, count(*) AS n FROM events WHERE event_id % 4 = 1 AND ts < TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 180 SECOND GROUP BY 1")

@@ -6,13 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sievework.functions.ids import join_by_id
+from sievework.operators.retrieval import COOLDOWN_AFTER, COOLDOWN_SECONDS, MOST_RETRY_AFTER
+
+#: The column that tells a row's micro-batch.
+BATCH = "__batch"
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -28,29 +32,46 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def run_available(stream: DataFrame, mode: str = "append", upsert: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", keys: list[str] = (), upsert: Callable[[DataFrame, int], DataFrame] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Run a stream over all that is available and return what it wrote.
 
-    Append mode adds to a table; complete mode keeps the last state, whose predecessor goes once it is written.
+    Each micro-batch writes a folder of its own number, so one that is replayed after a crash is there once. Append mode
+    returns all rows; update mode the last row for each of ``keys``, of which a micro-batch writes only those that changed;
+    complete mode keeps the last state, whose predecessor goes once it is written.
     """
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
 
     def write(batch: DataFrame, n: int) -> None:
         rows = batch if upsert is None else upsert(batch, n)
-        if mode != "complete":
-            rows.write.mode("append").parquet(f"{folder}/out")
-            return
-        rows.write.mode("overwrite").parquet(f"{folder}/out/state={n}")
-        _remove(spark, f"{folder}/out/state={n - 1}")
+        rows.write.mode("overwrite").parquet(numbered_folder(f"{folder}/out", n))
+        if mode == "complete":
+            _remove(spark, numbered_folder(f"{folder}/out", n - 1))
 
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(write).start().awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
-    if mode != "complete":
-        return out
-    whole = spark.read.parquet(f"{folder}/out")
-    last = whole.agg(F.max("state").alias("state"))
-    return whole.join(F.broadcast(last), "state").select(*stream.columns)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return read_batches(spark, f"{folder}/out", stream, mode, keys)
+
+
+def numbered_folder(folder: str, n: int) -> str:
+    """Where micro-batch ``n`` writes."""
+    return f"{folder}/{BATCH}={n}"
+
+
+def read_batches(spark: SparkSession, folder: str, rows: DataFrame, mode: str = "append", keys: list[str] = ()) -> DataFrame:
+    """What micro-batches have written below ``folder``, as ``run_available`` describes it. ``rows`` has its columns."""
+    whole = spark.read.schema(StructType([*rows.schema.fields, StructField(BATCH, LongType())])).parquet(folder)
+    if mode == "complete":
+        last = whole.agg(F.max(BATCH).alias(BATCH))
+        whole = whole.join(F.broadcast(last), BATCH)
+    elif mode == "update":
+        kept = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), BATCH)
+        whole = whole.groupBy(*keys).agg(kept.alias("r")).select(*keys, "r.*")
+    return whole.select(*rows.columns)
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 1) -> DataFrame:
@@ -67,7 +88,7 @@ def run_progress(events: DataFrame) -> DataFrame:
 
 
 def superseded(events: DataFrame) -> DataFrame:
-    """Per item the outcome that counts: a success replaces a failure, else the first pass stands (complete mode)."""
+    """Per item the outcome that counts: a success replaces a failure, else the first pass stands (update mode by item)."""
     best = F.max_by(F.struct("success", "source", "pass"), F.struct(F.col("success").cast("int"), -F.col("pass"), -F.col("seq")))
     return events.groupBy("item").agg(best.alias("r")).select("item", "r.*")
 
@@ -91,56 +112,118 @@ def live_worklist(records: DataFrame, ledger: DataFrame, current: int) -> DataFr
     return rows.withColumn("situation", in_force(F.col("decision"), F.col("version"), current)).drop("decision", "version")
 
 
-def _streaks(after: int, steps: tuple[int, ...]):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (carried,) = state.get if state.exists else (0,)
-        # A host's rows of one micro-batch come in several Arrow batches: order is made over all of them, in two arrays.
-        parts = [(rows["seq"].to_numpy(), rows["success"].to_numpy(dtype=bool)) for rows in batches]
-        seq, success = (np.concatenate(column) for column in zip(*parts, strict=True))
-        order = np.argsort(seq, kind="stable")
-        seq, success = seq[order], success[order]
-        # A streak counts from the last success, or goes on from the state where there is none yet.
-        at = np.arange(len(seq))
-        cleared = np.maximum.accumulate(np.where(success, at, -1))
-        streak = np.where(cleared < 0, at + 1 + carried, at - cleared)
-        state.update((int(streak[-1]),))
-        hit = ~success & (streak % after == 0)
-        level = np.minimum(streak[hit] // after, len(steps)) - 1
-        yield pd.DataFrame({"host": key[0], "seq": seq[hit], "streak": streak[hit], "seconds": np.array(steps)[level]})
+#: Settings that a stream with timers needs.
+TIMERS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _milliseconds(at: Column) -> Column:
+    return F.unix_millis(at)
+
+
+class _Waiting(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then takes them in order; so the state is bounded by the delay."""
+
+    row = ""  # columns of a waiting row; the first one, ``ms``, is its event time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))[[c.split()[0] for c in self.row.split(", ")]]
+        self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in new.astype(object).itertuples(index=False)])
+        self.handle.registerTimer(int(new["ms"].min()))
+        yield self.out([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.waiting.get()]
+        passed, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[0] for r in later))
+        yield self.out(self.take(key[0], passed))
 
-    return run
+    def out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(self.columns.items())})
 
+    def close(self) -> None:
+        pass
 
-def cooldown_stream(events: DataFrame, after: int = 4, steps: tuple[int, ...] = (30, 120, 600)) -> DataFrame:
-    """Cooldowns as consecutive failures of a host reach them; the state is one number a host (append mode).
 
-    Rows of a micro-batch may come in any order; micro-batches follow each other by ``seq``, as log files do.
+class _Streaks(_Waiting):
+    row = "ms long, seq long, success boolean, retry_after double"
+    columns = {"host": "str", "seq": "int64", "streak": "int64", "seconds": "int32"}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.streak = handle.getValueState("streak", "n long")
+
+    def take(self, host: str, rows: list[tuple]) -> list[tuple]:
+        n, found = self.streak.get()[0] if self.streak.exists() else 0, []
+        for _, seq, success, retry_after in sorted(rows, key=lambda r: r[1]):
+            n = 0 if success else n + 1
+            if not success and retry_after is not None and retry_after > 0:
+                found.append((host, seq, n, int(min(retry_after, MOST_RETRY_AFTER))))
+            elif n >= COOLDOWN_AFTER:
+                found.append((host, seq, n, COOLDOWN_SECONDS[min(n - COOLDOWN_AFTER, len(COOLDOWN_SECONDS) - 1)]))
+        if rows:
+            self.streak.update((n,))
+        return found
+
+
+def cooldown_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Cooldowns as ``retrieval.cooldowns`` finds them, once the watermark has passed (append mode; run with ``TIMERS``).
+
+    ``events``: host, seq, success, at and, if known, retry_after; ``seq`` rises with ``at``. Rows may come in any order, within
+    a micro-batch and across them, as far as ``delay`` goes; later ones are left out.
     """
-    return events.select("host", "seq", "success").groupBy("host").applyInPandasWithState(_streaks(after, steps), "host string, seq long, streak long, seconds int", "streak long", "append", GroupStateTimeout.NoTimeout)
+    asked = F.col("retry_after").cast("double") if "retry_after" in events.columns else F.lit(None).cast("double")
+    rows = events.withWatermark("at", delay).select("at", "host", "seq", "success", asked.alias("retry_after"), _milliseconds(F.col("at")).alias("ms"))
+    return rows.groupBy("host").transformWithStateInPandas(_Streaks(), "host string, seq long, streak long, seconds int", "append", "eventTime")
+
 
+class _Leases(StatefulProcessor):
+    """An item's newest row by event time, and a timer for the end of its lease."""
 
-def _leases(seconds: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (since,) = state.get
-            state.remove()
-            yield pd.DataFrame({"doi": [key[0]], "since": [pd.Timestamp(since, unit="us")]})
-            return
-        rows = pd.concat(list(batches)).sort_values("at")
-        last = rows.iloc[-1]
-        if last["status"] == "running":
-            state.update((int(last["at"].value // 1000),))
-            state.setTimeoutTimestamp(int(last["at"].value // 1_000_000) + seconds * 1000)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"doi": pd.Series(dtype=str), "since": pd.Series(dtype="datetime64[us]")})
+    def __init__(self, seconds: int):
+        self.seconds = seconds
 
-    return run
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "ms long, running boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = max((int(ms), bool(running)) for part in rows for ms, running in zip(part["ms"], part["running"], strict=True))
+        old = tuple(self.newest.get()) if self.newest.exists() else None
+        if old is None or new > old:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.newest.update(new)
+            # What isn't running is remembered as long as an older row may still come.
+            self.handle.registerTimer(new[0] + self.seconds * 1000 if new[1] else new[0] + 1)
+        yield self.out([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        ms, running = self.newest.get()
+        self.newest.clear()
+        yield self.out([(key[0], pd.Timestamp(ms, unit="ms"))] if running else [])
+
+    def out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"doi": pd.Series([r[0] for r in rows], dtype=str), "since": pd.Series([r[1] for r in rows], dtype="datetime64[us]")})
+
+    def close(self) -> None:
+        pass
 
 
 def expired_leases(items: DataFrame, seconds: int = 180, delay: str = "1 minute") -> DataFrame:
-    """Items left ``running`` for longer than the lease by event time (append mode)."""
-    return items.withWatermark("at", delay).groupBy("doi").applyInPandasWithState(_leases(seconds), "doi string, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    """Items left ``running`` for longer than the lease by event time (append mode; run with ``TIMERS``).
+
+    The newest row of an item counts, in whatever micro-batch it comes within ``delay``.
+    """
+    rows = items.withWatermark("at", delay).select("at", "doi", _milliseconds(F.col("at")).alias("ms"), (F.col("status") == "running").alias("running"))
+    return rows.groupBy("doi").transformWithStateInPandas(_Leases(seconds), "doi string, since timestamp", "append", "eventTime")
 
 
 def claimable(items: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
@@ -149,11 +232,11 @@ def claimable(items: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
 
 
 def change_feed(before: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer that appends the batch to the trail and its changes against ``before`` beside it."""
+    """A ``foreachBatch`` writer that adds the batch to the trail and its changes against ``before`` beside it, each in the batch's folder: a replay writes them anew."""
     from sievework.operators.audit import snapshot_changes
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("append").parquet(f"{folder}/trail")
-        snapshot_changes(before.join(batch.select("id"), "id", "left_semi"), batch).withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/changes")
+        batch.write.mode("overwrite").parquet(f"{folder}/trail/batch={n}")
+        snapshot_changes(before.join(batch.select("id"), "id", "left_semi"), batch).write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")
 
     return write

@@ -1,5 +1,7 @@
 """Single rules on a few rows each."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,7 +282,18 @@ def test_expired_leases(spark, tmp_path):
     for n, rows in enumerate((['{"doi":"a","status":"running","at":"2024-01-01T00:00:00Z"}', '{"doi":"b","status":"running","at":"2024-01-01T00:00:00Z"}', '{"doi":"b","status":"done","at":"2024-01-01T00:01:00Z"}'], ['{"doi":"c","status":"done","at":"2024-01-01T02:00:00Z"}'], ['{"doi":"c","status":"done","at":"2024-01-01T03:00:00Z"}'])):
         (tmp_path / f"{n}.json").write_text("\n".join(rows))
     stream = spark.readStream.schema("doi string, status string, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
-    assert [r.doi for r in jobs.run_available(jobs.expired_leases(stream)).collect()] == ["a"]
+    assert [r.doi for r in jobs.run_available(jobs.expired_leases(stream), conf=jobs.TIMERS).collect()] == ["a"]
+
+
+def test_leases_out_of_order(spark, tmp_path):
+    """An older row that comes in a later micro-batch neither takes nor gives a lease."""
+    at = "2024-01-01T00:{}Z".format
+    files = [[("a", "running", at("00:30")), ("b", "done", at("00:50")), ("c", "running", at("00:10"))], [("a", "done", at("00:00")), ("b", "running", at("00:40")), ("c", "done", at("00:20"))], [("z", "done", at("30:00"))], [("z", "done", at("59:00"))]]
+    for n, rows in enumerate(files):
+        (tmp_path / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("doi", "status", "at"), r))) for r in rows))
+    stream = spark.readStream.schema("doi string, status string, at timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "*.json"))
+    got = jobs.run_available(jobs.expired_leases(stream, delay="2 minutes"), conf=jobs.TIMERS).collect()
+    assert [(r.doi, r.since.minute, r.since.second) for r in got] == [("a", 0, 30)]
 
 
 def test_title_ascii_folds_marks_and_ligatures(spark):
@@ -353,13 +366,62 @@ def test_access_reasons(spark):
     assert (row.a, row.b, row.c) == (["Semantic Scholar: quota"], ["site: bloqueio de acesso automático"], ["Crossref: 500"] * 2)
 
 
-def test_cooldowns_in_any_order_within_a_micro_batch(spark, tmp_path):
-    n = 25_000
-    rows = spark.range(n).select(F.lit("h").alias("host"), F.col("id").alias("seq"), (F.col("id") % 10 == 9).alias("success")).orderBy(F.rand(7)).coalesce(1)
-    rows.write.parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log"))
-    got = {tuple(r) for r in jobs.run_available(jobs.cooldown_stream(stream)).collect()}
-    assert got == {tuple(r) for r in retrieval.cooldowns(rows).select("host", "seq", "streak", "seconds").collect()} and len(got) == n // 10 * 2
+def by_hand(rows):
+    """Cooldowns by one loop over all rows (host, seq, success, retry_after)."""
+    streak, out = {}, set()
+    for host, seq, success, asked in sorted(rows, key=lambda r: r[1]):
+        streak[host] = 0 if success else streak.get(host, 0) + 1
+        if not success and (asked or streak[host] >= 4):
+            out.add((host, seq, streak[host], min(60, int(asked)) if asked else (30, 120, 600)[min(streak[host] - 4, 2)]))
+    return out
+
+
+def test_cooldowns_over_stretches(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b"]), i, rng.random() < (0.3 if i < 300 else 0.02), rng.choice([None, None, None, None, 0.0, 7.0, 900.0])) for i in range(900)] + [("c", i, False, None) for i in range(900, 940)]
+    df = spark.createDataFrame(rows, "host string, seq long, success boolean, retry_after double")
+    for stretch in (1, 10, 64, 5000):
+        assert {tuple(r) for r in retrieval.cooldowns(df, stretch).collect()} == by_hand(rows)
+
+
+def test_cooldowns_in_any_order_across_micro_batches(spark, tmp_path):
+    """Rows up to the delay out of order give what the batch form gives, as far as the watermark came; later rows stay in the state only that long."""
+    import random
+
+    rng, start = random.Random(3), 1_700_000_000
+    rows = [(rng.choice("ab"), i, rng.random() < 0.1, rng.choice([None, None, None, 5.0])) for i in range(400)]
+    mixed = sorted(rows, key=lambda r: r[1] + rng.random() * 100)  # a second apart each, up to 100 seconds out of order
+    for n in range(8):
+        lines = [json.dumps({"host": h, "seq": i, "success": s, "retry_after": a, "at": start + i}) for h, i, s, a in mixed[n * 50 : n * 50 + 50]]
+        (tmp_path / f"{n}.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema("host string, seq long, success boolean, retry_after double, at long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
+    got = {tuple(r) for r in jobs.run_available(jobs.cooldown_stream(stream.withColumn("at", F.timestamp_seconds("at")), "120 seconds"), conf=jobs.TIMERS).collect()}
+    assert got == {r for r in by_hand(rows) if r[1] <= 399 - 120} and len(got) > 20
+
+
+def test_a_replayed_batch_is_there_once(spark, tmp_path):
+    """What a crash between write and commit leaves: the same batch comes again under its number."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, state string")
+    for n in (0, 1, 1):
+        rows.write.mode("overwrite").parquet(jobs.numbered_folder(str(tmp_path / "out"), n))
+    assert jobs.read_batches(spark, str(tmp_path / "out"), rows).count() == 4
+    assert sorted(map(tuple, jobs.read_batches(spark, str(tmp_path / "out"), rows, "update", ["id"]).collect())) == [(1, "a"), (2, "b")]
+    write = jobs.change_feed(spark.createDataFrame([(1, "x")], "id int, state string"), str(tmp_path / "feed"))
+    for n in (0, 0, 1, 0):
+        write(rows, n)
+    assert spark.read.parquet(str(tmp_path / "feed" / "trail")).count() == 4 and spark.read.parquet(str(tmp_path / "feed" / "changes")).groupBy("batch").count().collect()[0][1] == 2
+
+
+def test_update_mode_writes_changes_only(spark, tmp_path):
+    schema = "item int, seq int, success boolean, pass int, source string"
+    for n, rows in enumerate([[(i, i, False, 1, "s") for i in range(10)], [(3, 11, True, 2, "t")], [(4, 12, False, 2, "t")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = jobs.run_available(jobs.superseded(stream), "update", ["item"])
+    assert sorted((r.item, r.success, r.source) for r in got.collect()) == [(i, i == 3, "t" if i == 3 else "s") for i in range(10)]
+    assert sum(spark.read.parquet(f).count() for f in got.inputFiles()) <= 12
 
 
 def test_complete_mode_keeps_only_the_last_state(spark, tmp_path):
@@ -369,7 +431,7 @@ def test_complete_mode_keeps_only_the_last_state(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     got = jobs.run_available(jobs.superseded(stream), "complete")
     assert sorted((r.item, r.success) for r in got.collect()) == [(0, True), (1, False)]
-    assert len({f.rsplit("state=", 1)[1].split("/")[0] for f in got.inputFiles()}) == 1
+    assert len({f.rsplit(f"{jobs.BATCH}=", 1)[1].split("/")[0] for f in got.inputFiles()}) == 1
 
 
 def test_identifiers_meet_in_any_case(spark):
