@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def _pairs() -> tuple[str, str]:
     """Accented letters and what is left of them, from Unicode's own decompositions."""
     letters = [chr(c) for c in range(0xC0, 0x250)]
@@ -17,15 +20,56 @@ def _pairs() -> tuple[str, str]:
 ACCENTED, PLAIN = _pairs()
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What NFKC and full case folding make of small letters and other signs: one character of one, and the rest.
+
+    The rest are characters that become several ("ß", ligatures, fractions), and letters with marks of their own, which
+    become one. Hangul syllables put together of their parts aren't among them.
+    """
+    folded = lambda c: unicodedata.normalize("NFKC", c).casefold()
+    ranges = itertools.chain(range(0x80, 0xD800), range(0xE000, 0x10000), range(0x1D400, 0x1D800), range(0x1F100, 0x1F200), range(0x2F800, 0x2FA20))
+    every = {c: folded(c) for c in map(chr, ranges) if unicodedata.category(c) != "Cn"}
+    one = {c: f for c, f in every.items() if f != c and c.lower() == c and len(f) == 1}
+    rest = {c: f for c, f in every.items() if len(f) > 1 and len(c.lower()) == 1}
+    for c in every:
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and unicodedata.category(apart[1]) == "Mn" and unicodedata.normalize("NFC", apart) == c:
+            rest[apart.lower()] = every[c]
+    return "".join(one), "".join(one.values()), rest
+
+
+FOLDED_FROM, FOLDED_TO, FOLDS = _folds()
+
+
+def _ranges(chars: list[str]) -> str:
+    """The characters as ranges of a pattern's class."""
+    runs = itertools.groupby(enumerate(sorted(map(ord, chars))), lambda x: x[1] - x[0])
+    ends = [(run[0][1], run[-1][1]) for run in (list(r) for _, r in runs)]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ends)
+
+
+#: Characters that ``FOLDS`` may concern: those that become several, and marks.
+FOLD_HINT = "[" + _ranges([c for c in FOLDS if len(c) == 1]) + r"\p{M}]"
+
+
+def case_folded(text: Column) -> Column:
+    """NFKC and full case folding, by tables made of Unicode's own; ASCII texts pass none, those without a rare sign only that of single characters."""
+    lower = F.translate(F.lower(text), FOLDED_FROM, FOLDED_TO)
+    known = F.from_json(F.lit(json.dumps(FOLDS)), "map<string,string>")
+    parts = F.regexp_extract_all(lower, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    several = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(known, p), F.concat(F.coalesce(F.try_element_at(known, F.left(p, F.lit(1))), F.left(p, F.lit(1))), F.substr(p, F.lit(2))))), "")
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).when(lower.rlike(FOLD_HINT), several).otherwise(lower)
+
+
 def unaccented(text: Column) -> Column:
     """Latin letters without their marks."""
     return F.translate(text, ACCENTED, PLAIN)
 
 
 def title_words(title: Column) -> Column:
-    """A title in lower case, with & spelled out and other signs as single spaces."""
-    spelled = F.regexp_replace(F.lower(title), "&", " and ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spelled, r"[^\p{L}\p{M}\p{N}_\s]", " "), r"\s+", " "))
+    """A title folded by compatibility and case, with & spelled out and other signs as single spaces."""
+    spelled = F.replace(case_folded(title), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(F.regexp_replace(spelled, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def title_ascii(title: Column) -> Column:

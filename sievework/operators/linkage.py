@@ -76,8 +76,11 @@ def match_cut_titles(asked: DataFrame, hits: DataFrame, least: int = 20, thresho
     cut = hits.filter(F.trim("hit_title").rlike(r"(…|\.\.\.)$")).select("hit", title_words(F.regexp_replace("hit_title", r"(…|\.\.\.)\s*$", "")).alias("start")).filter(F.length("start") >= least)
     whole = hits.join(cut.select("hit"), "hit", "left_anti")
     a = asked.select("request", title_words(F.col("title")).alias("t"))
-    # A shared beginning of ``least`` characters is the join key; the rest is checked on the pairs.
-    by_start = a.withColumn("k", F.substring("t", 1, least)).join(cut.withColumn("k", F.substring("start", 1, least)), "k").filter(F.startswith("t", "start")).select("request", "hit", F.lit("beginning").alias("how"))
+    # Beginnings of just the lengths that cut titles have are the join keys, so every candidate is a match.
+    lengths = cut.select(F.length("start").alias("n")).distinct()
+    begun = a.filter(F.length("t") >= least).select("request", "t", F.explode(F.sequence(F.lit(least), F.length("t"))).alias("n")).join(lengths, "n").select("request", F.left("t", F.col("n")).alias("start"))
+    hashed = lambda df: df.withColumn("k", F.xxhash64("start"))
+    by_start = hashed(begun).join(hashed(cut), ["k", "start"]).select("request", "hit", F.lit("beginning").alias("how"))
     return by_start.unionByName(match_titles(asked, whole, threshold, 1_000_000).select("request", "hit", F.lit("score").alias("how")))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework.functions.ids import fingerprint, join_by_id, same_id
 from sievework.operators.ledger import batches
@@ -62,11 +63,37 @@ def worklist_filter(rows: DataFrame, which: str = "pendente", search: str = "")
     return rows
 
 
+def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """One page of the ordered rows, with their place ``n``; a number beyond the end gives the last page.
+
+    Nothing runs until the caller asks: only the first ``page * size`` rows of the order are kept and numbered, beside one row
+    with the total.
+    """
+    first, last = rows.orderBy(*order).limit(max(1, page) * size), Window.orderBy(*order)
+    total = rows.agg(F.count("*").alias("__total"))
+    numbered = first.withColumn("n", F.row_number().over(last)).join(F.broadcast(total))
+    at = F.least(F.lit(max(1, page)), F.greatest(F.lit(1), F.ceil(F.col("__total") / size)))
+    return numbered.filter(F.ceil(F.col("n") / size) == at).drop("__total")
+
+
 def worklist_page(rows: DataFrame, order: str, page: int = 1, size: int = PAGE) -> DataFrame:
-    """One page; a number beyond the end gives the last page. The total is counted first, then only the page is kept."""
-    pages = max(1, -(-rows.count() // size))
-    at = min(max(1, page), pages)
-    return rows.orderBy(order).offset((at - 1) * size).limit(size)
+    """One page of the worklist; a number beyond the end gives the last page."""
+    return page_of(rows, [F.col(order)], page, size).drop("n")
+
+
+def assessment_filter(rows: DataFrame, decision: str = "all", search: str = "", agreement: str = "all") -> DataFrame:
+    """Articles (title, authors, doi, filename, decision, agreement) of one decision and one state of the models' agreement that hold a text."""
+    if decision != "all":
+        rows = rows.filter(F.col("decision") == decision)
+    if agreement != "all":
+        rows = rows.filter(F.col("agreement") == agreement)
+    return rows.filter(F.contains(F.lower(F.concat_ws(" ", "title", "authors", "doi", "filename")), F.lit(search.lower()))) if search else rows
+
+
+def assessment_page(rows: DataFrame, sort: str = "number", number: str = "number", page: int = 1, size: int = 10) -> DataFrame:
+    """One page of the articles by ``number``, or by title or author as Portuguese sorts them, with their place ``n``."""
+    by = [] if sort == "number" else [F.collate(F.coalesce({"title": "title", "author": "authors"}[sort], F.lit("")), "pt")]
+    return page_of(rows, [*by, F.col(number)], page, size)
 
 
 def answer_action(answer: Column, rule: Column) -> Column:

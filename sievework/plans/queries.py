@@ -80,6 +80,22 @@ def _(t: Tables) -> DataFrame:
     return screening.worklist_page(screening.worklist_filter(rows, "pendente"), "doi", page=2).select("doi", "title")
 
 
+@query("assessment_workspace", """SELECT item, title, decision, agreement, n FROM (SELECT *, row_number() OVER (ORDER BY title COLLATE pt, item) AS n FROM (
+    SELECT user_id AS item, (CASE user_id % 5 WHEN 0 THEN 'Água ' WHEN 1 THEN 'água ' WHEN 2 THEN 'Zebra ' WHEN 3 THEN 'árvore ' ELSE 'École ' END) || user_id AS title,
+        CASE WHEN count(*) FILTER (value >= 35) * 2 > count(*) THEN 'incluir' ELSE 'pending' END AS decision, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT value >= 35) = 1 THEN 'agreement' ELSE 'conflict' END AS agreement
+    FROM events GROUP BY user_id) WHERE decision = 'pending' AND agreement = 'conflict' AND (contains(lower(title), 'a 1') OR contains(lower(title), 'e 1')))
+    QUALIFY ceil(n / 10) = least(2, greatest(1, ceil(count(*) OVER () / 10)))""")
+def _(t: Tables) -> DataFrame:
+    n = F.col("user_id")
+    words = F.when(n % 5 == 0, "Água ").when(n % 5 == 1, "água ").when(n % 5 == 2, "Zebra ").when(n % 5 == 3, "árvore ").otherwise("École ")
+    yes = F.col("value") >= 35
+    status = F.when(F.count("*") == 1, "single").when(F.count_distinct(yes) == 1, "agreement").otherwise("conflict")
+    items = t.given("events").groupBy("user_id").agg(F.when(F.count_if(yes) * 2 > F.count("*"), "incluir").otherwise("pending").alias("decision"), status.alias("agreement"))
+    items = items.select(n.alias("item"), F.concat(words, n.cast("string")).alias("title"), F.lit("").alias("authors"), F.lit("").alias("doi"), F.lit("").alias("filename"), "decision", "agreement")
+    both = screening.assessment_filter(items, "pending", "A 1", "conflict").unionByName(screening.assessment_filter(items, "pending", "e 1", "conflict"))
+    return screening.assessment_page(both, "title", "item", 2).select("item", "title", "decision", "agreement", F.col("n").cast("long").alias("n"))
+
+
 @query("screening_worklist_search", f"""SELECT * FROM (WITH {_WORK} SELECT doi, situation FROM w WHERE situation = 'incluir' AND st = 'nao_obtido' AND contains(lower(concat_ws(' ', title, authors, doi, journal, abstract)), 'src1'))""", *_WV)
 def _(t: Tables) -> DataFrame:
     rows = screening.worklist(t.search_items, t.screening, t.articles, CURRENT)
@@ -523,7 +539,7 @@ def _titles(t: Tables) -> tuple[DataFrame, DataFrame]:
     return asked, rows.select(F.col("page_id").alias("hit"), F.concat(F.col("title"), F.when(F.col("page_id") % 2 == 0, " - x!").otherwise("")).alias("hit_title"))
 
 
-_WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+_WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
 
 
 @query("title_linkage_tokens", f"""SELECT request, hit, score, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, hit) AS n FROM (SELECT request, hit,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.ids import ID_SHAPE, canonical_id, ids_in
+from sievework.operators.ledger import numbered
 
 
 def id_lines(lines: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
@@ -25,8 +26,23 @@ def id_lines(lines: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
     return rows.select("value", F.when(F.col("doi").isNotNull(), "doi").otherwise("title").alias("kind"), F.coalesce("doi", "value").alias("key"))
 
 
+def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): lines of text files, each file read as UTF-8, or as Latin-1 if any of its lines isn't UTF-8.
+
+    The scan keeps the bytes, so files stay splittable; a file's lines vote, and one row a file is joined back.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    votes = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    return lines.join(votes, "file").select("file", F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).alias("value"))
+
+
 def read_id_list(spark: SparkSession, path: str, crosswalk: DataFrame | None = None) -> DataFrame:
-    return id_lines(spark.read.text(path), crosswalk)
+    return id_lines(decoded_lines(spark, path), crosswalk)
+
+
+def read_delimited_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct identifiers in any column of delimited files, in either encoding."""
+    return free_text_ids(decoded_lines(spark, path), "value")
 
 
 def ids_in_any_column(table: DataFrame) -> DataFrame:
@@ -62,9 +78,10 @@ def tagged_records(records: DataFrame, base: str) -> DataFrame:
 
 
 def read_tagged(spark: SparkSession, path: str, base: str) -> DataFrame:
-    """A tagged export, a record at each ``ER`` line; numbers are by file and place."""
-    records = spark.read.text(path, lineSep="ER  -").filter(F.col("value").rlike(r"\S")).withColumn("n", F.monotonically_increasing_id())
-    return tagged_records(records, base)
+    """A tagged export, a record at each ``ER`` line; numbers count from 1 in each file."""
+    records = spark.read.text(path, lineSep="ER  -").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("place"))
+    records = records.filter(F.col("value").rlike(r"\S"))
+    return tagged_records(numbered(records, "file", "place", F.col("start")).withColumnRenamed("ordinal", "n"), base)
 
 
 def search_result(pages: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

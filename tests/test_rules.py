@@ -457,3 +457,54 @@ def test_numbers_run_on_over_stretches(spark):
     whole = sorted(map(tuple, ledger.numbered(rows, "g", "id").collect()), key=str)
     assert sorted(map(tuple, ledger.numbered(rows, "g", "id", F.floor(F.col("id") / 10)).collect()), key=str) == whole
     assert ledger.batches(rows, "g", "id", 20, F.floor(F.col("id") / 10)).groupBy("g").agg(F.max("batch")).filter("g = 'a'").collect()[0][1] == 2
+
+
+def test_titles_fold_as_unicode_says(spark):
+    import random
+    import re
+    import unicodedata
+
+    def plain(title):
+        folded = unicodedata.normalize("NFKC", title).casefold().replace("&", " and ")
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", folded)).strip()
+
+    rng = random.Random(1)
+    pool = [chr(c) for c in range(0x20, 0x250)] + list("ßẞﬁﬃĲⅣ½²₂ﾊＦｕｌｌΣςσИйЁёЍ㎏…—“”İıŉǅḞṩ") + ["e\u0301", "E\u0301", "s\u0323\u0307", "и\u0306", "A\u030a", "x\u0301"]
+    titles = ["Straße & STRASSE", "Ｆｕｌｌ Ｗｉｄｔｈ", "x² + H₂O", "ΣΊΣΥΦΟΣ Σίσυφος", "e\u0301tude École", "ﬁnal oﬃce", "", *("".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))) for _ in range(400))]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, title string").orderBy("i").select(text.title_words(F.col("title")).alias("t")).collect()]
+    assert got == [plain(t) for t in titles]
+
+
+def test_pages_of_an_order(spark):
+    rows = spark.createDataFrame([(i, t, a) for i, (t, a) in enumerate([("Zebra", "b"), ("água", "É"), ("Água", "e"), ("abc", "f"), ("École", None)])], "number int, title string, authors string")
+    page = lambda sort, n, size: [r.number for r in screening.assessment_page(rows, sort, "number", n, size).orderBy("n").collect()]
+    assert page("title", 1, 3) == [3, 1, 2] and page("title", 2, 3) == page("title", 9, 3) == [4, 0] and page("author", 1, 5) == [4, 0, 2, 1, 3] and page("number", 0, 2) == [0, 1]
+    assert screening.assessment_page(rows.limit(0), "title").count() == 0
+
+
+def test_lists_in_several_encodings(spark, tmp_path):
+    latin = "Uma revisão\n10.1/A\nÉtude\n"
+    (tmp_path / "utf8.txt").write_bytes("Pesquisa é\n10.1/b\n".encode())
+    (tmp_path / "mark.txt").write_bytes(b"\xef\xbb\xbf" + "10.1234/c\nTítulo\n".encode())
+    (tmp_path / "latin.txt").write_bytes((latin + "plain line\n" * 2000).encode("latin-1"))
+    (tmp_path / "none.txt").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines_ = lists.read_id_list(spark, str(tmp_path / "*.txt"))
+        assert lines_.rdd.getNumPartitions() > 1
+        assert {r.value for r in lines_.collect()} == {"Pesquisa é", "10.1/b", "10.1234/c", "Título", "Uma revisão", "10.1/A", "Étude", "plain line"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "t.csv").write_bytes("título;https://doi.org/10.1234/Z.\n".encode("latin-1"))
+    assert [r.doi for r in lists.read_delimited_ids(spark, str(tmp_path / "t.csv")).collect()] == ["10.1234/z"]
+
+
+def test_tagged_records_count_by_file(spark, tmp_path):
+    for name, n in (("a", 700), ("b", 3)):
+        (tmp_path / f"{name}.ris").write_text("".join(f"TY  - JOUR\nAB  - {'x' * 50}\nER  - \n" for _ in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = sorted(r.label for r in lists.read_tagged(spark, str(tmp_path / "*.ris"), "core").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([f"core #{i}" for i in range(1, 701)] + [f"core #{i}" for i in (1, 2, 3)])
