@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -971,6 +972,50 @@ def _(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doi").alias("dois"))
 
 
+#: An answer of each provider for a document, and what its record says; ``{n}`` is the document's number.
+_ANSWERS = {
+    "crossref": ("""{"status":"ok","message":{"DOI":"10.5555/C{n}","title":["Crossref  title {n}","second"],"author":[{"given":"Ana","family":"Lima {n}"},{"name":"A Consortium"},{}],"issued":{"date-parts":[[2001,5]]},"container-title":["Journal {n}"],"abstract":"<jats:p>Abstract: what document {n} is about</jats:p>","type":"journal-article","page":"1-{n}"}}""",
+        ("10.5555/c{n}", "Crossref title {n}", "Ana Lima {n}; A Consortium", "2001", "Journal {n}", "what document {n} is about", "journal-article", "1-{n}")),
+    "europepmc": ("""{"resultList":{"result":[{"doi":"10.5555/e{n}","title":"Europe {n}","authorString":"Silva J, Costa M.","pubYear":"2010","journalTitle":"Eur J {n}","abstractText":"<h4>Summary</h4> Europe has document {n}","pubType":"review","pageInfo":"e{n}"},{"title":"Without id {n}","pubYear":2011},7]}}""",
+        ("10.5555/e{n}", "Europe {n}", "Silva J, Costa M.", "2010", "Eur J {n}", "Europe has document {n}", "review", "e{n}"), (None, "Without id {n}", "", "2011", "", "", "", "")),
+    "semanticscholar": ("""{"externalIds":{"DOI":"10.5555/S{n}","CorpusId":{n}},"title":"Scholar {n}","authors":[{"name":"Wu {n}"},{"name":" "},{"name":"Li"}],"year":1999,"venue":"Venue","abstract":null}""",
+        ("10.5555/s{n}", "Scholar {n}", "Wu {n}; Li", "1999", "Venue", "", "", "")),
+    "openalex": ("""{"results":[{"doi":"https://doi.org/10.5555/o{n}","title":null,"display_name":"Open {n}","publication_year":2020,"type":"article","authorships":[{"author":{"display_name":"Eva {n}"}}],"primary_location":{"source":{"display_name":"Open J"}},"abstract_inverted_index":{"again":[3],"doc":[0,2],"{n}":[1]}}]}""",
+        ("10.5555/o{n}", "Open {n}", "Eva {n}", "2020", "Open J", "doc {n} doc again", "article", "")),
+    "datacite": ("""{"data":{"attributes":{"doi":"10.5555/D{n}","titles":[{"title":"Data {n}"}],"creators":[{"name":"Doe, Jo","givenName":"Jo","familyName":"Doe {n}"},{"name":"A Lab"}],"publicationYear":2015,"publisher":"Repo","descriptions":[{"description":"short"},{"description":"A description of data set {n}"}],"types":{"resourceTypeGeneral":"Dataset"}}}}""",
+        ("10.5555/d{n}", "Data {n}", "Jo Doe {n}; A Lab", "2015", "Repo", "A description of data set {n}", "Dataset", "")),
+    "pubmed": ("""{"result":{"uids":["1{n}","2"],"1{n}":{"uid":"1{n}","title":"PubMed  {n}","authors":[{"name":"Roe R"},{"name":"Poe {n}"}],"pubdate":"Winter 1987","fulljournalname":"Med J","pages":"9-{n}","articleids":[{"idtype":"pubmed","value":"1"},{"idtype":"doi","value":"10.5555/P{n}"}]},"2":{"uid":"2","error":"cannot get document summary"}}}""",
+        ("10.5555/p{n}", "PubMed {n}", "Roe R; Poe {n}", "1987", "Med J", "", "", "9-{n}")),
+    "lilacs": ("""{"objects":[{"id":{n},"doi_number":"http://dx.doi.org/10.5555/L{n}","title":[{"_i":"pt","text":"Título  {n}"},{"_i":"en","text":"Title"}],"individual_author":[{"text":"Souza, A"},{"text":""},{"text":"Reis {n}"}],"publication_date_normalized":"20180500","title_serial":"Rev {n}"}]}""",
+        ("10.5555/l{n}", "Título {n}", "Souza, A; Reis {n}", "2018", "Rev {n}", "", "", "")),
+    "entries": ("""{"search-results":{"opensearch:totalResults":"2","entry":[{"dc:title":{"$":"Entry {n}"},"prism:coverDate":"2012-03-01","prism:publicationName":"Ent J","dc:creator":"Kim","itemInfo":{"ids":[{"prism:doi":"none"},{"itemDoi":{"$":"https://doi.org/10.5555/T{n}"}}]}},{"error":"Result set was empty"},{"citationTitle":"Bare {n}","head":{"publicationYear":"2003","source":{"sourceTitle":"Head J"}}}]}}""",
+        ("10.5555/t{n}", "Entry {n}", "Kim", "2012", "Ent J", "", "", ""), (None, "Bare {n}", "", "2003", "Head J", "", "", "")),
+}
+#: What stands in place of some documents' answers, and why it has no records.
+_NO_ANSWERS = (("<p>{n} is down for maintenance</p>", "not JSON"), ("", "empty"), ('{"error":"quota {n}"', "not JSON"), ('["{n}"]', "no records"), ("{}", "no records"))
+
+
+def _said(template: str | None, null: str = "NULL") -> str:
+    return null if template is None else "replace('" + template.replace("'", "''") + "', '{n}', CAST(doc_id AS VARCHAR))"
+
+
+def _answers(t: Tables, provider: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    fill = lambda text: F.replace(F.lit(text), F.lit("{n}"), n)
+    bad = F.element_at(F.array(*[fill(text) for text, _ in _NO_ANSWERS]), (F.floor(F.col("doc_id") / 7) % len(_NO_ANSWERS) + 1).cast("int"))
+    return t.given("documents").select(F.when(F.col("doc_id") % 7 == 0, bad).otherwise(fill(_ANSWERS[provider][0])).alias("payload"))
+
+
+@query("source_payload_records", " UNION ALL ".join(f"SELECT '{p}' AS source, {', '.join(f'{_said(v)} AS {c}' for c, v in zip(payloads.RECORD, record))} FROM documents WHERE doc_id % 7 <> 0" for p, (_, *records_) in _ANSWERS.items() for record in records_))
+def _(t: Tables) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [payloads.source_records(_answers(t, p), p) for p in _ANSWERS])
+
+
+@query("source_payload_rejects", " UNION ALL ".join(f"SELECT '{p}' AS source, '{reason}' AS reason, {_said(text)} AS payload FROM documents WHERE doc_id % 7 = 0 AND (doc_id // 7) % {len(_NO_ANSWERS)} = {i}" for p in _ANSWERS for i, (text, reason) in enumerate(_NO_ANSWERS)))
+def _(t: Tables) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [payloads.split_answers(_answers(t, p), p)[1] for p in _ANSWERS])
+
+
 @query("inverted_abstracts", "SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def _(t: Tables) -> DataFrame:
     return _indexed(t).select("doc_id", payloads.inverted_abstract(F.col("index")).alias("abstract"))

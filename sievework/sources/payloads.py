@@ -1,8 +1,13 @@
-"""Flattening of saved API answers to one record schema, by a registry of column builders."""
+"""Flattening of saved API answers to one record schema, by a registry of shapes.
+
+Answers are parsed as VARIANT, so a field of another type or a missing level is null and costs no other field; answers that
+can't be read become rows of a side table with the reason.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,84 +18,118 @@ from sievework.functions.text import clean_abstract
 RECORD = ("doi", "title", "authors", "year", "journal", "abstract", "type", "page")
 
 
-def _text(value: Column) -> Column:
-    return F.coalesce(F.trim(value), F.lit(""))
-
+def inverted_abstract(index: Column) -> Column:
+    """An abstract from its map of words to positions."""
+    placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
 
-def _record(source: str, **fields: Column) -> list[Column]:
-    return [F.lit(source).alias("source"), *[(canonical_id(fields[c]) if c == "doi" and c in fields else _text(fields.get(c, F.lit("")))).alias(c) for c in RECORD]]
 
+def at(value: Column, path: str, kind: str = "string") -> Column:
+    """What lies at a path of a VARIANT, as ``kind``; null if it isn't there or isn't of the kind."""
+    return F.try_variant_get(value, f"$.{path}" if path[0] != "[" else f"${path}", kind)
 
-def _crossref(raw: DataFrame) -> DataFrame:
-    schema = "DOI string, title array<string>, author array<struct<given:string,family:string>>, issued struct<`date-parts`:array<array<int>>>, `container-title` array<string>, abstract string, type string, page string"
-    r = raw.select(F.from_json("payload", schema).alias("r")).select("r.*")
-    authors = F.array_join(F.transform("author", lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), "; ")
-    year = F.get(F.get(F.col("issued").getField("date-parts"), 0), 0).cast("string")
-    return r.select(*_record("crossref", doi=F.col("DOI"), title=F.get("title", 0), authors=authors, year=year, journal=F.get(F.col("`container-title`"), 0), abstract=clean_abstract(F.col("abstract")), type=F.col("type"), page=F.col("page")))
 
+def words_at(value: Column, *paths: str) -> Column:
+    """The first text with a sign at the paths, its white space single; a text may be wrapped as {"$": text}."""
+    tidy = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    plain = lambda p: F.when(at(value, p, "map<string,variant>").isNull() & at(value, p, "array<variant>").isNull(), at(value, p))
+    return F.coalesce(*[tidy(c) for p in paths for c in (at(value, p + '["$"]'), plain(p))])
 
-def _europepmc(raw: DataFrame) -> DataFrame:
-    schema = "resultList struct<result:array<struct<doi:string,title:string,authorString:string,pubYear:string,journalTitle:string,abstractText:string,pubType:string,pageInfo:string>>>"
-    r = raw.select(F.explode(F.from_json("payload", schema)["resultList"]["result"]).alias("r")).select("r.*")
-    return r.select(*_record("europepmc", doi=F.col("doi"), title=F.col("title"), authors=F.col("authorString"), year=F.col("pubYear"), journal=F.col("journalTitle"), abstract=clean_abstract(F.col("abstractText")), type=F.col("pubType"), page=F.col("pageInfo")))
 
+def joined(value: Column, path: str, text: Callable[[Column], Column]) -> Column:
+    """The texts that ``text`` makes of an array's elements, those with a sign, by semicolons."""
+    return F.array_join(F.filter(F.transform(at(value, path, "array<variant>"), text), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), "; ")
 
-def _semanticscholar(raw: DataFrame) -> DataFrame:
-    schema = "externalIds map<string,string>, title string, authors array<struct<name:string>>, year int, venue string, abstract string"
-    r = raw.select(F.from_json("payload", schema).alias("r")).select("r.*")
-    return r.select(*_record("semanticscholar", doi=F.col("externalIds")["DOI"], title=F.col("title"), authors=F.array_join(F.col("authors.name"), "; "), year=F.col("year").cast("string"), journal=F.col("venue"), abstract=clean_abstract(F.col("abstract"))))
 
+def first_year(text: Column) -> Column:
+    return F.regexp_extract(text, r"\d{4}", 0)
 
-def inverted_abstract(index: Column) -> Column:
-    """An abstract from its map of words to positions."""
-    placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
 
+def person(given: str, family: str, whole: str) -> Callable[[Column], Column]:
+    return lambda a: F.coalesce(F.nullif(F.concat_ws(" ", words_at(a, given), words_at(a, family)), F.lit("")), words_at(a, whole))
 
-def _openalex(raw: DataFrame) -> DataFrame:
-    schema = "doi string, title string, publication_year int, type string, authorships array<struct<author:struct<display_name:string>>>, primary_location struct<source:struct<display_name:string>>, abstract_inverted_index map<string,array<int>>"
-    r = raw.select(F.from_json("payload", schema).alias("r")).select("r.*")
-    return r.select(*_record("openalex", doi=F.col("doi"), title=F.col("title"), authors=F.array_join(F.col("authorships.author.display_name"), "; "), year=F.col("publication_year").cast("string"), journal=F.col("primary_location.source.display_name"), abstract=inverted_abstract(F.col("abstract_inverted_index")), type=F.col("type")))
 
+def listed(*paths: str) -> Callable[[Column], Column]:
+    """The records of an answer: the array at the first path that has one."""
+    return lambda v: F.coalesce(*[at(v, p, "array<variant>") for p in paths])
 
-def _datacite(raw: DataFrame) -> DataFrame:
-    schema = "data struct<attributes:struct<doi:string,titles:array<struct<title:string>>,creators:array<struct<name:string>>,publicationYear:int,publisher:string,descriptions:array<struct<description:string>>,types:struct<resourceTypeGeneral:string>>>"
-    r = raw.select(F.from_json("payload", schema)["data"]["attributes"].alias("r")).select("r.*")
-    return r.select(*_record("datacite", doi=F.col("doi"), title=F.get("titles", 0)["title"], authors=F.array_join(F.col("creators.name"), "; "), year=F.col("publicationYear").cast("string"), journal=F.col("publisher"), abstract=clean_abstract(F.get("descriptions", 0)["description"]), type=F.col("types.resourceTypeGeneral")))
 
+def single(*paths: str) -> Callable[[Column], Column]:
+    """The one record of an answer: what lies at the first path that has something, else the answer itself."""
+    return lambda v: F.array(F.coalesce(*[at(v, p, "variant") for p in paths], v))
 
-def _pubmed(raw: DataFrame) -> DataFrame:
-    schema = "result map<string,string>"
-    item = "uid string, title string, fulljournalname string, pubdate string, authors array<struct<name:string>>, articleids array<struct<idtype:string,value:string>>, pages string, error string"
-    rows = raw.select(F.explode(F.map_filter(F.from_json("payload", schema)["result"], lambda k, v: k != "uids")).alias("uid", "json"))
-    r = rows.select(F.from_json("json", item).alias("r")).select("r.*").filter("error IS NULL")
-    doi = F.get(F.filter("articleids", lambda a: a["idtype"] == "doi"), 0)["value"]
-    return r.select(*_record("pubmed", doi=doi, title=F.col("title"), authors=F.array_join(F.col("authors.name"), "; "), year=F.regexp_extract("pubdate", r"\b((?:19|20)\d{2})\b", 1), journal=F.col("fulljournalname"), page=F.col("pages")))
 
+def nested_id(node: Column, depth: int = 6) -> Column:
+    """The first text of the shape of an identifier under a key that names one, nearest to the top."""
+    text = lambda e: F.coalesce(at(e["value"], '["$"]'), at(e["value"], "value"), at(e["value"], "[0]"), F.try_variant_get(e["value"], "$", "string"))
+    inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<variant>"))
+    found, level = [], F.array(node)
+    for _ in range(depth + 1):
+        entries = F.flatten(F.filter(F.transform(level, lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))), lambda e: e.isNotNull()))
+        ids = F.transform(F.filter(entries, lambda e: F.lower(e["key"]).contains("doi")), lambda e: F.trim(text(e)))
+        found.append(F.get(F.filter(ids, lambda x: x.rlike(r"(?i)^(?:https?://(?:dx\.)?doi\.org/)?10\.\d{4,9}/\S+$")), 0))
+        level = F.flatten(F.transform(level, inside))
+    return F.coalesce(*found)
 
-def _lilacs(raw: DataFrame) -> DataFrame:
-    doc = "struct<doi:string,title:array<string>,ti:array<string>,au:array<string>,da:string,ta:array<string>,ab:array<string>>"
-    rows = raw.select(F.explode(F.from_json("payload", f"docs array<{doc}>")["docs"]).alias("r")).select("r.*")
-    plain = lambda c: F.regexp_replace(F.get(c, 0), r"\^[a-z]\w{0,2}", "")
-    return rows.select(*_record("lilacs", doi=F.col("doi"), title=plain(F.coalesce("ti", "title")), authors=F.array_join("au", "; "), year=F.substring("da", 1, 4), journal=F.get("ta", 0), abstract=clean_abstract(plain(F.col("ab")))))
 
+class Provider(NamedTuple):
+    """Where the records of a provider's answer are, and what they say."""
 
-def _entries(raw: DataFrame) -> DataFrame:
-    """Scopus-like entries: an id is the first value under a key with "doi" that looks like one; error entries go."""
-    rows = raw.select(F.explode(F.from_json("payload", "`search-results` struct<entry:array<map<string,string>>>")["search-results"]["entry"]).alias("e")).filter(F.col("e")["error"].isNull())
-    ids = F.map_values(F.map_filter("e", lambda k, v: F.lower(k).contains("doi") & v.rlike(r"^10\.")))
-    e = F.col("e")
-    return rows.select(*_record("entries", doi=F.get(ids, 0), title=e["dc:title"], authors=e["dc:creator"], year=F.substring(e["prism:coverDate"], 1, 4), journal=e["prism:publicationName"], abstract=clean_abstract(e["dc:description"]), page=e["prism:pageRange"]))
+    records: Callable[[Column], Column]
+    fields: Callable[[Column], dict[str, Column]]
 
 
-#: Provider to the projection of its saved answers (a column ``payload``).
-PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "crossref": _crossref, "europepmc": _europepmc, "semanticscholar": _semanticscholar, "openalex": _openalex, "datacite": _datacite, "pubmed": _pubmed, "lilacs": _lilacs, "entries": _entries,
+#: Provider to the shape of its saved answers.
+PROVIDERS: dict[str, Provider] = {
+    "crossref": Provider(single("message"), lambda r: {
+        "doi": at(r, "DOI"), "title": words_at(r, "title[0]"), "authors": joined(r, "author", person("given", "family", "name")),
+        "year": F.coalesce(at(r, 'issued["date-parts"][0][0]'), at(r, 'published["date-parts"][0][0]')), "journal": words_at(r, '["container-title"][0]'), "abstract": clean_abstract(at(r, "abstract")), "type": at(r, "type"), "page": at(r, "page")}),
+    "europepmc": Provider(listed("resultList.result"), lambda r: {
+        "doi": at(r, "doi"), "title": words_at(r, "title"), "authors": words_at(r, "authorString"), "year": at(r, "pubYear"), "journal": words_at(r, "journalTitle", "journalInfo.journal.title"), "abstract": clean_abstract(at(r, "abstractText")), "type": at(r, "pubType"), "page": at(r, "pageInfo")}),
+    "semanticscholar": Provider(single(), lambda r: {
+        "doi": at(r, "externalIds.DOI"), "title": words_at(r, "title"), "authors": joined(r, "authors", lambda a: words_at(a, "name")), "year": at(r, "year"), "journal": words_at(r, "venue"), "abstract": clean_abstract(at(r, "abstract"))}),
+    "openalex": Provider(lambda v: F.coalesce(at(v, "results", "array<variant>"), F.array(v)), lambda r: {
+        "doi": at(r, "doi"), "title": words_at(r, "title", "display_name"), "authors": joined(r, "authorships", lambda a: words_at(a, "author.display_name")), "year": at(r, "publication_year"),
+        "journal": words_at(r, "primary_location.source.display_name"), "abstract": inverted_abstract(at(r, "abstract_inverted_index", "map<string,array<int>>")), "type": at(r, "type")}),
+    "datacite": Provider(single("data.attributes"), lambda r: {
+        "doi": at(r, "doi"), "title": words_at(r, "titles[0].title"), "authors": joined(r, "creators", person("givenName", "familyName", "name")), "year": at(r, "publicationYear"), "journal": words_at(r, "publisher", "publisher.name"),
+        "abstract": F.get(F.filter(F.transform(at(r, "descriptions", "array<variant>"), lambda d: clean_abstract(at(d, "description"))), lambda d: d != ""), 0), "type": at(r, "types.resourceTypeGeneral")}),
+    "pubmed": Provider(lambda v: F.map_values(F.map_filter(at(v, "result", "map<string,variant>"), lambda k, x: (k != "uids") & at(x, "error").isNull())), lambda r: {
+        "doi": F.get(F.filter(F.transform(at(r, "articleids", "array<variant>"), lambda i: F.when(at(i, "idtype") == "doi", at(i, "value"))), lambda x: x.isNotNull()), 0),
+        "title": words_at(r, "title"), "authors": joined(r, "authors", lambda a: words_at(a, "name")), "year": first_year(at(r, "pubdate")), "journal": words_at(r, "fulljournalname", "source"), "page": at(r, "pages")}),
+    "lilacs": Provider(listed("objects"), lambda r: {
+        "doi": at(r, "doi_number"), "title": words_at(r, "title[0].text", "title[0]", "title.text", "title"), "authors": joined(r, "individual_author", lambda a: F.coalesce(words_at(a, "text"), F.when(F.try_variant_get(a, "$", "map<string,variant>").isNull(), F.try_variant_get(a, "$", "string")))),
+        "year": first_year(words_at(r, "publication_date_normalized", "publication_date")), "journal": words_at(r, "title_serial", "source"), "abstract": clean_abstract(words_at(r, "abstract[0].text", "abstract[0]"))}),
+    "entries": Provider(lambda v: F.filter(listed('["search-results"].entry', "results", "entries")(v), lambda e: at(e, "error").isNull()), lambda r: {
+        "doi": nested_id(r), "title": words_at(r, '["dc:title"]', "title", "citationTitle", "head.citationTitle", "head.title", "itemInfo.citationTitle", "itemInfo.title"), "authors": words_at(r, '["dc:creator"]'),
+        "year": F.left(words_at(r, '["prism:coverDate"]', "publicationYear", "year", "head.publicationYear", "itemInfo.publicationYear"), F.lit(4)),
+        "journal": words_at(r, '["prism:publicationName"]', "sourceTitle", "journal", "head.source.sourceTitle", "itemInfo.source.sourceTitle"), "abstract": clean_abstract(words_at(r, '["dc:description"]')), "page": words_at(r, '["prism:pageRange"]')}),
 }
 
 
+def answers(raw: DataFrame, provider: str) -> DataFrame:
+    """``raw`` (a column ``payload``) with its ``records`` as an array of VARIANT, and why there are none in ``reason``."""
+    parsed = raw.withColumn("answer", F.try_parse_json("payload")).withColumn("records", PROVIDERS[provider].records(F.col("answer")))
+    # An answer that isn't an object, or whose records aren't, says nothing.
+    objects = F.filter("records", lambda r: F.try_variant_get(r, "$", "map<string,variant>").isNotNull())
+    parsed = parsed.withColumn("records", F.coalesce(objects, F.array().cast("array<variant>"))).withColumn("records", F.filter("records", lambda r: F.size(F.try_variant_get(r, "$", "map<string,variant>")) > 0))
+    empty = F.trim(F.coalesce("payload", F.lit(""))) == ""
+    return parsed.withColumn("reason", F.when(empty, "empty").when(F.col("answer").isNull(), "not JSON").when(F.size("records") == 0, "no records"))
+
+
+def split_answers(raw: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """The records of saved answers, and the answers without any: (source, reason, payload). Both read the parsed answers."""
+    parsed = answers(raw, provider)
+    rows = parsed.filter("reason IS NULL").select(F.explode("records").alias("r"))
+    fields = PROVIDERS[provider].fields(F.col("r"))
+    text = lambda c: F.coalesce(F.trim(fields[c]), F.lit("")) if c in fields else F.lit("")
+    good = rows.select(F.lit(provider).alias("source"), *[(canonical_id(fields[c]) if c == "doi" else text(c)).alias(c) for c in RECORD])
+    return good, parsed.filter("reason IS NOT NULL").select(F.lit(provider).alias("source"), "reason", "payload")
+
+
 def source_records(raw: DataFrame, provider: str) -> DataFrame:
-    return PROVIDERS[provider](raw)
+    """The records of saved answers in one schema."""
+    return split_answers(raw, provider)[0]
 
 
 def open_locations(raw: DataFrame) -> DataFrame:
