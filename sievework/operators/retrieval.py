@@ -118,12 +118,12 @@ def run_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("doi", change.alias("change"))
 
 
-def exit_status(results: DataFrame) -> DataFrame:
-    """The run's status by precedence: validation, transport, unresolved, ok."""
+def exit_status(results: DataFrame, *by: str) -> DataFrame:
+    """The status by precedence of the run, or of each group of ``by``: validation, transport, unresolved, ok."""
     c = F.coalesce("code", F.lit(""))
     bad = ~F.col("success")
-    has = results.agg(F.coalesce(F.bool_or(bad & c.contains("identity")), F.lit(False)).alias("v"), F.coalesce(F.bool_or(bad & c.startswith("download_")), F.lit(False)).alias("t"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("u"))
-    return has.select(F.when(F.col("v"), "validation").when(F.col("t"), "transport").when(F.col("u"), "unresolved").otherwise("ok").alias("status"))
+    has = results.groupBy(*by).agg(F.coalesce(F.bool_or(bad & c.contains("identity")), F.lit(False)).alias("v"), F.coalesce(F.bool_or(bad & c.startswith("download_")), F.lit(False)).alias("t"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("u"))
+    return has.select(*by, F.when(F.col("v"), "validation").when(F.col("t"), "transport").when(F.col("u"), "unresolved").otherwise("ok").alias("status"))
 
 
 def failed_work(results: DataFrame) -> DataFrame:

@@ -277,11 +277,19 @@ def _(t: Tables) -> DataFrame:
 
 # --- documents ------------------------------------------------------------
 
-_TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p, _ in documents.TYPES) + " END"
+# Stated apart from the library's own table, as the patterns that the types go by.
+_TYPE_SQL = r"""CASE WHEN regexp_matches(s, '(?i)systematic review|revisão sistemática') THEN 'systematic_review' WHEN regexp_matches(s, '(?i)meta[- ]analysis|metanálise|meta análise') THEN 'meta_analysis'
+    WHEN regexp_matches(s, '(?i)scoping review|revisão de escopo') THEN 'scoping_review' WHEN regexp_matches(s, '(?i)narrative review|revisão narrativa|literature review') THEN 'narrative_review'
+    WHEN regexp_matches(s, '(?i)clinical practice guideline|practice guideline|consensus statement|diretriz|consenso') THEN 'guideline_consensus'
+    WHEN regexp_matches(s, '(?i)\bposter\b|conference abstract|congress abstract|resumo de congresso|anais de congresso') THEN 'poster'
+    WHEN regexp_matches(s, '(?i)master''?s dissertation|master''?s thesis|dissertação') THEN 'dissertation' WHEN regexp_matches(s, '(?i)doctoral thesis|phd thesis|tese de doutorado|\bthesis\b') THEN 'thesis'
+    WHEN regexp_matches(s, '(?i)\bpatent\b|\bpatente\b|international publication number|inventor\(s\)') THEN 'patent' WHEN regexp_matches(s, '(?i)^editorial\b|\beditorial\b|letter to the editor|commentary|carta ao editor') THEN 'editorial'
+    WHEN regexp_matches(s, '(?i)book chapter|chapter in|capítulo de livro|\bisbn\b') THEN 'book' WHEN regexp_matches(s, '(?i)\bpreprint\b|not peer reviewed') THEN 'preprint'
+    WHEN regexp_matches(s, '(?i)case report|case series|relato de caso|série de casos') THEN 'case_report' WHEN regexp_matches(s, '(?i)original article|research article|original research') THEN 'original_article' END"""
 _CLASSIFIED = rf"""k AS (SELECT *, regexp_replace(concat(trim(regexp_replace(title, '\s+', ' ', 'g')), chr(10), substr(text, 1, 50000)), '\s+', ' ', 'g') AS s FROM typed_documents),
     y AS (SELECT *, CASE WHEN regexp_matches(trim(regexp_replace(title, '\s+', ' ', 'g')), '{documents.PROTOCOL_TITLE}') THEN 'study_protocol' ELSE {_TYPE_SQL} END AS ft, regexp_matches(s, '(?i)\babstract\b|\bintroduction\b|\bmethods?\b|\bresults?\b|\bdiscussion\b') AS shaped FROM k),
     x AS (SELECT *, coalesce(ft, CASE WHEN shaped THEN 'original_article' ELSE 'other' END) AS type FROM y)"""
-_POLICY = "CASE type " + " ".join(f"WHEN '{n}' THEN '{p}'" for n, p in documents.POLICIES.items()) + " ELSE 'review' END"
+_POLICY = """CASE WHEN type IN ('systematic_review', 'meta_analysis', 'scoping_review', 'narrative_review', 'guideline_consensus', 'case_report', 'original_article') THEN 'include' WHEN type IN ('patent', 'editorial') THEN 'exclude' ELSE 'review' END"""
 
 
 @query("document_type_routing", f"SELECT * FROM (WITH {_CLASSIFIED} SELECT doc_id, type, coalesce(human_decision, CASE WHEN type = 'preprint' THEN 'exclude' ELSE {_POLICY} END) AS route FROM x)", "typed_documents")
@@ -290,7 +298,7 @@ def _(t: Tables) -> DataFrame:
     return documents.route(documents.classify(t.typed_documents), own).select("doc_id", "type", "route")
 
 
-@query("document_type_confidence", f"""SELECT * FROM (WITH {_CLASSIFIED} SELECT type, CASE WHEN ft IN ({", ".join(repr(s) for s in documents.SURE)}) THEN 'high' WHEN ft IS NOT NULL OR shaped THEN 'moderate' ELSE 'low' END AS confidence, count(*) AS n FROM x GROUP BY 1, 2)""", "typed_documents")
+@query("document_type_confidence", f"""SELECT * FROM (WITH {_CLASSIFIED} SELECT type, CASE WHEN ft IN ('systematic_review', 'meta_analysis', 'scoping_review', 'poster', 'dissertation', 'thesis', 'patent', 'study_protocol') THEN 'high' WHEN ft IS NOT NULL OR shaped THEN 'moderate' ELSE 'low' END AS confidence, count(*) AS n FROM x GROUP BY 1, 2)""", "typed_documents")
 def _(t: Tables) -> DataFrame:
     return documents.classify(t.typed_documents).groupBy("type", "confidence").agg(F.count("*").alias("n"))
 
@@ -452,9 +460,9 @@ def _(t: Tables) -> DataFrame:
     return retrieval.run_changes(run(1), run(2)).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("run_exit_status", "SELECT 'validation' AS status, count(*) AS items FROM (SELECT DISTINCT item FROM attempts)", "attempts")
+@query("run_exit_status", """SELECT item, CASE WHEN bool_or(NOT success AND code = 'article_identity_not_confirmed') THEN 'validation' WHEN bool_or(NOT success AND code LIKE 'download@_%' ESCAPE '@') THEN 'transport' WHEN bool_or(NOT success) THEN 'unresolved' ELSE 'ok' END AS status FROM attempts GROUP BY item""", "attempts")
 def _(t: Tables) -> DataFrame:
-    return retrieval.exit_status(t.attempts).join(t.attempts.agg(F.count_distinct("item").alias("items")), F.lit(True))
+    return retrieval.exit_status(t.attempts, "item")
 
 
 @query("item_states", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN NOT success THEN 'failed' WHEN source = 'view' THEN 'cached' ELSE 'ok' END AS status FROM attempts) GROUP BY 1""", "attempts")
@@ -648,13 +656,21 @@ def _(t: Tables) -> DataFrame:
     return identity.file_verdicts(rows).select("doc_id", "validated", "method", "score", "reason")
 
 
-@query("page_identity_verdicts", """SELECT method, count(*) AS n FROM (SELECT CASE WHEN page_id % 4 = 0 THEN 'doi_na_pagina' WHEN page_id % 4 = 1 THEN 'doi_divergente' WHEN trim(title) = '' THEN 'sem_evidencia'
-    WHEN page_id % 4 = 2 THEN 'titulo' WHEN page_id % 8 = 3 THEN 'titulo_e_ano' ELSE 'ano_divergente' END AS method FROM title_pages) GROUP BY 1""", "title_pages")
+_PLAIN = r"trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("page_identity_verdicts", f"""SELECT page_id, method, CAST(round(CASE method WHEN 'doi_na_pagina' THEN 1.0 WHEN 'doi_divergente' THEN 0.0 WHEN 'sem_evidencia' THEN 0.0 WHEN 'titulo' THEN s * 0.9 WHEN 'titulo_e_ano' THEN least(1.0, s + 0.05) ELSE s END, 6) AS DOUBLE) AS score FROM (SELECT *,
+    CASE WHEN page_id % 7 = 0 THEN 'doi_na_pagina' WHEN page_id % 7 = 1 THEN 'doi_divergente' WHEN trim(title) = '' OR page_title IS NULL THEN 'sem_evidencia' WHEN s < 0.6 THEN 'titulo_divergente' WHEN s < 0.95 THEN 'titulo_insuficiente'
+    WHEN page_id % 4 < 2 THEN 'titulo' WHEN page_id % 4 = 2 THEN 'titulo_e_ano' ELSE 'ano_divergente' END AS method FROM (SELECT *, CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 ELSE least(1.0, 0.45 * len(list_intersect(xw, yw)) / len(list_distinct(xw)) +
+        0.55 * 2 * coalesce(list_sum([least(len(list_filter(gx, lambda q: q = p)), len(list_filter(gy, lambda q: q = p))) for p in list_distinct(gx)]), 0) / (len(gx) + len(gy))) END AS s
+    FROM (SELECT *, string_split(x, ' ') AS xw, string_split(y, ' ') AS yw, [x[i : i + 1] for i in range(1, length(x))] AS gx, [y[i : i + 1] for i in range(1, length(y))] AS gy FROM (SELECT *, {_PLAIN.format("title")} AS x, {_PLAIN.format("coalesce(page_title, '')")} AS y
+    FROM (SELECT page_id, title, CASE page_id % 5 WHEN 0 THEN title || '!!' WHEN 1 THEN title || ' s' WHEN 2 THEN title || ' and some more words of it' WHEN 3 THEN 'something else, of 1999' END AS page_title FROM title_pages)))))""", "title_pages")
 def _(t: Tables) -> DataFrame:
-    p = F.col("page_id")
+    p, title = F.col("page_id"), F.col("title")
     own = F.concat(F.lit("10.5555/p"), p.cast("string"))
-    rows = t.title_pages.select(own.alias("doi"), "title", F.lit("2010").alias("year"), F.when(p % 4 == 0, F.upper(own)).when(p % 4 == 1, "10.5555/other").alias("page_doi"), F.concat("title", F.lit("!!")).alias("page_title"), F.when(p % 8 == 3, "2011").when(p % 8 == 7, "2013").alias("page_year"))
-    return identity.page_verdicts(rows).groupBy("method").agg(F.count("*").alias("n"))
+    shown = F.when(p % 5 == 0, F.concat(title, F.lit("!!"))).when(p % 5 == 1, F.concat(title, F.lit(" s"))).when(p % 5 == 2, F.concat(title, F.lit(" and some more words of it"))).when(p % 5 == 3, "something else, of 1999")
+    rows = t.title_pages.select("page_id", own.alias("doi"), "title", F.lit("2010").alias("year"), F.when(p % 7 == 0, F.upper(own)).when(p % 7 == 1, "10.5555/other").alias("page_doi"), shown.alias("page_title"), F.when(p % 4 == 2, "2011").when(p % 4 == 3, "2013").alias("page_year"))
+    return identity.page_verdicts(rows).select("page_id", "method", F.round("score", 6).alias("score"))
 
 
 @query("landing_page_identity", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '10.5555/page' || page_id WHEN 1 THEN '10.5555/q' || page_id END AS page_doi, page_id % 4 = 0 AS matched, page_id % 4 = 1 AS mismatch FROM landing""", "landing")
@@ -781,9 +797,12 @@ def _(t: Tables) -> DataFrame:
 @query("corpus_audit_findings", """SELECT finding, count(*) AS n FROM (SELECT 'sem_sidecar' AS finding FROM corpus_files WHERE NOT recorded UNION ALL SELECT 'nao_validado' FROM corpus_files WHERE recorded AND NOT validated
     UNION ALL SELECT 'doi_divergente' FROM corpus_files WHERE recorded AND expected_doi <> detected_doi UNION ALL SELECT 'fora_da_lista' FROM corpus_files WHERE recorded AND expected_doi NOT IN (SELECT doi FROM authorised_ids)
     UNION ALL SELECT 'doi_duplicado' FROM (SELECT *, count(*) OVER (PARTITION BY expected_doi) AS c FROM corpus_files WHERE recorded) WHERE c > 1
-    UNION ALL SELECT 'conteudo_duplicado' FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS c FROM corpus_files WHERE recorded) WHERE c > 1) GROUP BY finding""", "corpus_files", "authorised_ids")
+    UNION ALL SELECT 'conteudo_duplicado' FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS c FROM corpus_files WHERE recorded) WHERE c > 1
+    UNION ALL SELECT 'conteudo_suspeito' FROM corpus_files WHERE recorded AND length(file) % 2 = 0) GROUP BY finding""", "corpus_files", "authorised_ids")
 def _(t: Tables) -> DataFrame:
-    return audit.finding_counts(audit.findings(t.corpus_files, t.authorised_ids))
+    # The text of every other file (by its name) opens as a supplement.
+    texts = t.corpus_files.withColumn("gate", documents.article_gate(F.when(F.length("file") % 2 == 0, F.rpad(F.lit("Supplementary Table 1\n"), 400, "x ")).otherwise(F.rpad(F.lit("An article\n"), 400, "x "))))
+    return audit.finding_counts(audit.findings(texts, t.authorised_ids))
 
 
 @query("corpus_audit_rows", """SELECT 'nao_validado' AS finding, file FROM corpus_files WHERE recorded AND NOT validated UNION ALL SELECT 'doi_divergente', file FROM corpus_files WHERE recorded AND expected_doi <> detected_doi""", "corpus_files")
@@ -1021,20 +1040,29 @@ def _(t: Tables) -> DataFrame:
     return _indexed(t).select("doc_id", payloads.inverted_abstract(F.col("index")).alias("abstract"))
 
 
-@query("open_access_locations", "SELECT doi, 2 AS pdfs, 1 AS pages FROM oa_status", "oa_status")
+@query("open_access_locations", """SELECT '10.5555/d' || doc_id AS doi, CASE doc_id % 3 WHEN 0 THEN 'https://a.org/' || doc_id || '.pdf https://b.org/' || doc_id WHEN 1 THEN 'https://b.org/' || doc_id ELSE '' END AS pdfs,
+    CASE doc_id % 3 WHEN 0 THEN 'https://a.org/' || doc_id || ' https://c.org/' || doc_id WHEN 1 THEN 'https://c.org/' || doc_id ELSE '' END AS pages FROM documents""")
 def _(t: Tables) -> DataFrame:
-    doi = F.col("doi")
-    place = lambda pdf, page: F.struct(F.lit(pdf).alias("url_for_pdf"), F.lit(page).alias("url_for_landing_page"), F.lit(None).cast("string").alias("url"))
-    raw = t.oa_status.select(F.to_json(F.struct(doi.alias("doi"), place("https://a/x.pdf", "https://a/x").alias("best_oa_location"), F.array(place("https://a/x.pdf", "https://a/x"), place("https://b/y.pdf", "https://b/y.pdf")).alias("oa_locations"))).alias("payload"))
-    return payloads.open_locations(raw).select("doi", F.size("pdf_urls").alias("pdfs"), F.size("page_urls").alias("pages"))
+    d = F.col("doc_id")
+    n = d.cast("string")
+    of = lambda pdf, page, url: F.struct(*[(F.concat(F.lit(f"https://{x[0]}.org/"), n, F.lit(x[1:])) if x else F.lit(None).cast("string")).alias(c) for c, x in (("url_for_pdf", pdf), ("url_for_landing_page", page), ("url", url))])
+    best = F.when(d % 3 == 0, of("a.pdf", "a", None))
+    others = F.when(d % 3 < 2, F.array(of("b", None, "c"), of("b", "b", "c"), of("b", None, "b")))
+    raw = t.given("documents").select(F.to_json(F.struct(F.concat(F.lit("https://doi.org/10.5555/D"), n).alias("doi"), best.alias("best_oa_location"), others.alias("oa_locations"))).alias("payload"))
+    return payloads.open_locations(raw).select("doi", F.array_join("pdf_urls", " ").alias("pdfs"), F.array_join("page_urls", " ").alias("pages"))
 
 
-@query("object_listing_versions", "SELECT 'PMC' || doc_id AS id, 3 AS version FROM documents")
+@query("object_listing_versions", """SELECT 'PMC' || doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 12 END AS version, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 'oa/PMC' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.1/PMC' || doc_id || '.1.xml' WHEN 1 THEN '.3/PMC' || doc_id || '.3.xml' ELSE '.12/PMC' || doc_id || '.12.xml' END END AS xml,
+    CASE doc_id % 4 WHEN 1 THEN 'oa/PMC' || doc_id || '.3/PMC' || doc_id || '.3.pdf' WHEN 3 THEN 'oa/PMC' || doc_id || '.12/PMC' || doc_id || '.12.pdf' END AS pdf FROM documents""")
 def _(t: Tables) -> DataFrame:
-    n = F.concat(F.lit("PMC"), F.col("doc_id").cast("string"))
-    key = lambda v, name: F.concat(F.lit("oa/"), n, F.lit(f".{v}/"), name)
-    keys = t.given("documents").select(F.explode(F.array(key(1, F.concat(n, F.lit(".1.xml"))), key(3, F.concat(n, F.lit(".3.xml"))), key(3, F.concat(n, F.lit(".3.pdf"))), key(9, F.lit("figure1.pdf")))).alias("key"))
-    return payloads.newest_versions(keys).select("id", "version")
+    d = F.col("doc_id")
+    n = F.concat(F.lit("PMC"), d.cast("string"))
+    key = lambda v, form: F.concat(F.lit("oa/"), n, F.lit(f".{v}/"), n, F.lit(f".{v}.{form}"))
+    other = lambda v, name: F.concat(F.lit("oa/"), n, F.lit(f".{v}/{name}"))
+    always = [key(1, "xml"), other(99, "figure1.pdf"), other(1, "PMC1-s001.pdf")]
+    more = F.when(d % 4 == 1, F.array(key(3, "pdf"), key(3, "xml"))).when(d % 4 == 2, F.array(key(3, "pdf"), key(12, "xml"))).when(d % 4 == 3, F.array(key(9, "xml"), key(12, "pdf"))).otherwise(F.array().cast("array<string>"))
+    keys = t.given("documents").select(F.explode(F.concat(F.array(*always), more)).alias("key"))
+    return payloads.newest_versions(keys).select("id", "version", "xml", "pdf")
 
 
 @query("id_crosswalk", "SELECT CAST(doc_id AS STRING) AS id, '10.5555/d' || doc_id AS doi FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'PMC' || doc_id, '10.5555/d' || doc_id FROM documents WHERE doc_id % 5 <> 0")
@@ -1060,15 +1088,21 @@ def _(t: Tables) -> DataFrame:
     return sinks.question_extracts(one("Q1", "a1").unionByName(one("Q2", "a2"))).groupBy("question").agg(F.count("*").alias("n"))
 
 
-@query("bibliography_entries", "SELECT doi, contains('x', 'x') AS has_id FROM search_items WHERE doc_id % 3 = 0", "search_items")
+@query("bibliography_entries", r"""SELECT doi, '@article{ref_' || regexp_replace(doi, '[^A-Za-z0-9]+', '_', 'g') || ',' || chr(10) || '  doi = {' || doi || '}' || CASE WHEN trim(title) <> '' THEN ',' || chr(10) || '  title = {' || regexp_replace(title, '[{}]', '', 'g') || '}' ELSE '' END ||
+    CASE WHEN doc_id % 6 <> 0 THEN ',' || chr(10) || '  author = {' || authors || '}' ELSE '' END || ',' || chr(10) || '  journal = {' || journal || ' J},' || chr(10) || '  year = {' || year || '}' || chr(10) || '}' AS entry FROM search_items WHERE doc_id % 3 = 0""", "search_items")
 def _(t: Tables) -> DataFrame:
-    rows = t.search_items.withColumn("identity_validated", F.col("doc_id") % 3 == 0)
-    return sinks.bibtex_entries(rows).select("doi", F.col("entry").contains("@article{ref_").alias("has_id"))
+    d = F.col("doc_id")
+    rows = t.search_items.withColumn("identity_validated", d % 3 == 0).withColumn("authors", F.when(d % 6 == 0, " ").otherwise(F.col("authors"))).withColumn("journal", F.concat(F.lit("{"), "journal", F.lit("} J")))
+    return sinks.bibtex_entries(rows).select("doi", "entry")
+
+
+_CHECKSUM = "CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), {0})), 1, 15) AS BIGINT)) AS STRING)"
+_CELL = "coalesce(CAST({0} AS STRING), chr(30))"
 
 
-@query("bundle_manifest", "SELECT 'articles' AS name, count(*) AS rows FROM articles UNION ALL SELECT 'screening', count(*) FROM screening", "articles", "screening")
+@query("bundle_manifest", f"SELECT 'articles' AS name, count(*) AS rows, {_CHECKSUM.format(', '.join(_CELL.format(c) for c in ('doi', 'id', 'title')))} AS checksum FROM articles UNION ALL SELECT 'screening', count(*), {_CHECKSUM.format(', '.join(_CELL.format(c) for c in ('decision', 'doi', 'version')))} FROM screening", "articles", "screening")
 def _(t: Tables) -> DataFrame:
-    return sinks.bundle_manifest({"articles": t.articles, "screening": t.screening}).select("name", "rows")
+    return sinks.bundle_manifest({"articles": t.articles.select("title", "id", "doi"), "screening": t.screening.select("doi", "version", "decision")})
 
 
 @query("restore_problems", "SELECT 'document without article' AS problem, CAST(article AS STRING) AS key FROM documents_ready WHERE article NOT IN (SELECT id FROM articles)", "documents_ready", "articles")

@@ -74,8 +74,13 @@ def write_report(counts: DataFrame, title: str, path: str) -> None:
 
 
 def bundle_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, rows, checksum) of the tables of a snapshot; the checksum doesn't depend on order."""
-    parts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(t.columns)]).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum")) for name, t in sorted(tables.items())]
+    """(name, rows, checksum) of the tables of a snapshot; the checksum doesn't depend on order of rows or columns.
+
+    It adds up 60 bits of each row's digest, so that another system can check it: MD5 of the cells as text, by column name.
+    """
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e"))
+    digest = lambda t: F.conv(F.left(F.md5(F.concat_ws("\x1f", *[cell(c) for c in sorted(t.columns)])), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    parts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.coalesce(F.sum(digest(t)), F.lit(0)).cast("string").alias("checksum")) for name, t in sorted(tables.items())]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
