@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +30,42 @@ def _merge(ledger: DataFrame, new: DataFrame, group: tuple[str, ...]) -> DataFra
     return rows.select("doi", *[(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)) if c in group else F.col(c)).alias(c) for c in (*DECISION, *SUGGESTION)])
 
 
+#: A stored ledger's folders are named by this and the number of buckets.
+BUCKET = "bucket_of_"
+
+
+def _bucketed(rows: DataFrame, buckets: int, key: str) -> DataFrame:
+    return rows.withColumn(f"{BUCKET}{buckets}", F.pmod(F.xxhash64(F.coalesce(same_id(F.col(key)), F.lit(""))), F.lit(buckets)).cast("int"))
+
+
+def store_ledger(rows: DataFrame, path: str, buckets: int = 64, key: str = "doi") -> None:
+    """Write a ledger in buckets of its ids, each a folder, for ``merge_stored``. Buckets should hold some files' worth of rows each."""
+    name = f"{BUCKET}{buckets}"
+    _bucketed(rows, buckets, key).repartition(name).write.partitionBy(name).parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    stored = spark.read.parquet(path)
+    return stored.select(*[c for c in stored.columns if not c.startswith(BUCKET)])
+
+
+def merge_stored(path: str, new: DataFrame, upsert: Callable[[DataFrame, DataFrame], DataFrame], key: str = "doi") -> int:
+    """Merge rows into a stored ledger, and tell how many buckets that touched: only those are read and written.
+
+    ``upsert`` makes of a bucket's rows and the new ones the rows that it shall hold. Files are put in place when the job
+    commits; the same merge may run again.
+    """
+    spark = new.sparkSession
+    stored = spark.read.parquet(path)
+    name = next(c for c in stored.columns if c.startswith(BUCKET))
+    buckets = int(name.removeprefix(BUCKET))
+    touched = [r[0] for r in _bucketed(new, buckets, key).select(name).distinct().collect()]  # at most one a bucket
+    if touched:
+        merged = _bucketed(upsert(stored.filter(F.col(name).isin(touched)).drop(name), new), buckets, key)
+        merged.repartition(len(touched), name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    return len(touched)
+
+
 def restore(ledger: DataFrame, saved: DataFrame) -> DataFrame:
     """The ledger with the saved rows whose key it doesn't have."""
     there = ledger.select(same_id(F.col("doi")).alias("k"))

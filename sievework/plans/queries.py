@@ -733,6 +733,17 @@ def _(t: Tables) -> DataFrame:
     return ledger.upsert_decisions(old, new).select("doi", "decision", "ai_decision")
 
 
+@query("merge_stored_ledger", "SELECT doi, decision, CASE WHEN doc_id % 2 = 0 THEN 'incluir' END AS ai_decision FROM screening WHERE doc_id % 5 <> 0 UNION ALL SELECT '10.5555/d' || doc_id, CASE WHEN doc_id % 10 = 0 THEN 'incluir' ELSE 'excluir' END, CASE WHEN doc_id IN (SELECT doc_id FROM screening) AND doc_id % 2 = 0 THEN 'incluir' END FROM documents WHERE doc_id % 5 = 0", "screening")
+def _(t: Tables) -> DataFrame:
+    old = t.screening.select("doi", "decision", "reason", F.lit("x").alias("actor"), "version", F.lit("").alias("source"), F.lit("m").alias("ai_provider"), F.when(F.col("doc_id") % 2 == 0, "incluir").alias("ai_decision"), F.lit(2).alias("ai_version"))
+    decided = lambda every, what: t.given("documents").filter(f"doc_id % {every} = 0").select(F.concat(F.lit("10.5555/D"), F.col("doc_id").cast("string")).alias("doi"), F.lit(what).alias("decision"), F.lit("r").alias("reason"), F.lit("y").alias("actor"), F.lit(2).alias("version"), F.lit("").alias("source"))
+    folder = jobs.work_folder(t.spark)
+    ledger.store_ledger(old, folder, buckets=16)
+    for every, what in ((5, "excluir"), (10, "incluir")):
+        ledger.merge_stored(folder, decided(every, what), ledger.upsert_decisions)
+    return ledger.read_ledger(t.spark, folder).select(F.lower("doi").alias("doi"), "decision", "ai_decision")
+
+
 @query("ledger_restore", """SELECT doi, decision FROM screening WHERE doc_id % 3 = 0 UNION ALL SELECT doi, 'saved' FROM screening WHERE doc_id % 3 <> 0""", "screening")
 def _(t: Tables) -> DataFrame:
     rows = t.screening.select("doi", "decision", "doc_id")

@@ -508,3 +508,21 @@ def test_tagged_records_count_by_file(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == sorted([f"core #{i}" for i in range(1, 701)] + [f"core #{i}" for i in (1, 2, 3)])
+
+
+def test_a_merge_touches_the_buckets_of_its_ids(spark, tmp_path):
+    import pathlib
+
+    columns = ", ".join(f"{c} {'int' if 'version' in c else 'string'}" for c in ("doi", *ledger.DECISION, *ledger.SUGGESTION))
+    rows = [(f"10.1/{i}", "incluir", "r", "p", 2, "s", "m", "incluir", 2) for i in range(400)]
+    path = tmp_path / "ledger"
+    ledger.store_ledger(spark.createDataFrame(rows, columns), str(path), buckets=16)
+    files = lambda: {p: p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("part-*.parquet")}
+    before = files()
+    new = spark.createDataFrame([("10.1/7", "excluir", "x", "q", 3, "t"), ("10.1/NEW", "excluir", "x", "q", 3, "t")], ", ".join(f"{c} {'int' if c == 'version' else 'string'}" for c in ("doi", *ledger.DECISION)))
+    for _ in range(2):
+        touched = ledger.merge_stored(str(path), new, ledger.upsert_decisions)
+        assert 1 <= touched <= 2 and len(before.items() - files().items()) == len({p.parent for p in before.keys() - files().keys()}) == touched
+        got = {r.doi: (r.decision, r.ai_decision) for r in ledger.read_ledger(spark, str(path)).collect()}
+        assert len(got) == 401 and got["10.1/7"] == ("excluir", "incluir") and got["10.1/8"] == ("incluir", "incluir") and got["10.1/NEW"] == ("excluir", None)
+    assert ledger.merge_stored(str(path), new.limit(0), ledger.upsert_decisions) == 0
