@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Scratch, durable, free_name, scratch, table
+from sievework.llm.common import Scratch, durable, free_name, handing_back, scratch, table
 
 SHINGLE = 5
 ROWS, BANDS = 8, 40
@@ -234,11 +234,11 @@ def check_pairs(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: f
     """The pairs (x, y) that reach the threshold: by signature first, then on the texts."""
     signs = reps.select("id", "h", "bytes")
     both = pairs.join(signs.withColumnsRenamed({"id": "x", "h": "hx", "bytes": "sa"}), "x").join(signs.withColumnsRenamed({"id": "y", "h": "hy", "bytes": "sb"}), "y")
-    likely = tables.write(both.mapInPandas(looks_similar(threshold, slack), "x long, hx long, y long, hy long"))
+    likely = tables.write(both.mapInPandas(handing_back(looks_similar(threshold, slack)), "x long, hx long, y long, hy long"))
     ids = likely.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("hx").alias("h")), F.struct(F.col("y").alias("id"), F.col("hy").alias("h")))).alias("s")).select("s.*").distinct()
     texts = tables.write(texts_of(docs, ids))
     both = likely.select("x", "y").join(texts.withColumnsRenamed({"id": "x", "text": "ta"}), "x").join(texts.withColumnsRenamed({"id": "y", "text": "tb"}), "y")
-    return tables.write(both.mapInPandas(verified(threshold), "x long, y long"))
+    return tables.write(both.mapInPandas(handing_back(verified(threshold)), "x long, y long"))
 
 
 def shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +261,7 @@ def with_shared(members: DataFrame, docs: DataFrame, threshold: float, tables: S
 
     Members whose ``s`` excludes the threshold are left out. Also the rows (shingle, id, w) of the shingles that 2 to ``RARE`` have.
     """
-    rows = tables.write(texts_of(docs, members.select("id", "h").distinct()).mapInPandas(shingle_rows, "id long, shingle long, w long"))
+    rows = tables.write(texts_of(docs, members.select("id", "h").distinct()).mapInPandas(handing_back(shingle_rows), "id long, shingle long, w long"))
     few = tables.write(rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.sum("w").alias("w")).filter(F.col("c") <= RARE))
     rare = tables.write(rows.join(few.filter("c > 1").select("shingle"), "shingle").select("shingle", "id", "w"))
     weights = few.filter("c = 1").select("id", "w", F.lit(0).alias("r")).unionByName(rare.select("id", F.lit(0).alias("w"), F.col("w").alias("r")))
@@ -328,7 +328,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, slack: float = 0.14) -
     """(doc_id, class_id), one row per row of ``docs``: ids whose texts reach the threshold through a chain of links."""
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     with scratch(docs.sparkSession) as tables:
-        made = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(signed, "doc_id long, h long, digest binary, n long, bands array<long>, bytes binary")
+        made = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(handing_back(signed), "doc_id long, h long, digest binary, n long, bands array<long>, bytes binary")
         sig = tables.write(made)
         copies = tables.write(sig.groupBy("digest").agg(F.min("doc_id").alias("id")))
         chosen = copies.groupBy("id").agg(F.min("digest").alias("of"))

@@ -27,7 +27,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm.common import free_name, table
+from sievework.llm.common import free_name, handing_back, table
 
 CACHE = 300_000
 
@@ -231,7 +231,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             done = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), done], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInPandas(handing_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import free_name, remainder, table
+from sievework.llm.common import free_name, handing_back, remainder, table
 
 LONGEST = 4
 CACHE = 400_000
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> Data
             yield batch[keep].assign(**{lang_pred: preds, score: scores})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{fields}, `{lang_pred}` string, `{score}` double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(handing_back(run), f"{fields}, `{lang_pred}` string, `{score}` double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
