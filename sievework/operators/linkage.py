@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,6 +99,49 @@ def recovery_pairs(asked: DataFrame, hits: DataFrame, threshold: float) -> DataF
     return scored.select("request", "title", "hit_title", F.col("score").alias("similarity")).join(titles, "title").join(records, "hit_title")
 
 
+# Fixed weights: of the base score that chooses a candidate's record, of its rank score, and of further sources.
+BASE = {"similarity": 0.50, "coverage": 0.30, "year_score": 0.10, "author_score": 0.10}
+RANK = {"similarity": 0.78, "coverage": 0.12, "year_score": 0.06, "author_score": 0.04}
+SOURCE, SOURCES = 0.02, 0.08
+
+
+def _weighed(weights: dict[str, float], of: str = "") -> Column:
+    total = F.lit(0.0)
+    for name, weight in weights.items():
+        total = total + weight * F.col(of + name)
+    return total
+
+
+def first_places(asked: DataFrame, hits: DataFrame, sources: int, bands: tuple[float, ...] = (0.9, 0.75, 0.5), keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """The first two candidates of each title, as ``rank_recovery`` has them over ``recovery_pairs`` at the last of ``bands``.
+
+    Thresholds descend: a title whose first two places no pair below the band can change is settled, and only the
+    others are joined again at the next threshold, where far more pairs are candidates. What a pair below the band could do:
+    bring a new candidate, stand for a known one, or add a source to it; each has a highest score. ``sources`` bounds
+    the number of resolvers; ``keep`` holds a band's candidates for the next step.
+    """
+    open_, out = asked, None
+    for band in bands:
+        ranked = rank_recovery(recovery_pairs(open_, hits, band), 1 << 30)
+        if band != bands[-1]:
+            ranked = keep(ranked)
+            most = min(SOURCES, SOURCE * max(0, sources - 1))
+            new = RANK["similarity"] * band + sum(RANK.values()) - RANK["similarity"] + most
+            # Complete: no further source counts, and no record below the band has as good a base score.
+            full = F.least(F.lit(SOURCES), SOURCE * (F.col("source_count") - 1)) >= most - 1e-9
+            complete = full & (F.col("base") > BASE["similarity"] * band + sum(BASE.values()) - BASE["similarity"] + SLACK)
+            could = F.when(complete, F.col("rank_score")).otherwise(F.least(F.lit(1.0), F.greatest(F.col("total") + most, F.lit(new))))
+            second = F.max(F.when(F.col("n") == 2, F.col("rank_score")))
+            rest = F.coalesce(F.max(F.when(F.col("n") > 2, could)), F.lit(0.0))
+            judged = ranked.groupBy("request").agg(second.alias("second"), rest.alias("rest"), F.bool_and(complete | (F.col("n") > 2)).alias("complete"))
+            settled = judged.filter(F.col("complete") & (F.col("second") > new + SLACK) & (F.col("second") > F.col("rest") + SLACK)).select(F.col("request").alias("title"))
+            ranked = ranked.join(settled.withColumnRenamed("title", "request"), "request", "left_semi")
+            open_ = open_.join(settled, "title", "left_anti")
+        first = ranked.filter("n <= 2").withColumn("band", F.lit(band))
+        out = first if out is None else out.unionByName(first)
+    return out
+
+
 def rank_recovery(pairs: DataFrame, most: int = 30) -> DataFrame:
     """Candidates of each request, corroborated over sources, at most ``most``.
 
@@ -106,12 +151,12 @@ def rank_recovery(pairs: DataFrame, most: int = 30) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("doi:"), canonical_id(F.col("doi"))), F.concat(F.lit("title:"), title_words(F.col("hit_title"))))
     cover = F.round(coverage(token_set(title_words(F.col("title"))), token_set(title_words(F.col("hit_title")))), 6)
     rows = pairs.filter(F.trim(F.coalesce("hit_title", F.lit(""))) != "").select("*", key.alias("key"), cover.alias("coverage"), year_score(F.col("requested_year"), F.col("year")).alias("year_score"), same_surname(F.col("requested_author"), F.col("author")).cast("double").alias("author_score"))
-    base = 0.50 * F.col("similarity") + 0.30 * F.col("coverage") + 0.10 * F.col("year_score") + 0.10 * F.col("author_score")
-    best = F.max_by(F.struct("hit_title", "doi", "similarity", "coverage", "year_score", "author_score"), F.struct(F.round(base, 9), F.col("resolver")))
+    base = F.round(_weighed(BASE), 9)
+    best = F.max_by(F.struct("hit_title", "doi", "similarity", "coverage", "year_score", "author_score", base.alias("base")), F.struct(base, F.col("resolver")))
     grouped = rows.groupBy("request", "key").agg(best.alias("b"), F.count_distinct(F.nullif(F.lower("resolver"), F.lit(""))).alias("source_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("urls")))).alias("urls"))
-    total = 0.78 * F.col("b.similarity") + 0.12 * F.col("b.coverage") + 0.06 * F.col("b.year_score") + 0.04 * F.col("b.author_score")
-    bonus = F.least(F.lit(0.08), 0.02 * F.greatest(F.lit(0), F.col("source_count") - 1))
-    ranked = grouped.select("request", "key", F.col("b.hit_title").alias("hit_title"), F.col("b.similarity").alias("similarity"), "source_count", "urls", F.round(F.least(F.lit(1.0), total + bonus), 6).alias("rank_score"))
+    total = _weighed(RANK, "b.")
+    bonus = F.least(F.lit(SOURCES), SOURCE * F.greatest(F.lit(0), F.col("source_count") - 1))
+    ranked = grouped.select("request", "key", F.col("b.hit_title").alias("hit_title"), F.col("b.similarity").alias("similarity"), "source_count", "urls", F.col("b.base").alias("base"), total.alias("total"), F.round(F.least(F.lit(1.0), total + bonus), 6).alias("rank_score"))
     n = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("rank_score"), "key"))
     return ranked.withColumn("n", n).filter(F.col("n") <= most)
 

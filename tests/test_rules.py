@@ -526,3 +526,23 @@ def test_a_merge_touches_the_buckets_of_its_ids(spark, tmp_path):
         got = {r.doi: (r.decision, r.ai_decision) for r in ledger.read_ledger(spark, str(path)).collect()}
         assert len(got) == 401 and got["10.1/7"] == ("excluir", "incluir") and got["10.1/8"] == ("incluir", "incluir") and got["10.1/NEW"] == ("excluir", None)
     assert ledger.merge_stored(str(path), new.limit(0), ledger.upsert_decisions) == 0
+
+
+def test_descent_gives_the_first_places_of_a_whole_search(spark):
+    import random
+
+    rng = random.Random(4)
+    pool = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    title = lambda: " ".join(rng.choice(pool) for _ in range(rng.randint(3, 7)))
+    base = [title() for _ in range(25)]
+    sure = [f"a title of its own number {i} on {w}" for i, w in enumerate(pool)]
+    asked = spark.createDataFrame([(t, 2001, "C B") for t in {*base, *sure}], "title string, requested_year int, requested_author string")
+    near = lambda t: rng.choice([t, t, t + " mu", t.replace("a", "e", 1), title()])
+    rows = [(near(rng.choice(base)), rng.choice([None, *(f"10.5555/{i}" for i in range(12))]), f"s{rng.randrange(3)}", rng.choice([2000, 2001, 2009]), rng.choice(["A B", "X Y"]), ["u"]) for _ in range(400)]
+    rows += [(t, f"10.5555/{i}{d}", f"s{s}", 2001, "A B", ["v"]) for i, t in enumerate(sure) for d in "ab" for s in range(3)]
+    hits = spark.createDataFrame(rows, "hit_title string, doi string, resolver string, year int, author string, urls array<string>")
+    whole = linkage.rank_recovery(linkage.recovery_pairs(asked, hits, 0.5)).filter("n <= 2")
+    columns = ["request", "key", "n", "rank_score", "source_count", "hit_title"]
+    got = linkage.first_places(asked, hits, sources=3)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+    assert {r.band for r in got.collect()} > {0.5}
