@@ -43,6 +43,9 @@ from sievework.llm.common import Scratch, table
 LONGEST = 5
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 EDGE = ", ".join(f"{w} bigint" for w in WORDS) + ", n bigint"
+#: Numbers below 2^BITS travel three to a column, in an order that is that of the words.
+BITS = 21
+PACKED = ["w123", "w45"]
 #: Bytes of a text that are split at once; word places that are counted at once.
 BLOCK, PLACES = 1 << 22, 1 << 20
 
@@ -104,7 +107,7 @@ def with_hashes(words: DataFrame, seed: int) -> DataFrame:
 def numbered_words(words: DataFrame, min_count: int, max_words: int, tables: Scratch) -> tuple[DataFrame, dict[bytes, dict[bytes, int]] | int]:
     """Frequent words with their numbers from 1, and these by language and word; or, of too many, all words with their hashes, and the seed."""
     frequent = words.filter(F.col("n") >= min_count)
-    if frequent.count() <= max_words:
+    if frequent.count() <= min(max_words, (1 << BITS) - 1):
         # At most max_words rows come to the driver.
         found = frequent.orderBy("lang", "word").select("lang", "word").toArrow()
         numbers: dict[bytes, dict[bytes, int]] = {}
@@ -120,7 +123,17 @@ def numbered_words(words: DataFrame, min_count: int, max_words: int, tables: Scr
             return known, seed
 
 
-def block_counts(ids: np.ndarray, places: int) -> pa.RecordBatch | None:
+def pack(columns: list[np.ndarray]) -> list[np.ndarray]:
+    a, b, c, d, e = columns
+    return [a << 2 * BITS | b << BITS | c, d << BITS | e]
+
+
+def unpack(packed: list[np.ndarray]) -> list[np.ndarray]:
+    low = (1 << BITS) - 1
+    return [packed[0] >> 2 * BITS, packed[0] >> BITS & low, packed[0] & low, packed[1] >> BITS, packed[1] & low]
+
+
+def block_counts(ids: np.ndarray, places: int, names: list[str]) -> pa.RecordBatch | None:
     """Edges and ends that begin at the first ``places`` of the word numbers; 0 stands between pieces."""
     ids = np.append(ids, np.zeros(LONGEST, dtype=np.int64))
     at = np.flatnonzero(ids[:places])
@@ -129,20 +142,18 @@ def block_counts(ids: np.ndarray, places: int) -> pa.RecordBatch | None:
     columns = [ids[at]]
     for i in range(1, LONGEST):
         columns.append(np.where(columns[-1] > 0, ids[at + i], 0))
-    if ids.max() < 1 << 21:  # three numbers to a key
-        keys = [columns[3] << 21 | columns[4], columns[0] << 42 | columns[1] << 21 | columns[2]]
-    else:
-        keys = columns[::-1]
-    order = np.lexsort(keys)
+    keys = pack(columns) if names == PACKED else columns
+    order = np.lexsort(keys[::-1])
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(order)))
-    return pa.RecordBatch.from_arrays([*(pa.array(c[order[first]]) for c in columns), pa.array(n)], [*WORDS, "n"])
+    return pa.RecordBatch.from_arrays([*(pa.array(k[order[first]]) for k in keys), pa.array(n)], [*names, "n"])
 
 
 def edges(docs: DataFrame, numbers: dict[bytes, dict[bytes, int]] | int, places: int = PLACES) -> DataFrame:
-    """(w1..w5, n): the tasks' counts of edges, and of ends, whose last words are 0."""
+    """(w1..w5, n), or the words packed: the tasks' counts of edges, and of ends, whose last words are 0."""
+    names = WORDS if isinstance(numbers, int) else PACKED
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +168,7 @@ def edges(docs: DataFrame, numbers: dict[bytes, dict[bytes, int]] | int, places:
         def counted() -> Iterator[pa.RecordBatch]:
             ids = np.concatenate(waiting) if waiting else np.zeros(0, dtype=np.int64)
             for start in range(0, len(ids), places):
-                if (found := block_counts(ids[start : start + places + LONGEST - 1], places)) is not None:
+                if (found := block_counts(ids[start : start + places + LONGEST - 1], places, names)) is not None:
                     yield found
 
         for batch in batches:
@@ -171,7 +182,7 @@ def edges(docs: DataFrame, numbers: dict[bytes, dict[bytes, int]] | int, places:
                     waiting, length = [], 0
         yield from counted()
 
-    return plain_texts(docs).mapInArrow(run, EDGE)
+    return plain_texts(docs).mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"]))
 
 
 def flows(sorted_edges: DataFrame, min_count: int) -> DataFrame:
@@ -191,7 +202,8 @@ def flows(sorted_edges: DataFrame, min_count: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, n = np.stack([batch.column(i).to_numpy() for i in range(LONGEST)], axis=1), batch.column(LONGEST).to_numpy()
+            *keys, n = (column.to_numpy() for column in batch.columns)
+            words = np.stack(unpack(keys) if len(keys) < LONGEST else keys, axis=1)
             differs = np.ones(len(n), dtype=bool)
             differs[1:] = False
             for k in range(LONGEST):
@@ -224,7 +236,9 @@ def flows(sorted_edges: DataFrame, min_count: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, numbers: dict[bytes, dict[bytes, int]] | int, min_count: int, parts: int, places: int = PLACES) -> DataFrame:
     """(w1..w5, n) of every run of one to five words with at least ``min_count`` occurrences."""
-    dealt = edges(docs, numbers, places).repartitionByRange(parts, *WORDS).sortWithinPartitions(*WORDS)
+    counted = edges(docs, numbers, places)
+    order = counted.columns[:-1]
+    dealt = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return flows(dealt, min_count).groupBy(*WORDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
