@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -580,14 +579,8 @@ def _recovered(t: Tables, accept: Callable[[DataFrame], DataFrame]) -> DataFrame
         (2000 + hit % 3).alias("year"), F.lit("A B").alias("author"), F.array(F.concat(F.lit("u"), hit.cast("string"))).alias("urls"),
     )
     wanted = asked.select("title", F.lit(2001).alias("requested_year"), F.lit("C B").alias("requested_author"))
-    folder = jobs.work_folder(t.spark)
-
-    def kept(rows: DataFrame) -> DataFrame:
-        path = f"{folder}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return t.spark.read.schema(rows.schema).parquet(path)
-
-    best = accept(linkage.first_places(wanted, records, sources=3, keep=kept))
+    # One threshold: too few of these requests settle above it for a descent to pay.
+    best = accept(linkage.first_places(wanted, records, sources=3, bands=(0.5,)))
     return asked.join(best.withColumnRenamed("request", "title"), "title")
 
 
