@@ -28,7 +28,7 @@ def jaccard(a: Column, b: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters, by longest matching blocks."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
 def _reaching(words: float, a: str, b: str, sorted_a: str, sorted_b: str, least: float) -> float | None:
@@ -65,7 +65,7 @@ def word_score(asked: Column, found: Column) -> Column:
 
 
 def title_score(asked: Column, found: Column) -> Column:
-    """Bibliographic title similarity, 0 to 1, six places; the Python part only runs on the rows it is asked for."""
+    """Bibliographic title similarity, 0 to 1, six places. Python sees every row; null titles, as a caller gives for rows it has decided, and equal ones cost nothing there."""
     na, nb = title_words(asked), title_words(found)
     ordered = lambda n: F.array_join(F.array_sort(token_set(n)), " ")
     score = word_score(asked, found) + SEQUENCE * sequence_ratio(na, nb) + SORTED * sequence_ratio(ordered(na), ordered(nb))

@@ -54,19 +54,29 @@ def _parsed(least: int):
                 try:
                     nodes = list(tree.fromstring(content).iter())
                 except tree.ParseError:
+                    rows.append((path, None, None, None, None, "not XML"))
                     continue
                 first = lambda *names: next((t for n in nodes if tail(n.tag) in names and (t := inner(n))), "")
                 surnames = [inner(n) for n in nodes if tail(n.tag) == "surname"][:10]
                 skip = {id(x) for n in nodes if tail(n.tag) in ("abstract", "ref-list", "bibliography") for x in n.iter()}
                 paragraphs = [t for n in nodes if tail(n.tag) in ("p", "para", "simple-para") and id(n) not in skip and (t := inner(n))]
-                if sum(map(len, paragraphs)) >= least:
-                    rows.append((path, first("article-title", "title"), surnames, first("abstract"), paragraphs))
-            yield pd.DataFrame(rows, columns=["path", "title", "authors", "abstract", "paragraphs"])
+                problem = None if sum(map(len, paragraphs)) >= least else "short body"
+                rows.append((path, first("article-title", "title"), surnames, first("abstract"), paragraphs, problem))
+            yield pd.DataFrame(rows, columns=["path", "title", "authors", "abstract", "paragraphs", "problem"])
 
     return run
 
 
 def read_fulltext_xml(spark: SparkSession, path: str, least: int = 2000) -> DataFrame:
-    """(path, title, authors, abstract, paragraphs) of article XML; bodies shorter than ``least`` characters go."""
+    """(path, title, authors, abstract, paragraphs) of article XML; files of ``fulltext_problems`` go."""
+    return _articles(spark, path, least).filter("problem IS NULL").drop("problem")
+
+
+def fulltext_problems(spark: SparkSession, path: str, least: int = 2000) -> DataFrame:
+    """(path, problem) of files that aren't XML, or whose body is shorter than ``least`` characters."""
+    return _articles(spark, path, least).filter("problem IS NOT NULL").select("path", "problem")
+
+
+def _articles(spark: SparkSession, path: str, least: int) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(path).select("path", "content")
-    return files.mapInPandas(_parsed(least), "path string, title string, authors array<string>, abstract string, paragraphs array<string>")
+    return files.mapInPandas(_parsed(least), "path string, title string, authors array<string>, abstract string, paragraphs array<string>, problem string")

@@ -247,6 +247,7 @@ def test_article_xml(spark, tmp_path):
     (tmp_path / "x" / "bad.xml").write_text("<article>")
     rows = corpus.read_fulltext_xml(spark, str(tmp_path / "x")).collect()
     assert [(r.title, r.authors, r.abstract, len(r.paragraphs)) for r in rows] == [("T & U", ["Silva"], "Sum", 4)]
+    assert sorted((r.path.rsplit("/", 1)[1], r.problem) for r in corpus.fulltext_problems(spark, str(tmp_path / "x")).collect()) == [("bad.xml", "not XML"), ("short.xml", "short body")]
 
 
 def test_pubmed_xml(spark, tmp_path):
