@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sievework.functions.text import title_ascii, title_words, token_set
-
-# Fixed weights of the title score: coverage, Jaccard, character sequence, sequence of sorted words.
-COVERAGE, JACCARD, SEQUENCE, SORTED = 0.34, 0.26, 0.25, 0.15
+from sievework.functions.title_cells import COVERAGE, JACCARD, SEQUENCE, SORTED
 
 
 def coverage(asked: Column, found: Column) -> Column:
@@ -31,33 +29,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def _reaching(words: float, a: str, b: str, sorted_a: str, sorted_b: str, least: float) -> float | None:
-    """The title score of two normal forms, or nothing once it is known to stay below ``least``."""
-    if a == b:
-        return 1.0
-    plain, ordered = SequenceMatcher(None, a, b), SequenceMatcher(None, sorted_a, sorted_b)
-    # Characters in common, whatever their order, bound a sequence; most pairs end here.
-    if words + SEQUENCE * plain.quick_ratio() + SORTED * ordered.quick_ratio() < least:
-        return None
-    score = words + SEQUENCE * plain.ratio()
-    if score + SORTED * ordered.quick_ratio() < least:
-        return None
-    return min(1.0, score + SORTED * ordered.ratio())
-
-
-@F.pandas_udf(DoubleType())
-def _reaching_scores(words: pd.Series, a: pd.Series, b: pd.Series, sorted_a: pd.Series, sorted_b: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([_reaching(*row) for row in zip(words, a, b, sorted_a, sorted_b, least, strict=True)], dtype="float64")
-
-
-def reaching_score(words: Column | str, a: Column | str, b: Column | str, sorted_a: Column | str, sorted_b: Column | str, least: Column) -> Column:
-    """The title score of two normal forms from their word score; null where it stays below ``least``.
-
-    A filter on it must not be moved below it, or Spark would compute it once for the filter and once for the result.
-    """
-    return F.round(_reaching_scores.asNondeterministic()(words, a, b, sorted_a, sorted_b, least), 6)
-
-
 def word_score(asked: Column, found: Column) -> Column:
     """What word overlap alone adds to the title score."""
     a, b = token_set(title_words(asked)), token_set(title_words(found))
