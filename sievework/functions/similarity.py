@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sievework.functions.text import title_ascii, title_words, token_set
+from sievework.functions.text import once, title_ascii, title_words, token_set
 from sievework.functions.title_cells import COVERAGE, JACCARD, SEQUENCE, SORTED
 
 
@@ -44,21 +44,22 @@ def title_score(asked: Column, found: Column) -> Column:
 
 
 def _pairs_of(text: Column) -> Column:
-    """Sorted character pairs, repeats kept."""
+    """Character pairs, each with the number of the same ones before it, so that repeats are told apart."""
     n = F.length(text)
-    return F.when(n > 1, F.array_sort(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(n > 1, F.sort_array(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    return once(pairs, lambda g: F.transform(g, lambda p, i: F.concat(p, (i - F.array_position(g, p)).cast("string"))))
 
 
 def dice_title_score(a: Column, b: Column) -> Column:
     """Character-pair Dice (as multisets) and word coverage, 0.55 and 0.45."""
-    x, y = title_ascii(a), title_ascii(b)
-    gx, gy = _pairs_of(x), _pairs_of(y)
-    times = lambda g, p: F.size(F.filter(g, lambda q: q == p))
-    common = F.aggregate(F.array_distinct(gx), F.lit(0), lambda s, p: s + F.least(times(gx, p), times(gy, p)))
-    total = F.size(gx) + F.size(gy)
-    dice = F.when(total > 0, 2 * common / total).otherwise(0.0)
-    score = F.least(F.lit(1.0), 0.55 * dice + 0.45 * coverage(token_set(x), token_set(y)))
-    return F.when((F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == ""), 0.0).when(x == y, 1.0).otherwise(score)
+
+    def score(x: Column, y: Column, gx: Column, gy: Column) -> Column:
+        total = F.size(gx) + F.size(gy)
+        dice = F.when(total > 0, 2 * F.size(F.array_intersect(gx, gy)) / total).otherwise(0.0)
+        both = F.least(F.lit(1.0), 0.55 * dice + 0.45 * coverage(token_set(x), token_set(y)))
+        return F.when((F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == ""), 0.0).when(x == y, 1.0).otherwise(both)
+
+    return once(title_ascii(a), lambda x: once(title_ascii(b), lambda y: once(_pairs_of(x), lambda gx: once(_pairs_of(y), lambda gy: score(x, y, gx, gy)))))
 
 
 def same_surname(a: Column, b: Column) -> Column:
