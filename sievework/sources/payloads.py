@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.ids import canonical_id
-from sievework.functions.text import clean_abstract
+from sievework.functions.text import clean_abstract, once
 
 RECORD = ("doi", "title", "authors", "year", "journal", "abstract", "type", "page")
 
@@ -21,7 +21,20 @@ RECORD = ("doi", "title", "authors", "year", "journal", "abstract", "type", "pag
 def inverted_abstract(index: Column) -> Column:
     """An abstract from its map of words to positions."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
+    return F.array_join(F.transform(F.sort_array(placed), lambda x: x["w"]), " ")
+
+
+def inverted_index(text: Column) -> Column:
+    """A text as the map of its words to their positions; null stays null. The words of a text are sorted within its row."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+
+    def entries(p: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["w"] != F.get(p, i - 1)["w"]))
+        return once(F.concat(first, F.array(F.size(p))), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: F.struct(F.get(p, F.get(s, k))["w"].alias("w"), F.transform(F.slice(p, F.get(s, k) + 1, F.get(s, k + 1) - F.get(s, k)), lambda x: x["at"]).alias("at"))))
+
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<int>>"))
+    return once(placed, lambda p: F.when(F.size(p) > 0, F.map_from_entries(entries(p))).when(p.isNotNull(), none))
 
 
 def at(value: Column, path: str, kind: str = "string") -> Column:
@@ -118,13 +131,18 @@ def answers(raw: DataFrame, provider: str) -> DataFrame:
 
 
 def split_answers(raw: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
-    """The records of saved answers, and the answers without any: (source, reason, payload). Both read the parsed answers."""
+    """The records of saved answers, and the answers without any: (source, reason, payload). Both read the parsed answers.
+
+    A filter on the parsed answers, also the one that Spark sets below an inner explode, would be moved below the parsing and
+    parse each answer once for each mention; outer explodes keep their filters above them.
+    """
     parsed = answers(raw, provider)
-    rows = parsed.filter("reason IS NULL").select(F.explode("records").alias("r"))
+    rows = parsed.select(F.explode_outer("records").alias("r")).filter("r IS NOT NULL")
     fields = PROVIDERS[provider].fields(F.col("r"))
     text = lambda c: F.coalesce(F.trim(fields[c]), F.lit("")) if c in fields else F.lit("")
     good = rows.select(F.lit(provider).alias("source"), *[(canonical_id(fields[c]) if c == "doi" else text(c)).alias(c) for c in RECORD])
-    return good, parsed.filter("reason IS NOT NULL").select(F.lit(provider).alias("source"), "reason", "payload")
+    none = parsed.select("payload", "reason", F.explode_outer(F.slice("records", 1, 1)).alias("r")).filter("r IS NULL")
+    return good, none.select(F.lit(provider).alias("source"), "reason", "payload")
 
 
 def source_records(raw: DataFrame, provider: str) -> DataFrame:
