@@ -144,34 +144,57 @@ def cooldown_seconds(streak: Column, retry_after: Column) -> Column:
     return F.when(retry_after > 0, asked).when(streak >= COOLDOWN_AFTER, by_streak)
 
 
-def failure_streaks(events: DataFrame, stretch: int = 10_000) -> DataFrame:
+#: Where ``stretch_begins`` expects what was left before the first stretch.
+BEFORE_ALL = -(1 << 63)
+
+
+def _stretch(seq: Column, stretch: int) -> Column:
+    return F.floor(seq / stretch)
+
+
+def stretch_ends(events: DataFrame, stretch: int = 10_000) -> DataFrame:
+    """(host, at, clears, left): of each stretch of ``seq``, whether it has a success and how many failures follow its last one."""
+    cut = events.select("host", _stretch(F.col("seq"), stretch).alias("at"), "seq", "success")
+    last = cut.filter("success").groupBy(F.col("host").alias("__host"), F.col("at").alias("__at")).agg(F.max("seq").alias("last"))
+    both = cut.join(last, F.col("host").eqNullSafe(F.col("__host")) & (F.col("at") == F.col("__at")), "left")
+    left = ~F.col("success") & (F.col("last").isNull() | (F.col("seq") > F.col("last")))
+    return both.groupBy("host", "at").agg((F.count("last") > 0).alias("clears"), F.count_if(left).alias("left"))
+
+
+def stretch_begins(ends: DataFrame) -> DataFrame:
+    """(host, at, begins, leaves): the failures since the last success, at the begin and at the end of each stretch.
+
+    What was left before all of them may be a row too, at ``BEFORE_ALL``.
+    """
+    in_order = Window.partitionBy("host").orderBy("at")
+    since = F.sum(F.col("clears").cast("int")).over(in_order)
+    leaves = F.sum("left").over(Window.partitionBy("host", "since").orderBy("at"))
+    return ends.withColumn("since", since).withColumn("leaves", leaves).select("host", "at", F.coalesce(F.lag("leaves").over(in_order), F.lit(0)).alias("begins"), "leaves")
+
+
+def failure_streaks(events: DataFrame, stretch: int = 10_000, begins: DataFrame | None = None) -> DataFrame:
     """The failures of ``events`` (host, seq, success, ...) with their ``streak``: failures of the host since its last success.
 
     A scan in stretches of ``seq``: each tells whether it has a success and how many failures follow its last one; these add
     up to what each stretch begins with, and a stretch then numbers its own failures. Only one row a stretch is sorted by the
-    whole host, so a host may have most of the rows.
+    whole host, so a host may have most of the rows. ``begins`` says what the stretches begin with, if that is known.
     """
-    cut = events.withColumn("__at", F.floor(F.col("seq") / stretch))
-    last = F.max(F.when(F.col("success"), F.col("seq"))).over(Window.partitionBy("host", "__at"))
-    ends = cut.withColumn("__last", last).groupBy("host", "__at").agg(F.bool_or("success").alias("__clears"), F.count_if(F.coalesce(F.col("seq") > F.col("__last"), F.lit(True))).alias("__left"))
-    in_order = Window.partitionBy("host").orderBy("__at")
-    since = F.sum(F.col("__clears").cast("int")).over(in_order)
-    left = F.sum("__left").over(Window.partitionBy("host", "__since").orderBy("__at"))
-    begins = ends.withColumn("__since", since).withColumn("__sum", left).select("host", "__at", F.coalesce(F.lag("__sum").over(in_order), F.lit(0)).alias("__begins"))
-    own = Window.partitionBy("host", "__at").orderBy("seq")
-    rows = cut.withColumn("__island", F.count_if("success").over(own)).filter(~F.col("success"))
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("host", "__at", "__island").orderBy("seq")))
-    both = rows.join(begins.withColumnsRenamed({"host": "__host", "__at": "__stretch"}), F.col("host").eqNullSafe(F.col("__host")) & (F.col("__at") == F.col("__stretch")))
-    streak = F.col("__n") + F.when(F.col("__island") == 0, F.col("__begins")).otherwise(0)
+    begins = stretch_begins(stretch_ends(events, stretch)) if begins is None else begins
+    begins = begins.select(F.col("host").alias("__host"), F.col("at").alias("__stretch"), F.col("begins").alias("__begins"))
+    own = Window.partitionBy("host", "__at").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.withColumn("__at", _stretch(F.col("seq"), stretch)).withColumn("__failed", F.count_if(~F.col("success")).over(own))
+    rows = rows.withColumn("__cleared", F.max(F.when(F.col("success"), F.col("__failed"))).over(own)).filter(~F.col("success"))
+    both = rows.join(begins, F.col("host").eqNullSafe(F.col("__host")) & (F.col("__at") == F.col("__stretch")))
+    streak = F.col("__failed") + F.coalesce(-F.col("__cleared"), F.col("__begins"))
     return both.select(*[F.col(f"`{c}`") for c in events.columns], streak.alias("streak"))
 
 
-def cooldowns(events: DataFrame, stretch: int = 10_000) -> DataFrame:
+def cooldowns(events: DataFrame, stretch: int = 10_000, begins: DataFrame | None = None) -> DataFrame:
     """(host, seq, streak, seconds): the failures that bring their host a cooldown.
 
     ``events``: host, seq, success and, if known, retry_after (seconds). A success clears the streak.
     """
     if "retry_after" not in events.columns:
         events = events.withColumn("retry_after", F.lit(None).cast("double"))
-    found = failure_streaks(events.select("host", "seq", "success", "retry_after"), stretch)
+    found = failure_streaks(events.select("host", "seq", "success", "retry_after"), stretch, begins)
     return found.select("host", "seq", "streak", cooldown_seconds(F.col("streak"), F.col("retry_after")).alias("seconds")).filter("seconds IS NOT NULL")

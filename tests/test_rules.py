@@ -402,6 +402,56 @@ def test_cooldowns_in_any_order_across_micro_batches(spark, tmp_path):
     assert got == {r for r in by_hand(rows) if r[1] <= 399 - 120} and len(got) > 20
 
 
+def test_cooldowns_of_hosts_in_many_stretches_across_micro_batches(spark, tmp_path):
+    """Every stretch of a host is its own work: what is left before it comes from stretches, micro-batches and rows that waited."""
+    import random
+
+    rng, start = random.Random(5), 1_700_000_000
+    rows = [(rng.choice(["a", "a", "b", "c", None]), i, rng.random() < (0.1 if i % 200 < 150 else 0.0), rng.choice([None, None, None, 0.0, 5.0, 900.0])) for i in range(600)]
+    rows = [(h, i, s and h != "c", a) for h, i, s, a in rows]  # c never has a success
+    mixed = sorted(rows, key=lambda r: r[1] + rng.random() * 100)
+    for n in range(6):
+        lines = [json.dumps({"host": h, "seq": i, "success": s, "retry_after": a, "at": start + i}) for h, i, s, a in mixed[n * 100 : n * 100 + 100]]
+        (tmp_path / f"{n}.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema("host string, seq long, success boolean, retry_after double, at long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
+    stream = stream.withColumn("at", F.timestamp_seconds("at"))
+    for stretch in (7, 10_000):
+        got = [tuple(r) for r in jobs.run_cooldowns(stream, "120 seconds", stretch).collect()]
+        assert len(got) == len(set(got)) and set(got) == {r for r in by_hand(rows) if r[1] <= 599 - 120} and len(got) > 100
+
+
+def test_cooldown_batches_can_be_replayed_and_leave_late_rows_out(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame([("h", i, s, None, i) for i, s in rows], "host string, seq long, success boolean, retry_after double, at long").withColumn("at", F.timestamp_seconds("at"))
+    batches = [make((0, True), (1, False), (20, False)), make((2, False), (3, False), (30, False)), make((4, False), (21, False), (60, False)), make().filter("seq IS NULL")]
+    find = jobs.cooldown_batches(str(tmp_path), "10 seconds", 2)
+    got = [[tuple(r) for r in find(batches[n], n).collect()] for n in (0, 1, 1, 2, 2, 3)]
+    # 2, 3 and 4 come after the watermark has passed 10, then 20; so 1, 20, 21 and 30 are the streak
+    assert got == [[], [], [], [("h", 30, 4, 30)], [("h", 30, 4, 30)], []]
+
+
+def test_an_outcome_that_is_not_known_is_no_failure(spark):
+    rows = [("h", i, {0: True, 2: None, 3: None, 11: None}.get(i, False), None) for i in range(14)]
+    df = spark.createDataFrame(rows, "host string, seq long, success boolean, retry_after double")
+    for stretch in (1, 3, 4, 100):
+        assert {tuple(r) for r in retrieval.cooldowns(df, stretch).collect()} == by_hand([r for r in rows if r[2] is not None])
+
+
+def test_files_of_events_share_micro_batches_in_any_order(spark, tmp_path):
+    """The number of micro-batches doesn't grow with that of files, and a file with older rows than one read before isn't late."""
+    import os
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "one" / "events.parquet"))
+    for n in range(4):
+        events.filter(F.floor(F.col("event_id") / 250) == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "many" / "events.parquet"))
+        for f in (tmp_path / "many" / "events.parquet").glob("*.parquet"):
+            if f.stat().st_mtime > 1_000_000:
+                os.utime(f, (10_000 - n, 10_000 - n))
+    one, many = (queries.queries()["stream_cooldowns"](spark, str(tmp_path / d)) for d in ("one", "many"))
+    assert {f.rsplit(f"{jobs.BATCH}=", 1)[1].split("/")[0] for f in many.inputFiles()} == {"0"}
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect())) and many.count() > 500
+
+
 def test_a_replayed_batch_is_there_once(spark, tmp_path):
     """What a crash between write and commit leaves: the same batch comes again under its number."""
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, state string")
